@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# Functions are shipped by value, so executors need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where none is named."""

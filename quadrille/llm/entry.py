@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, simhash, tokens
+from . import decontam, packing, quality, rules, secret_scan, simhash, tokens, urls
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_url_filters": urls.op4_url_filters,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op7_quality_rules": rules.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_secret_scans": secret_scan.op9_secret_scans,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
@@ -32,4 +36,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": DECONTAMINATION_SQL}
+URL_SQL = r"""
+WITH r(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS n, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT n, rh || rp AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+    FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": URL_SQL,
+    "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+}
