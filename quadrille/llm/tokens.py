@@ -13,22 +13,24 @@ return a row, null ids too; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import os
+import re
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
-# The pre-token patterns that the two vocabularies were made for; the first with the white space before.
-WORD_PATTERN = r"\s*(?:'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Characters whose class, case and composition every Unicode version and library agrees on.
+# Letters and numbers among PLAIN, the characters whose class, case and composition every Unicode version agrees on.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-ž", "0-9²³¹¼½¾"
 PLAIN = r"[\t\n\r\x20-\x7E\xA0-įĲ-ž]*"
+# The pre-token patterns that the two vocabularies were made for, on plain texts; the first with the white space before.
+WORD_PATTERN = rf"\s*(?:'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+)"
+BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary(name: str) -> str:
@@ -38,17 +40,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def load(path: str):
+    """The tokenizer, on one thread, its special tokens, and a dict that lasts as long as this Python process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_by_path", {})
+    if path not in kept:
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        kept[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {}
+    return kept[path]
+
+
 class WordCounter:
     """Counts tokens of texts; distinct pre-tokens are encoded once. The cache is emptied when full."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(WORD_PATTERN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.totals: dict[str, int] = {}
+        self.tokenizer, self.special, kept = load(path)
+        self.split = re.compile(WORD_PATTERN).findall
+        self.plain = re.compile(PLAIN).fullmatch
+        self.totals: dict[str, int] = kept.setdefault("totals", {})
         self.within: dict[str, list[int]] = {}
 
     def is_plain(self, text: str) -> bool:
@@ -141,13 +152,10 @@ class IdPacker:
     """Token ids of texts, packed as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(BYTE_PATTERN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.special, kept = load(path)
+        self.split = re.compile(BYTE_PATTERN).findall
+        self.plain = re.compile(PLAIN).fullmatch
+        self.known: dict[str, bytes] = kept.setdefault("ids", {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
