@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, rules, secret_scan, simhash, tokens, urls
+from . import decontam, html_text, licenses, packing, quality, rules, secret_scan, simhash, tokens, urls
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_html_extraction": html_text.op5_html_extraction,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
