@@ -1,0 +1,23 @@
+"""Session helpers: the shared checkpoint folder, and lineage cuts that survive lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared checkpoint folder and go on from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
