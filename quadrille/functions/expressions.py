@@ -30,8 +30,9 @@ def built(*names: str):
 class Expressions:
     """Compiles expressions over the variables of one solution sequence."""
 
-    def __init__(self, scope: dict[str, Val], now: _dt.datetime, base: str | None = None, exists: Callable | None = None):
-        self.scope, self.now, self.base, self.exists = scope, now, base, exists
+    def __init__(self, scope: dict[str, Val], now: _dt.datetime, base: str | None = None, solution: set[str] | None = None):
+        """``solution``: the variables that tell solutions apart, for labelled blank nodes; all if None."""
+        self.scope, self.now, self.base, self.solution = scope, now, base, solution
 
     def __call__(self, e) -> Val:
         if isinstance(e, Var):
@@ -39,9 +40,7 @@ class Expressions:
         if isinstance(e, Term):
             return V.constant(e)
         if isinstance(e, N.Exists):
-            if self.exists is None:
-                raise NotImplementedError("EXISTS in this place")
-            return Val("bool", self.exists(e))
+            raise NotImplementedError("EXISTS in this place")
         if isinstance(e, N.Call):
             if isinstance(e.name, Term):
                 return self.function(e)
@@ -107,6 +106,8 @@ def compare(op: str, a: Val, b: Val) -> Column:
         return apply(a.col, b.col)
     if op == "!=":
         return ~compare("=", a, b)
+    if a.deep or b.deep or "num" in (a.kind, b.kind):
+        return V.let([V.term_of(a), V.term_of(b)], lambda p, q: compare(op, Val("term", p), Val("term", q)))
     m, n = V.number(a), V.number(b)
     numeric = None
     if m is not None and n is not None:
@@ -174,9 +175,8 @@ def over(a: Column, b: Column) -> Column:
 
 
 def arithmetic(op: str, a: Val, b: Val) -> Val:
-    span = _instants(op, a, b)
-    if span is not None:
-        return span
+    if {a.kind, b.kind} & {"term", "dtm"}:
+        return Val("term", V.let([V.term_of(a), V.term_of(b)], lambda p, q: _of_terms(op, Val("term", p), Val("term", q))), deep=True)
     a, b = V.number(a), V.number(b)
     if a is None or b is None:
         return V.null()
@@ -189,7 +189,11 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
             return Val("dec", F.try_divide(a.col.cast("decimal(20,0)"), b.col.cast("decimal(20,0)")).try_cast(DEC)) if op == "/" else Val("int", plain(a.col, b.col))
         p, q = a.col.cast(DEC), b.col.cast(DEC)
         return Val("dec", {"*": times, "/": over}.get(op, lambda p, q: plain(p, q).try_cast(DEC))(p, q))
-    a, b = V.widen(a), V.widen(b)
+    return _numbers(op, V.widen(a), V.widen(b))
+
+
+def _numbers(op: str, a: Val, b: Val) -> Val:
+    plain = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
     rank = F.greatest(a.rank, b.rank, F.lit(1 if op == "/" else 0))
     rank = F.when(a.rank.isNotNull() & b.rank.isNotNull(), rank)
     if op == "/":
@@ -226,17 +230,13 @@ def duration_text(micros: Column) -> Column:
     return F.when(micros == 0, "PT0S").otherwise(text)
 
 
-def _instants(op: str, a: Val, b: Val) -> Val | None:
-    """Differences of instants, and instants moved by durations; None where neither side can be one."""
-    if a.kind == b.kind == "dtm":
-        micros = F.unix_micros(a.col.cast("timestamp")) - F.unix_micros(b.col.cast("timestamp"))
-        return Val("term", make(3, duration_text(micros), XSD + "dayTimeDuration")) if op == "-" else V.null()
-    if op not in "+-" or not {a.kind, b.kind} <= {"term", "dtm"}:
-        return None
+def _of_terms(op: str, a: Val, b: Val) -> Column:
+    """Arithmetic of terms whose types rows tell: numbers, differences of instants, instants moved by durations."""
+    numbers = V.let([V.term_of(_numbers(op, V.widen(V.number(a)), V.widen(V.number(b))))], lambda c: c)
+    if op not in "+-":
+        return numbers
     (t, tz, td), (u, uz, ud) = V.instant(a), V.instant(b)
-    a, b = V.as_term(a), V.as_term(b)
-    numbers = arithmetic_terms(op, a, b)
-    out = F.when(numbers["lex"].isNotNull(), numbers)
+    out = F.when(V.number(a).rank.isNotNull(), numbers)
     if op == "-":
         out = out.when((td == ud) & (tz == uz), make(3, duration_text(t - u), XSD + "dayTimeDuration"))
     (months, micros), (months_a, micros_a) = duration(b), duration(a)
@@ -244,9 +244,8 @@ def _instants(op: str, a: Val, b: Val) -> Val | None:
     out = out.when(t.isNotNull() & micros.isNotNull(), _moved(a, t, td, sign * months, sign * micros))
     if op == "+":
         out = out.when(u.isNotNull() & micros_a.isNotNull(), _moved(b, u, ud, months_a, micros_a))
-    same = (months == 0) & (months_a == 0)
     total = micros_a + micros if op == "+" else micros_a - micros
-    return Val("term", out.when(same, make(3, duration_text(total), XSD + "dayTimeDuration")))
+    return out.when((months == 0) & (months_a == 0), make(3, duration_text(total), XSD + "dayTimeDuration"))
 
 
 def _moved(v: Val, micros: Column, dt: Column, months: Column, more: Column) -> Column:
@@ -259,17 +258,14 @@ def _moved(v: Val, micros: Column, dt: Column, months: Column, more: Column) ->
     return make(3, F.concat(text, zone), dt)
 
 
-def arithmetic_terms(op: str, a: Val, b: Val) -> Column:
-    m, n = V.widen(V.number(a)), V.widen(V.number(b))
-    return V.term_of(arithmetic(op, m, n))
-
-
 for _op in "+-*/":
     BUILT[_op] = lambda x, a, b, op=_op: arithmetic(op, x(a), x(b))
 
 
 def _map_number(v: Val, f: Callable[[Column, bool], Column]) -> Val:
     """A function of a number that keeps its type; ``f`` gets the column and whether it is a double."""
+    if v.deep:
+        return Val("term", V.let([v.col], lambda c: V.term_of(_map_number(Val("term", c), f))), deep=True)
     n = V.number(v)
     if n is None:
         return V.null()
@@ -364,7 +360,8 @@ def _iri(x, a):
 def _bnode(x, label=None):
     if label is None:
         return Val("term", make(1, F.concat(F.lit("u"), F.replace(F.uuid(), F.lit("-"), F.lit("")))))
-    row = F.to_json(F.struct(*[V.term_of(v).alias(f"c{i}") for i, v in enumerate(x.scope.values())])) if x.scope else F.lit("")
+    own = [v for n, v in sorted(x.scope.items()) if x.solution is None or n in x.solution]
+    row = F.to_json(F.struct(*[V.term_of(v).alias(f"c{i}") for i, v in enumerate(own)])) if own else F.lit("")
     return Val("term", make(1, F.concat(F.lit("l"), F.md5(F.concat_ws("\t", V.plain_text(x(label)), row)))))
 
 

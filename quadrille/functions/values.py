@@ -31,6 +31,7 @@ class Val:
     prefix: str = ""
     rank: Column | None = None  # of num
     dec: Column | None = None  # of num; col is its double lane
+    deep: bool = False  # a computed term, to be named before it is read many times
 
     def named(self, name: str) -> Val:
         return Val(self.kind, F.col(f"`{name}`"), self.prefix)
@@ -39,6 +40,12 @@ class Val:
         return self.kind == other.kind and self.kind != "num" and self.prefix == other.prefix
 
 
+def let(cols: list[Column], f) -> Column:
+    """``f`` of named columns, so that long expressions appear once however often ``f`` reads them."""
+    row = F.struct(*[c.alias(f"v{i}") for i, c in enumerate(cols)])
+    return F.element_at(F.transform(F.array(row), lambda r: f(*[r[f"v{i}"] for i in range(len(cols))])), 1)
+
+
 def null() -> Val:
     return Val("term", lit(None))
 
@@ -158,6 +165,8 @@ def truth(v: Val) -> Column:
         case "num":
             return (v.col != 0) & ~F.isnan(v.col)
         case "term":
+            if v.deep:
+                return let([v.col], lambda c: truth(Val("term", c)))
             lex, dt, n = v.col["lex"], v.col["dt"], number(v)
             known = dt.isin([*INTEGERS, XSD + "decimal", XSD + "float", XSD + "double"])
             return F.when(v.col["k"] == LITERAL, F.when(dt.isNull(), F.length(lex) > 0).when(dt == XSD + "boolean", lex.isin("true", "1")).when(known, F.coalesce((n.col != 0) & ~F.isnan(n.col), F.lit(False))))
@@ -209,6 +218,8 @@ def sort_key(v: Val) -> Column:
         return v.col
     if v.kind != "term":
         return v.col
+    if v.deep:
+        return let([v.col], lambda c: sort_key(Val("term", c)))
     n, (micros, _, _) = number(v), instant(v)
     dt = F.when(n.rank.isNotNull(), "").otherwise(F.coalesce(v.col["dt"], F.lit(XSD + "string")))
     key = F.struct(v.col["k"].alias("k"), dt.alias("dt"), F.coalesce(v.col["lang"], F.lit("")).alias("lang"), n.col.alias("n"), n.dec.alias("dec"), micros.alias("t"), v.col["lex"].alias("lex"))

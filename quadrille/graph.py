@@ -156,7 +156,7 @@ class Dataset:
         q = self.prepare(query) if isinstance(query, str) else query
         source = self.source.scoped(q.default_graphs, q.named_graphs)
         bindings = {n: term(t) for n, t in (bindings or {}).items()}
-        return Result(q, compile_pattern(self.spark, source, q.p, self.base, bindings, now), source)
+        return Result(q, compile_pattern(self.spark, source, q.p, q.base or self.base, bindings, now), source)
 
     def update(self, text: str, bindings: dict[str, Term] | None = None) -> Dataset:
         """Run update operations one after another; self then holds the new snapshot."""

@@ -41,8 +41,8 @@ class Compiler:
         self.now = now or _dt.datetime.now(_dt.timezone.utc)
         self.graph: Term | Var | None = None
 
-    def expressions(self, scope: dict[str, Val]) -> Expressions:
-        return Expressions(scope, self.now, self.base)
+    def expressions(self, scope: dict[str, Val], solution: set[str] | None = None) -> Expressions:
+        return Expressions(scope, self.now, self.base, solution)
 
     def __call__(self, node) -> Plan:
         for rewrite in REWRITES:
@@ -87,14 +87,26 @@ class Compiler:
         return P.left_join(left, right, lambda scope: P.all_of(self.expressions(scope).truth(e) for e in plain)) if plain else P.left_join(left, right)
 
     def graph_(self, node: N.Graph) -> Plan:
-        outer, self.graph = self.graph, node.term
+        """A variable graph is read under a hidden name, so that inner uses of the variable stay their own."""
+        var = isinstance(node.term, Var)
+        outer, self.graph = self.graph, Var("_:" + fresh("graph")) if var else node.term
+        hidden = self.graph.name if var else None
         try:
             plan = self(node.p)
+            if var and hidden not in plan.certain:
+                plan = P.join(plan, self.source.graphs(hidden))
         finally:
             self.graph = outer
-        if isinstance(node.term, Var) and node.term.name not in plan.certain:
-            plan = P.join(plan, self.source.graphs(node.term.name))
-        return plan
+        if not var:
+            return plan
+        name, graph = node.term.name, plan.vars[hidden]
+        rest = [n for n in plan.vars if n != hidden]
+        if name in plan.vars:
+            own = plan.vars[name]
+            plan = plan.where(own.col.isNull() | V.equal_terms(own, graph))
+            rest.remove(name)
+        vals = {**{n: plan.vars[n] for n in rest}, name: graph}
+        return Plan(plan.df.select(*[v.col for v in vals.values()]), vals, plan.certain & set(rest) | {name})
 
     def service(self, node: N.Service) -> Plan:
         if SERVICE is not None:
@@ -213,7 +225,10 @@ class Compiler:
         kept = [*plan.vars, node.var]
         plan, e = self.marked(plan, node.expr)
         certain = isinstance(e, Term) or (isinstance(e, Var) and e.name in plan.certain)
-        plan = plan.bind(node.var, self.expressions(plan.vars)(e), certain)
+        under = node.p
+        while isinstance(under, N.Extend):
+            under = under.p
+        plan = plan.bind(node.var, self.expressions(plan.vars, visible(under))(e), certain)
         return plan.project(kept) if len(kept) != len(plan.vars) else plan
 
     # Aggregation

@@ -183,6 +183,7 @@ class Query:
     describe: list[Term | Var] = field(default_factory=list)
     default_graphs: list[Term] = field(default_factory=list)
     named_graphs: list[Term] = field(default_factory=list)
+    base: str | None = None
 
 
 # Expressions
