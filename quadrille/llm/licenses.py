@@ -229,7 +229,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     cued = text.rlike(CUES)
     rows = docs.select("doc_id", F.when(cued, F.sha2(text.cast("binary"), 256)).alias("blob"))
-    pars = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda p: p.rlike(CUES))
+    pars = F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.trim(p)), lambda p: p.rlike(CUES))
     texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), pars.alias("pars")).dropDuplicates(["blob"])
     each = texts.select("blob", F.explode("pars").alias("par"))
     found = classify(each.select("par").distinct())
