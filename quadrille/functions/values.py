@@ -32,6 +32,7 @@ class Val:
     rank: Column | None = None  # of num
     dec: Column | None = None  # of num; col is its double lane
     deep: bool = False  # a computed term, to be named before it is read many times
+    missing: bool = False  # never bound
 
     def named(self, name: str) -> Val:
         return Val(self.kind, F.col(f"`{name}`"), self.prefix)
@@ -47,7 +48,7 @@ def let(cols: list[Column], f) -> Column:
 
 
 def null() -> Val:
-    return Val("term", lit(None))
+    return Val("term", lit(None), missing=True)
 
 
 def constant(t: Term) -> Val:
@@ -119,7 +120,10 @@ def as_term(v: Val) -> Val:
 
 def unify(vals: list[Val]) -> list[Val]:
     """The values in one common form."""
-    return vals if all(v.same_form(vals[0]) for v in vals) else [as_term(v) for v in vals]
+    known = [v for v in vals if not v.missing]
+    if known and all(v.same_form(known[0]) for v in known):
+        return [Val(known[0].kind, F.lit(None), known[0].prefix) if v.missing else v for v in vals]
+    return [as_term(v) for v in vals]
 
 
 def number(v: Val) -> Val | None:
