@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from dataclasses import replace
 from urllib.parse import urljoin
 
 from pyspark.sql import Column
@@ -42,11 +43,32 @@ class Expressions:
         if isinstance(e, N.Exists):
             raise NotImplementedError("EXISTS in this place")
         if isinstance(e, N.Call):
-            if isinstance(e.name, Term):
-                return self.function(e)
-            return BUILT[e.name](self, *e.args)
+            out = self.function(e) if isinstance(e.name, Term) else self.builtin(e)
+            return replace(out, deep=True) if out.kind == "term" and not out.missing else out
         raise TypeError(f"no expression: {e!r}")
 
+    def builtin(self, e: N.Call) -> Val:
+        """A built-in of arguments, each of which that is a computed term is named first."""
+        args, given = list(e.args), {}
+        for i, a in enumerate(args):
+            if isinstance(a, N.Call):
+                given[f"_:arg{i}"] = self(a)
+                args[i] = Var(f"_:arg{i}")
+        deep = [n for n, v in given.items() if v.deep]
+        f, made = BUILT[e.name], []
+
+        def body(*cols: Column) -> Column:
+            named = {n: Val("term", c) for n, c in zip(deep, cols)}
+            inner = Expressions({**self.scope, **given, **named}, self.now, self.base, self.solution if self.solution is not None else set(self.scope))
+            out = f(inner, *args)
+            made.append(V.as_term(out) if out.kind == "num" else out)
+            return made[0].col
+
+        if not deep:
+            return f(Expressions({**self.scope, **given}, self.now, self.base, self.solution if self.solution is not None else set(self.scope)), *args)
+        col = V.let([given[n].col for n in deep], body)
+        return Val(made[0].kind, col, made[0].prefix)
+
     def truth(self, e) -> Column:
         return V.truth(self(e))
 

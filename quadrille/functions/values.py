@@ -96,7 +96,7 @@ def text_of(v: Val) -> Column:
         case "dtm":
             return datetime_text(v.col)
         case "num":
-            return F.when(v.rank == 0, v.dec.cast("decimal(38,0)").cast("string")).when(v.rank == 1, decimal_text(v.dec)).otherwise(double_text(v.col))
+            return F.when(v.rank == 0, v.dec.cast("decimal(38,0)").cast("string")).when(v.rank == 1, decimal_text(v.dec)).when(v.rank > 1, double_text(v.col))
     return v.col.cast("string")
 
 

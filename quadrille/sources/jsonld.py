@@ -8,9 +8,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
-from ..terms import RDF, XSD, BNode, IRI, Literal, Term
+from ..terms import RDF, XSD, BNode, IRI, Literal, Term, resolve
+from .turtle import unused
 
 KEYWORDS = {"@base", "@container", "@context", "@direction", "@graph", "@id", "@import", "@included", "@index", "@json", "@language", "@list", "@nest", "@none", "@prefix", "@propagate", "@protected", "@reverse", "@set", "@type", "@value", "@version", "@vocab"}
 
@@ -55,7 +55,7 @@ class Context:
             if c.get("@propagate", propagate) is False and out.previous is None:
                 out = replace(out, previous=self)
             if "@base" in c:
-                out = replace(out, base=None if c["@base"] is None else urljoin(out.base or "", c["@base"]))
+                out = replace(out, base=None if c["@base"] is None else resolve(out.base, c["@base"]))
             if "@vocab" in c:
                 v = c["@vocab"]
                 out = replace(out, vocab=None if v is None else out.expand(v, vocab=True, relative=True))
@@ -135,7 +135,7 @@ class Context:
         if vocab and self.vocab is not None:
             return self.vocab + value
         if relative:
-            return urljoin(self.base, value) if self.base else value
+            return resolve(self.base, value)
         return value
 
     def term(self, name: str) -> TermDef:
@@ -164,13 +164,13 @@ class Scripts(HTMLParser):
 
 
 class Walker:
-    def __init__(self, base: str, scope: str):
-        self.base, self.scope = base, scope
+    def __init__(self, base: str, scope: str, mark: str = "j"):
+        self.base, self.scope, self.mark = base, scope, mark
         self.count = itertools.count()
         self.out: list[tuple] = []
 
     def fresh(self) -> Term:
-        return BNode(f"{self.scope}j{next(self.count)}")
+        return BNode(f"{self.scope}{self.mark}{next(self.count)}")
 
     def name(self, iri: str | None) -> Term | None:
         """A node's name; None for what is neither an absolute IRI nor a blank node."""
@@ -380,7 +380,7 @@ def parse_jsonld(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
         docs = [json.loads(t) for t in page.found]
     else:
         docs = [json.loads(text)]
-    walker = Walker(base, scope)
+    walker = Walker(base, scope, unused("j", "_:", text))
     for doc in docs:
         walker.document(doc, Context(base=base or None))
     yield from walker.out

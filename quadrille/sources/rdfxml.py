@@ -6,11 +6,11 @@ import io
 import itertools
 import xml.sax
 from collections.abc import Iterator
-from urllib.parse import urljoin
 from xml.sax.handler import ContentHandler, feature_external_ges, feature_namespaces
 from xml.sax.saxutils import escape, quoteattr
 
-from ..terms import RDF, BNode, IRI, Literal, Term
+from ..terms import RDF, BNode, IRI, Literal, Term, resolve
+from .turtle import unused
 
 XML = "http://www.w3.org/XML/1998/namespace"
 XML_LITERAL = RDF + "XMLLiteral"
@@ -54,9 +54,9 @@ class Frame:
 
 
 class RdfXml(ContentHandler):
-    def __init__(self, base: str, scope: str):
+    def __init__(self, base: str, scope: str, mark: str = "g"):
         super().__init__()
-        self.base, self.scope = base, scope
+        self.base, self.scope, self.mark = base, scope, mark
         self.out: list[tuple] = []
         self.stack: list[Frame] = []
         self.count = itertools.count()
@@ -67,7 +67,7 @@ class RdfXml(ContentHandler):
         self.declared: list[set] = []
 
     def fresh(self) -> Term:
-        return BNode(f"{self.scope}g{next(self.count)}")
+        return BNode(f"{self.scope}{self.mark}{next(self.count)}")
 
     def emit(self, s, p, o) -> None:
         self.out.append((s, p, o, None))
@@ -76,7 +76,7 @@ class RdfXml(ContentHandler):
         self.pending[prefix] = uri
 
     def resolve(self, base: str, text: str) -> Term:
-        return IRI(urljoin(base, text) if base else text)
+        return IRI(text, base)
 
     def identity(self, base: str, name: str) -> Term:
         iri = self.resolve(base, "#" + name)
@@ -97,7 +97,7 @@ class RdfXml(ContentHandler):
         values = {(k[0] or "") + k[1]: v for k, v in attrs.items()}
         base = parent.base if parent else self.base
         if (own := values.pop(XML + "base", None)) is not None:
-            base = urljoin(base, own).split("#")[0]
+            base = resolve(base, own).split("#")[0]
         lang = values.pop(XML + "lang", parent.lang if parent else None) or None
         values = {k: v for k, v in values.items() if not k.startswith((XML, "xml"))}
         for short in ("about", "ID", "resource", "parseType", "type"):  # attributes without a namespace, as of old
@@ -267,7 +267,7 @@ class RdfXml(ContentHandler):
 
 
 def parse_rdfxml(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
-    handler = RdfXml(base, scope)
+    handler = RdfXml(base, scope, unused("g", 'nodeID="', text.replace("'", '"')))
     _run(text, handler)
     yield from handler.out
 

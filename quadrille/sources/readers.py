@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..terms import LITERAL, RDF, XSD, lit, make, term_schema
@@ -91,6 +91,7 @@ NT = rf"^[ \t]*{STATEMENT}\.[ \t]*(?:#.*)?\r?$"
 NQ = rf"^[ \t]*{STATEMENT}{SUBJECT}?[ \t]*\.[ \t]*(?:#.*)?\r?$"
 PATCH = rf"^[ \t]*([AD])[ \t]+{STATEMENT}{SUBJECT}?[ \t]*\.[ \t]*(?:#.*)?\r?$"
 BLANK = r"^[ \t]*(?:#.*)?\r?$"
+MARK = r"^[ \t]*(?:(?:PA|PD|TX|TC|TA|H)(?:[ \t].*|\.)?|#.*)?\r?$"
 
 
 def _unescaped(text: Column) -> Column:
@@ -125,14 +126,16 @@ def _scope(file: Column) -> Column:
     return F.when(file == "", "").otherwise(F.concat(F.lit("f"), F.lower(F.hex(F.crc32(file.cast("binary")))), F.lit("_")))
 
 
-def _checked(rows: DataFrame, pattern: str, strict: bool) -> DataFrame:
-    """Lines of a pattern; others, but for blank ones, are refused or left out."""
+def _checked(rows: DataFrame, pattern: str, strict: bool, other: str = BLANK) -> DataFrame:
+    """Lines of a pattern. Those of ``other`` are left out; the rest are refused, or left out as well.
+
+    The test repeats what the filter says, as a filter may run after what is pushed below it.
+    """
     value = F.col("value")
-    rows = rows.where(~value.rlike(BLANK))
     if not strict:
         return rows.where(value.rlike(pattern))
     bad = F.raise_error(F.concat(F.lit("not a statement: "), value)).cast("string")
-    return rows.withColumn("value", F.when(value.rlike(pattern), value).otherwise(bad))
+    return rows.where(~value.rlike(other)).withColumn("value", F.when(value.rlike(pattern) | value.rlike(other), value).otherwise(bad))
 
 
 def _statements(pattern: str, graph: bool):
@@ -157,7 +160,8 @@ def _hext(rows: DataFrame, file: Column, strict: bool) -> DataFrame:
     rows = rows.select(a.alias("a"), "value", file.alias("file"))
     bad = F.raise_error(F.concat(F.lit("not a hextuple: "), F.col("value")))
     if strict:
-        rows = rows.withColumn("a", F.when(F.size("a") == 6, F.col("a")).otherwise(bad.cast("array<string>")))
+        fine = (F.size("a") == 6) | F.col("value").rlike(r"^\s*$")
+        rows = rows.withColumn("a", F.when(fine, F.col("a")).otherwise(bad.cast("array<string>")))
     else:
         rows = rows.where(F.size("a") == 6)
     scope = _scope(F.col("file"))
@@ -181,14 +185,12 @@ def patch_operations(rows: DataFrame, file: Column, strict: bool = True, order:
     value = F.col("value")
     rows = rows.select("value", file.alias("file"), (order if order is not None else F.monotonically_increasing_id()).alias("line_no"))
     code = F.regexp_extract(value, r"^[ \t]*(A|D|PA|PD|TX|TC|TA|H)(?:[ \t]|\.|$)", 1)
-    rows = rows.where(~value.rlike(BLANK)).withColumn("code", code)
+    rows = rows.withColumn("code", code)
     marks = rows.where(F.col("code").isin("TX", "TC", "TA")).select("file", "line_no", "code")
     # A transaction is open from TX to its TC or TA; the few marks tell which spans are void.
-    from pyspark.sql import Window
-
     ends = F.lead("line_no").over(Window.partitionBy("file").orderBy("line_no"))
     void = marks.select("file", "code", F.col("line_no").alias("lo"), ends.alias("hi"), F.lead("code").over(Window.partitionBy("file").orderBy("line_no")).alias("end")).where("code = 'TX' AND end = 'TA'")
-    rows = _checked(rows.where(F.col("code").isin("A", "D") | (F.col("code") == "")), PATCH, strict)
+    rows = _checked(rows, PATCH, strict, MARK)
     rows = rows.join(F.broadcast(void.select(F.col("file").alias("f"), "lo", "hi")), (F.col("file") == F.col("f")) & F.col("line_no").between(F.col("lo"), F.col("hi")), "left_anti")
     part = lambda n: F.regexp_extract("value", PATCH, n)
     scope = F.lit("")

@@ -5,10 +5,9 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 from ..plans.syntax import LOCAL_NAME, PN, PN_U, PREFIX
-from ..terms import LITERAL, OWL, RDF, XSD, BNode, IRI, Literal, Term, unescape
+from ..terms import LITERAL, OWL, RDF, XSD, BNode, IRI, Literal, Term, resolve, unescape
 
 SCAN = re.compile(
     "|".join(
@@ -34,6 +33,13 @@ SCAN = re.compile(
 )
 
 
+def unused(mark: str, before: str, text: str) -> str:
+    """A start of labels that no label in the text has."""
+    while before + mark in text:
+        mark += mark[0]
+    return mark
+
+
 class TurtleSyntaxError(ValueError):
     pass
 
@@ -44,7 +50,7 @@ class TurtleParser:
     def __init__(self, text: str, base: str = "", scope: str = "", form: str = "turtle"):
         self.text, self.base, self.scope, self.form = text, base, scope, form
         self.prefixes: dict[str, str] = {"": "#"} if form == "n3" else {}
-        self.count = itertools.count()
+        self.count, self.mark = itertools.count(), unused("g", "_:", text)
         self.graph: Term | None = None
         self.out: list[tuple] = []
         self.at = 0
@@ -84,13 +90,13 @@ class TurtleParser:
         return None
 
     def fresh(self) -> Term:
-        return BNode(f"{self.scope}g{next(self.count)}")
+        return BNode(f"{self.scope}{self.mark}{next(self.count)}")
 
     def emit(self, s: Term, p: Term, o: Term) -> None:
         self.out.append((s, p, o, self.graph))
 
     def resolve(self, text: str) -> str:
-        return urljoin(self.base, unescape(text)) if self.base else unescape(text)
+        return resolve(self.base, unescape(text))
 
     def parse(self) -> Iterator[tuple]:
         while self.token[0] != "end":
@@ -251,7 +257,7 @@ class TurtleParser:
             if prefix not in self.prefixes:
                 raise TurtleSyntaxError(f"unknown prefix {prefix!r}")
             space = self.prefixes[prefix]
-            return IRI((urljoin(self.base, space) if space.startswith("#") and self.base else space) + re.sub(r"\\(.)", r"\1", local))
+            return IRI((resolve(self.base, space) if space.startswith("#") else space) + re.sub(r"\\(.)", r"\1", local))
         if kind == "bnode":
             self.next()
             return BNode(self.scope + value[2:])

@@ -111,8 +111,16 @@ class Var(NamedTuple):
         return f"?{self.name}"
 
 
+def resolve(base: str | None, text: str) -> str:
+    """An IRI reference against a base; an absolute one stays as it is, an empty fragment is kept."""
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", text):
+        return text
+    out = urljoin(base, text)
+    return out + "#" if text.endswith("#") and not out.endswith("#") else out
+
+
 def IRI(text: str, base: str | None = None) -> Term:  # noqa: N802
-    return Term(IRI_KIND, urljoin(base, text) if base else text)
+    return Term(IRI_KIND, resolve(base, text))
 
 
 def BNode(label: str | None = None) -> Term:  # noqa: N802
