@@ -136,6 +136,7 @@ class Dataset:
             source = spark.createDataFrame([], term_schema(*"spog"))
         self.source = QuadFrame(source, union) if isinstance(source, DataFrame) else source
         self.handlers: dict[str, list] = {}
+        self.saved = self.source
 
     @property
     def quads(self) -> DataFrame:
@@ -181,6 +182,16 @@ class Dataset:
             raise KeyError(event)
         self.handlers.setdefault(event, []).append(handler)
 
+    def begin(self) -> None:
+        """Remember the present snapshot, to which ``rollback`` returns."""
+        self.saved = self.source
+
+    def commit(self) -> None:
+        self.saved = self.source
+
+    def rollback(self) -> None:
+        self._replace(self.saved)
+
     def changes(self, old: QuadFrame) -> tuple[DataFrame, DataFrame]:
         """Quads added and removed since an earlier snapshot."""
         return self.quads.exceptAll(old.quads), old.quads.exceptAll(self.quads)
@@ -400,6 +411,15 @@ class Graph:
     def transitive_subjects(self, p, o) -> DataFrame:
         return self.project((None, N.Mul(N.as_path(p), "*"), term(o)), "s")
 
+    def closure(self, step, *start: Term) -> DataFrame:
+        """(n) of the start nodes and all that ``step(frontier, graph) -> DataFrame of n`` leads to."""
+        new = materialize(self.spark.createDataFrame([(tuple(t),) for t in start], term_schema("n")).distinct())
+        seen = new
+        while not new.isEmpty():
+            new = materialize(step(new, self).select("n").distinct().join(seen, "n", "left_anti"))
+            seen = seen.unionAll(new)
+        return seen
+
     def cbd(self, *nodes: Term) -> Graph:
         """The concise bounded description of nodes."""
         return self._new(G.description(self.quads, self.spark.createDataFrame([(tuple(n),) for n in nodes], term_schema("n"))))

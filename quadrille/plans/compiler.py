@@ -19,7 +19,7 @@ from . import plan as P
 from .plan import Plan, fresh
 from .syntax import expression_vars, visible
 
-#: Rewrites of algebra nodes before compilation; each returns a node or None to decline.
+#: Rewrites of algebra nodes before compilation, the way to extend evaluation; each returns a node or None to decline.
 REWRITES: list[Callable] = []
 #: Evaluates a SERVICE node to a plan: ``f(spark, node) -> Plan``; None refuses.
 SERVICE: Callable | None = None
