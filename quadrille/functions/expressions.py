@@ -150,6 +150,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
             out = F.when(both, numeric).when(p == q, F.lit(True))
         out = out.when(p.isNull() | q.isNull(), F.lit(None))
         out = out.when((p["k"] != LITERAL) | (q["k"] != LITERAL), F.lit(False)).when(plain, F.lit(False))
+        out = out.when(p["lang"].isNotNull() | q["lang"].isNotNull() | (td != ud), F.lit(False))  # never one value
         return out.when(instants.isNotNull(), instants).when(boolean(p).isNotNull() & boolean(q).isNotNull(), boolean(p) == boolean(q))
     out = F.when(plain & p["lang"].eqNullSafe(q["lang"]), apply(text(p), text(q))).when(instants.isNotNull(), instants)
     out = out.when(boolean(p).isNotNull() & boolean(q).isNotNull(), apply(boolean(p), boolean(q)))
