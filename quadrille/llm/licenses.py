@@ -23,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CONFIRM = 0.8
 VARIANTS = 24
 EPOCHS = 12
@@ -228,9 +230,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_cued (paragraphs with a cue), n_licensed, families (confirmed, joined by commas), unconfirmed, probability (of the surest)."""
     text = F.coalesce("text", F.lit(""))
     cued = text.rlike(CUES)
-    rows = docs.select("doc_id", F.when(cued, F.sha2(text.cast("binary"), 256)).alias("blob"))
+    # Texts without a cue get keys of their own, so that they are dealt out evenly and meet nothing.
+    alone = F.concat(F.lit("-"), F.hex(F.xxhash64("doc_id", F.length(text))))
+    rows = docs.select("doc_id", F.when(cued, F.sha2(text.cast("binary"), 256)).otherwise(alone).alias("blob"))
     pars = F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.trim(p)), lambda p: p.rlike(CUES))
-    texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), pars.alias("pars")).dropDuplicates(["blob"])
+    texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), pars.alias("pars"))
+    texts = materialize(texts.dropDuplicates(["blob"]))
     each = texts.select("blob", F.explode("pars").alias("par"))
     found = classify(each.select("par").distinct())
     names = lambda yes: F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed") == yes, F.col("family")))), ",")
