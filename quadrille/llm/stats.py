@@ -12,7 +12,7 @@ import numpy as np
 SPAN = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 250_000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Shares between 0 and 1, near 0 in ordinary prose.
