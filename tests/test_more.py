@@ -174,3 +174,41 @@ def test_builder_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "t.csv").write_text("id,full name\n1,Ann\n2,\n")
     cli.main(["lift", str(tmp_path / "t.csv"), "--base", E, "--id", "id"], spark)
     assert '<http://e/1> <http://e/fullName> "Ann" .' in capsys.readouterr().out
+
+
+def test_utilities():
+    from quadrille import util
+
+    assert util.unique([3, 1, 3]) == [3, 1] and util.more_than(iter(range(5)), 4) and not util.more_than([1], 1)
+    assert util.date_time(1001265984) == "2001-09-23T17:26:24Z" and util.parse_date_time("2001-09-23T19:26:24+02:00") == 1001265984
+    assert util.to_term("<http://e/a>") == IRI(E + "a") and util.to_term('"x"') == Literal("x") and util.to_term(None) is None
+    assert util.guess_format("a.nq") == "nquads" and util.guess_format("a.unknown") == "turtle"
+
+
+ROUND_TRIP = [
+    "SELECT ?s (COUNT(DISTINCT ?o) AS ?n) WHERE { ?s ?p ?o } GROUP BY ?s HAVING(COUNT(?o) > 1) ORDER BY DESC(?n) ?s LIMIT 3",
+    "SELECT DISTINCT ?s ?x WHERE { ?s <http://e/p>|^<http://e/q> ?o OPTIONAL { ?o <http://e/p> ?x FILTER(?x > 1) } FILTER(!BOUND(?x) || ?x IN (1, 2)) }",
+    "SELECT * WHERE { { ?s <http://e/q>+ ?o } UNION { VALUES (?s ?o) { (<http://e/a> UNDEF) } } MINUS { ?s <http://e/p> 1 } BIND(CONCAT(STR(?s), \"x\") AS ?c) }",
+    "SELECT ?s WHERE { ?s ?p ?o FILTER NOT EXISTS { ?s <http://e/q> ?z } { SELECT (MAX(?v) AS ?m) WHERE { ?a <http://e/p> ?v } } }",
+    "ASK { ?s !(<http://e/p>|^<http://e/q>) ?o }",
+    "CONSTRUCT { ?s <http://e/z> ?o } WHERE { ?s <http://e/p> ?o FILTER(?o * 2 - 1 >= 3) }",
+]
+
+
+@pytest.mark.parametrize("text", ROUND_TRIP)
+def test_algebra_as_text(spark, text):
+    from quadrille.plans.syntax import parse_query
+    from quadrille.plans.text import to_sparql
+
+    a, b, p, q = (IRI(E + n) for n in "abpq")
+    ds = Dataset.of(spark, [(a, p, 1), (a, p, 2), (b, p, 3), (a, q, b), (b, q, a), (b, IRI(E + "r"), 5)])
+
+    def outcome(query):
+        r = ds.query(query)
+        if r.form == "ASK":
+            return r.ask
+        if r.form == "CONSTRUCT":
+            return r.graph.collect()
+        return sorted(map(repr, ({n: t for n, t in sorted(x.items())} for x in r.rows())))
+
+    assert outcome(to_sparql(parse_query(text))) == outcome(text)
