@@ -212,3 +212,21 @@ def test_algebra_as_text(spark, text):
         return sorted(map(repr, ({n: t for n, t in sorted(x.items())} for x in r.rows())))
 
     assert outcome(to_sparql(parse_query(text))) == outcome(text)
+
+
+def test_store(spark, tmp_path):
+    from quadrille.sources.store import QuadStore
+
+    a, p, q = IRI(E + "a"), IRI(E + "p"), IRI(E + "q")
+    store = QuadStore(spark, str(tmp_path / "store"))
+    assert store.open().quads.count() == 0
+    first = store.commit(Dataset.of(spark, [(a, p, 1), (a, q, 2), (a, p, 1)]).quads)
+    ds = Dataset(spark, store.open())
+    result = ds.query(f"SELECT ?o {{ ?s <{E}p> ?o }}")
+    assert [r["o"] for r in result.rows()] == [Literal(1)]
+    plan = result.df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    store.commit(ds.add([(a, q, 3)]).quads)
+    assert store.open().quads.count() == 3 and store.open(first).quads.count() == 2
+    store.destroy()
+    assert store.last() == -1
