@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = members.groupBy("root").agg(F.min("least").alias("reached"))
     reached = members.join(least, "root").select("fp", "reached")
     classes = distinct.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    classes = materialize(classes)  # a join of two plain tables, so that a fingerprint of many rows can be split
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
