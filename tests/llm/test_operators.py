@@ -352,12 +352,16 @@ def test_html_without_an_article_takes_the_dense_part():
 # op7 and op2
 
 
+def sentences(rng):
+    return ". ".join(prose(rng, rng.randint(5, 15)).capitalize() for _ in range(rng.randint(4, 12))) + "."
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     docs, marks = [], []
     for i in range(n):
         good = i % 5 != 0
-        text = ". ".join(prose(rng, rng.randint(5, 15)).capitalize() for _ in range(rng.randint(4, 12))) + "."
+        text = sentences(rng) + (" Set token=abcdef123456 now." if i % 7 == 0 else "")
         if not good:
             text = rng.choice([lambda t: " ".join(w + "***" for w in t.split()), lambda t: t.upper().replace(" ", "!! "), lambda t: t.replace(" ", " | ")])(text)
         docs.append((i, text))
