@@ -23,13 +23,14 @@ ALIASES = {
     "xml": "rdfxml", "pretty-xml": "rdfxml", "application/rdf+xml": "rdfxml", "application/trix": "trix", "json-ld": "jsonld", "application/ld+json": "jsonld", "application/x-ndjson": "hext",
 }
 
-DOCUMENTS: dict[str, Callable[[str, str, str], Iterator[tuple]]] = {
-    "turtle": lambda text, base, scope: TurtleParser(text, base, scope).parse(),
-    "trig": lambda text, base, scope: TurtleParser(text, base, scope, "trig").parse(),
-    "n3": lambda text, base, scope: TurtleParser(text, base, scope, "n3").parse(),
-    "rdfxml": parse_rdfxml,
-    "trix": parse_trix,
-    "jsonld": parse_jsonld,
+#: Parsers of ``(text, base, scope of blank nodes, scope of labels or None)``.
+DOCUMENTS: dict[str, Callable[..., Iterator[tuple]]] = {
+    "turtle": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "turtle", labels).parse(),
+    "trig": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "trig", labels).parse(),
+    "n3": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "n3", labels).parse(),
+    "rdfxml": lambda text, base, scope, labels=None: parse_rdfxml(text, base, scope),
+    "trix": lambda text, base, scope, labels=None: parse_trix(text, base, scope),
+    "jsonld": lambda text, base, scope, labels=None: parse_jsonld(text, base, scope),
 }
 LINES: dict[str, Callable[[DataFrame, Column], DataFrame]] = {}
 
@@ -38,14 +39,16 @@ def guess_format(path: str, default: str = "turtle") -> str:
     return EXTENSIONS.get(os.path.splitext(path)[1].lstrip(".").lower(), default)
 
 
-def read(spark: SparkSession, path: str, form: str | None = None, base: str | None = None, strict: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, form: str | None = None, base: str | None = None, strict: bool = True, shared: bool = False) -> DataFrame:
     """Quads (s, p, o, g) of the files at a path; blank node labels are kept apart by file.
 
-    ``strict`` raises on a line that is not of the format; without it such lines are left out.
+    ``shared`` takes a label to mean one node in all files, as in the parts of a folder that ``write``
+    made. ``strict`` raises on a line that is not of the format; without it such lines are left out.
     """
     form = ALIASES.get(form, form) or guess_format(path)
     if form in LINES:
-        rows = spark.read.option("lineSep", "\n").text(path).select("value", F.input_file_name().alias("file"))
+        name = F.lit("") if shared and form != "patch" else F.input_file_name()
+        rows = spark.read.option("lineSep", "\n").text(path).select("value", name.alias("file"))
         return LINES[form](rows, F.col("file"), strict)
     parse = DOCUMENTS[form]
 
@@ -55,7 +58,7 @@ def read(spark: SparkSession, path: str, form: str | None = None, base: str | No
         for files in batches:
             for name, content in zip(files["path"], files["content"]):
                 scope = f"f{abs(hash_text(name)):x}_"
-                rows = list(parse(bytes(content).decode("utf-8-sig"), base if base is not None else name, scope))
+                rows = list(parse(bytes(content).decode("utf-8-sig"), base if base is not None else name, scope, "" if shared else None))
                 yield pd.DataFrame([[None if t is None else t._asdict() for t in (*q, None)[:4]] for q in rows], columns=list("spog"))
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

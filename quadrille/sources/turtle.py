@@ -45,10 +45,12 @@ class TurtleSyntaxError(ValueError):
 
 
 class TurtleParser:
-    """Quads of a document; blank node labels get ``scope`` so that documents keep theirs apart."""
+    """Quads of a document. Blank nodes get ``scope``, so that documents keep theirs apart; ``labels``, if
+    given, is what the labels in the text get instead."""
 
-    def __init__(self, text: str, base: str = "", scope: str = "", form: str = "turtle"):
+    def __init__(self, text: str, base: str = "", scope: str = "", form: str = "turtle", labels: str | None = None):
         self.text, self.base, self.scope, self.form = text, base, scope, form
+        self.labels = scope if labels is None else labels
         self.prefixes: dict[str, str] = {"": "#"} if form == "n3" else {}
         self.count, self.mark = itertools.count(), unused("g", "_:", text)
         self.graph: Term | None = None
@@ -260,7 +262,7 @@ class TurtleParser:
             return IRI((resolve(self.base, space) if space.startswith("#") else space) + re.sub(r"\\(.)", r"\1", local))
         if kind == "bnode":
             self.next()
-            return BNode(self.scope + value[2:])
+            return BNode(self.labels + value[2:])
         if kind == "var" and self.form == "n3":
             self.next()
             return BNode(f"{self.scope}var_{value[1:]}")

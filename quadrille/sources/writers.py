@@ -1,6 +1,7 @@
 """Quads to documents. ``write`` makes a folder of part files in parallel; ``to_text`` one document on the driver.
 
-Line formats are made by the JVM. Turtle and TriG parts hold whole subjects, each part a document.
+Line formats are made by the JVM. Turtle and TriG parts hold whole subjects, each part a document, and name
+every blank node, as other parts may do; ``read`` them with ``shared``.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def write(quads: DataFrame, path: str, form: str = "nquads", prefixes: dict[str,
 
             rows = [tuple(None if t is None else Term(t["k"], t["lex"], t["dt"], t["lang"]) for t in (q.s, q.p, q.o, q.g)) for b in batches for q in b.itertuples()]
             if rows:
-                yield pd.DataFrame({"value": [TEXTS[form](rows, prefixes or {})]})
+                yield pd.DataFrame({"value": [TEXTS[form](rows, prefixes or {}, False)]})
 
         spread = quads.select("s", "p", "o", "g").repartition(*keys).sortWithinPartitions("g", "s", "p", "o")
         spread.mapInPandas(run, "value string").write.text(path)
@@ -108,14 +109,14 @@ def to_text(quads: DataFrame, form: str = "turtle", prefixes: dict[str, str] | N
 class _Tree:
     """Triples by subject, with what can be written inside something else."""
 
-    def __init__(self, rows: Iterable[tuple]):
+    def __init__(self, rows: Iterable[tuple], inline: bool = True):
         self.by: dict[Term, dict[Term, list[Term]]] = {}
         uses: dict[Term, int] = {}
         for s, p, o, *_ in rows:
             self.by.setdefault(s, {}).setdefault(p, []).append(o)
             if o.k == BNODE:
                 uses[o] = uses.get(o, 0) + 1
-        self.inline = {n for n, c in uses.items() if c == 1 and n in self.by}
+        self.inline = {n for n, c in uses.items() if c == 1 and n in self.by} if inline else set()
         parent = {o: s for s, d in self.by.items() for os in d.values() for o in os if o in self.inline}
         state: dict[Term, int] = {}  # walks up from each node: a walk that meets itself found a loop
         for walk, node in enumerate(list(parent), 1):
@@ -154,8 +155,8 @@ def _turtle_term(t: Term, prefixes) -> str:
     return t.n3(prefixes)
 
 
-def _turtle_body(rows, prefixes, long: bool = False, pad: str = "") -> str:
-    tree = _Tree(rows)
+def _turtle_body(rows, prefixes, long: bool = False, pad: str = "", inline: bool = True) -> str:
+    tree = _Tree(rows, inline)
 
     def obj(t: Term, pad: str) -> str:
         if t.k == BNODE and t in tree.inline:
@@ -181,9 +182,9 @@ def _prefix_lines(prefixes) -> str:
     return "".join(f"@prefix {p}: <{n}> .\n" for p, n in sorted(prefixes.items())) + ("\n" if prefixes else "")
 
 
-def turtle(rows, prefixes) -> str:
+def turtle(rows, prefixes, inline: bool = True) -> str:
     used = _used(rows, prefixes)
-    return _prefix_lines(used) + _turtle_body(rows, used)
+    return _prefix_lines(used) + _turtle_body(rows, used, inline=inline)
 
 
 def long_turtle(rows, prefixes) -> str:
@@ -191,14 +192,14 @@ def long_turtle(rows, prefixes) -> str:
     return _prefix_lines(used) + _turtle_body(rows, used, True)
 
 
-def trig(rows, prefixes) -> str:
+def trig(rows, prefixes, inline: bool = True) -> str:
     used = _used(rows, prefixes)
     by: dict[Term | None, list] = {}
     for q in rows:
         by.setdefault(q[3], []).append(q)
-    out = _prefix_lines(used) + (_turtle_body(by.pop(None), used) if None in by else "")
+    out = _prefix_lines(used) + (_turtle_body(by.pop(None), used, inline=inline) if None in by else "")
     for g in sorted(by):
-        out += f"{g.n3(used)} {{\n{_turtle_body(by[g], used, pad='    ')}}}\n"
+        out += f"{g.n3(used)} {{\n{_turtle_body(by[g], used, pad='    ', inline=inline)}}}\n"
     return out
 
 

@@ -49,6 +49,12 @@ def test_folders_round_trip(spark, quads, tmp_path, form):
     assert back.exceptAll(ground).isEmpty() and ground.exceptAll(back).isEmpty()
 
 
+@pytest.mark.parametrize("form", ["nquads", "hext", "trig"])
+def test_folders_keep_blank_nodes(spark, quads, tmp_path, form):
+    writers.write(quads.repartition(3), str(tmp_path / form), form)
+    assert isomorphic(quads, readers.read(spark, str(tmp_path / form), form, shared=True))
+
+
 def test_strict_and_lax_lines(spark):
     text = "<a:> <b:> <c:> .\nnonsense\n# comment\n\n<a:> <b:> \"x\"@EN . # end\r\n"
     with pytest.raises(Exception, match="not a statement"):
