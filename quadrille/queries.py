@@ -500,7 +500,19 @@ def _replay(spark, sf_dir):
     f"SELECT '<{EX}cust/' || c_custkey || '>' AS s, p, o FROM (SELECT * FROM customer WHERE c_custkey <= 50), LATERAL (VALUES ('<{EX}name>', '\"' || c_name || '\"'), ('<{EX}segment>', '<{EX}seg/' || c_mktsegment || '>'), ('{RDF_TYPE}', '<{EX}Customer>')) AS t(p, o)",
 )
 def _lift(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 50")
+    return _lift_customers(spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 50"))
+
+
+@query(
+    "csv_lift_all",
+    f"SELECT '<{EX}cust/' || c_custkey || '>' AS s, p, o FROM customer, LATERAL (VALUES ('<{EX}name>', '\"' || c_name || '\"'), ('<{EX}segment>', '<{EX}seg/' || c_mktsegment || '>'), ('{RDF_TYPE}', '<{EX}Customer>')) AS t(p, o)",
+)
+def _lift_all(spark, sf_dir):
+    """The whole table; ``csv_lift`` keeps the ids that its SQL names."""
+    return _lift_customers(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+def _lift_customers(rows):
     columns = {"c_name": Column(EX + "name"), "c_mktsegment": Column(EX + "segment", "uri", prefix=EX + "seg/")}
     return triples_text(lift(rows, ["c_custkey"], EX + "cust/", columns, cls=EX + "Customer"))
 

@@ -230,3 +230,15 @@ def test_store(spark, tmp_path):
     assert store.open().quads.count() == 3 and store.open(first).quads.count() == 2
     store.destroy()
     assert store.last() == -1
+
+
+def test_csv_lift_all_lifts_every_customer(spark, tmp_path):
+    from quadrille import queries
+
+    rows = [(k, f"Customer#{k}", ["BUILDING", "MACHINERY"][k % 2]) for k in (*range(1, 121), 15_000)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(map(tuple, queries.all_queries()["csv_lift_all"](spark, str(tmp_path)).select("s", "p", "o").collect()))
+    assert len(got) == 3 * len(rows)
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert got == sorted(duckdb.execute(queries.all_sql()["csv_lift_all"]).fetchall())
