@@ -11,7 +11,8 @@ which a tile can hold at most 65,536 fingerprints, whatever the input.
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and links like
 any other; a text of one or two words hashes its whole word sequence; equal rows each return a row; a
 null doc_id keeps its row and counts for the smallest id only if no other is there (then null); an
-empty table gives an empty result. Other columns of the input are ignored.
+empty table gives an empty result. Other columns of the input are ignored. ``deduplicate`` keeps one row
+of each class whatever the ids: rows without an id, or with the same id, stay if their classes differ.
 """
 
 from __future__ import annotations
@@ -210,27 +211,43 @@ def components(edges: DataFrame) -> DataFrame:
     return root
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
-    prints = materialize(fingerprints(docs))
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id): the least ``doc_id`` of ``prints`` that each distinct fingerprint reaches by links."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = materialize(components(links(distinct.select("fp"), radius)))
     members = roots.join(distinct, roots.v == distinct.fp).select("fp", "root", "least")
     least = members.groupBy("root").agg(F.min("least").alias("reached"))
     reached = members.join(least, "root").select("fp", "reached")
     classes = distinct.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    classes = materialize(classes)  # a join of two plain tables, so that a fingerprint of many rows can be split
+    return materialize(classes)  # a join of two plain tables, so that a fingerprint of many rows can be split
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
+    prints = materialize(fingerprints(docs))
+    classes = _classes(prints, radius)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A digest of a row's id and text, which rows of different classes can't share."""
+    name = docs["doc_id"].cast("string")
+    name = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.sha2(F.concat(name, F.lit(","), F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
+
+
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents without all but the one of smallest doc_id in each class; columns as they were."""
-    classes = near_duplicates(docs, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    kept = kept.distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return conform(rows.dropDuplicates(["doc_id"]), docs)
+    """One document of each class, that of the smallest doc_id (a null only if no other is there); columns as they were.
+
+    Among rows of a class with that same id, or all without one, the one whose digest of id and text is least stays.
+    """
+    key = _row_key(docs)
+    rank = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), key.alias("key"))
+    kept = _classes(fingerprints(docs.select(rank.alias("doc_id"), "text")), radius).select(F.col("component_id.key").alias("__key")).distinct()
+    rows = docs.withColumn("__row", key)
+    rows = rows.join(kept, F.col("__row") == F.col("__key"), "left_semi")
+    return conform(rows.dropDuplicates(["__row"]), docs)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -112,6 +112,16 @@ def test_simhash_awkward_and_empty(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 6, 7]
 
 
+def test_dedup_keeps_one_row_of_each_class_whatever_the_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 50) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (3, d), (8, c), (None, e), (9, e), (9, e), (10, ""), (None, None)]
+    kept = simhash.deduplicate(documents(spark, rows, True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (7, c), (3, d), (9, e), (10, "")], key=str)
+    one_id = simhash.deduplicate(documents(spark, [(1, t) for t in (a, b, c, a)])).collect()
+    assert sorted(r.text for r in one_id) == sorted([a, b, c])
+
+
 # op3 and op8
 
 
