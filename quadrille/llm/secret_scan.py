@@ -25,12 +25,19 @@ MARK, STAND_IN = "", "�"
 MASK = "[SECRET]"
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key from its BEGIN line to the END line of the same label with no other marker between them, or else to the
+#: end of the base64 text that follows. Only possessive loops, so that long texts need no stack.
+PEM = (
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+)*+-----END \1PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info): [^\n\\]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}(?![\w.-]))*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2})?+)"
+)
 #: Kinds in their order: pattern, and the characters that its last group needs. The first three are the base kinds.
 RULES = (
     ("assign", ASSIGN, 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("pem", PEM, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 )
 BASE_KINDS = 3
