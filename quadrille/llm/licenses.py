@@ -1,15 +1,18 @@
 """License scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-A paragraph is what lies between line breaks; one without a cue (``CUES``) is of the unknown class by
-definition. The others are classified by multinomial logistic regression on the presence of word
+A paragraph is a block of lines between blank lines. Its units are its lines, windows of up to ``WINDOW``
+lines joined by a space, and its sentences across lines; one without a cue (``CUES``) is of the unknown
+class by definition. Cues are so chosen that no unit that a template confirms is without one. Units are classified by multinomial logistic regression on the presence of word
 unigrams and bigrams. The model is trained on the driver, in plain Python, on ``VARIANTS`` variants of
 each of the ``TEMPLATES`` and of sentences that use the same words otherwise; held-out variants set the
 temperature and the least probability of a known family. A prediction is confirmed if the paragraph holds
-at least ``CONFIRM`` of the word pairs of one template of that family. Texts are only touched by
+at least ``CONFIRM`` of the word pairs of one template of that family, and no larger share of another
+family's. Windows and sentences count only if confirmed, single lines also if not. Texts are only touched by
 DataFrame operations; weights and templates, fixed tables of a few thousand rows, are broadcast.
 
 Defined results: a null or empty text has no paragraph; a text, or a paragraph, that occurs many times
-is classified once and each row gets the result; a family is listed once for each text; null ids keep
+is classified once and each row gets the result; a family is listed once for each text, and as unconfirmed
+only if a paragraph has it that doesn't confirm it; a line that names two licences in one sentence gets one class; null ids keep
 their row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,7 +21,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +36,14 @@ RATE = 0.3
 DECAY = 1e-4
 SEED = 5
 UNKNOWN = "unknown"
-CUES = r"(?i)licen[sc]|copyright|\(c\)|©|permission|redistribut|warrant|public domain|rights reserved|spdx|creative commons|\bgpl|\bcc0|\bcc[ -]by"
+WINDOW = 4
+CUES = (
+    r"(?i)licen[sc]|copyright|\(c\)|©|permission|redistribut|warrant|public\s+domain|rights\s+reserved|spdx|creative\s+commons|gpl|\bcc0|\bcc[ -]by"
+    r"|hereby[^a-z0-9]+granted|associated[^a-z0-9]+documentation|documentation[^a-z0-9]+files|binary[^a-z0-9]+forms|without[^a-z0-9]+modification|following[^a-z0-9]+conditions|permitted[^a-z0-9]+provided"
+    r"|\bgnu\b|free[^a-z0-9]+software|general[^a-z0-9]+public|mozilla|waived|unencumbered|dedicated[^a-z0-9]+to|prior[^a-z0-9]+written"
+)
+#: Of each cue, lower-cased, what a text must hold to have it; looked for first, as plain search is far cheaper than CUES.
+HOLD = "licen,copyright,(c),©,permission,redistribut,warrant,domain,reserved,spdx,commons,gpl,cc0,cc-by,cc by,hereby,documentation,forms,modification,conditions,permitted,gnu,software,general,mozilla,waived,unencumbered,dedicated,prior".split(",")
 WORDS = r"[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
 
 #: Fixed wording of the licences' own notices.
@@ -216,32 +227,65 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     z = [(F.col(f"w{k}") + m.bias[k]) / m.temperature for k in range(len(m.classes))]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    best = F.coalesce(*[F.when(v == top, F.lit(k)) for k, v in enumerate(z)])
-    sums = sums.select("par", best.alias("class"), (1 / total).alias("probability"))
+    first = F.coalesce(*[F.when(v == top, F.lit(k)) for k, v in enumerate(z)])
+    sums = sums.select("par", first.alias("class"), (1 / total).alias("probability"))
     sums = sums.where((F.col("class") < len(TEMPLATES)) & (F.col("probability") >= m.least))
     held = rows.select("par", F.explode(two).alias("gram")).join(known, "gram").groupBy("par", "class", "template").agg((F.count("*") / F.max("size")).alias("share"))
     held = held.groupBy("par", "class").agg(F.max("share").alias("share"))
+    best = held.groupBy("par").agg(F.max("share").alias("best"))
     names = F.array(*[F.lit(name) for name in TEMPLATES])
-    joined = sums.join(held, ["par", "class"], "left")
-    return joined.select("par", F.element_at(names, F.col("class") + 1).alias("family"), "probability", F.coalesce(F.col("share") >= CONFIRM, F.lit(False)).alias("confirmed"))
+    joined = sums.join(held, ["par", "class"], "left").join(best, "par", "left")
+    return joined.select("par", F.element_at(names, F.col("class") + 1).alias("family"), "probability", F.coalesce((F.col("share") >= CONFIRM) & (F.col("share") >= F.col("best")), F.lit(False)).alias("confirmed"))
+
+
+def _cued(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [low.contains(part) for part in HOLD]) & text.rlike(CUES)
+
+
+def _units(block: Column) -> Column:
+    """The units of a paragraph that have a cue: (par, joined), joined for what isn't a line of its own."""
+    lines = lambda b: F.transform(F.split(b, "\n", -1), lambda p: F.trim(p))
+    unit = lambda joined: lambda p: F.struct(p.alias("par"), F.lit(joined).alias("joined"))
+
+    def of(ls: Column) -> Column:
+        # Lines i to i + n - 1 for each n; too few lines give none.
+        windows = [
+            F.when(F.size(ls) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(ls, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+            for n in range(2, WINDOW + 1)
+        ]
+        sentences = F.split(F.array_join(ls, " "), r"(?<=[.!?])\s+", -1)
+        joined = F.array_except(F.concat(*windows, sentences), ls)
+        cued = lambda a: F.filter(a, lambda p: p.rlike(CUES))
+        return F.concat(F.transform(cued(ls), unit(False)), F.transform(cued(joined), unit(True)))
+
+    return F.element_at(F.transform(F.array(lines(block)), of), 1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_cued (paragraphs with a cue), n_licensed, families (confirmed, joined by commas), unconfirmed, probability (of the surest)."""
+    """doc_id, n_cued (lines with a cue), n_licensed (lines of a family, and families that only joined lines show), families (confirmed, joined by commas), unconfirmed, probability (of the surest)."""
     text = F.coalesce("text", F.lit(""))
-    cued = text.rlike(CUES)
+    cued = _cued(text)
     # Texts without a cue get keys of their own, so that they are dealt out evenly and meet nothing.
     alone = F.concat(F.lit("-"), F.hex(F.xxhash64("doc_id", F.length(text))))
     rows = docs.select("doc_id", F.when(cued, F.sha2(text.cast("binary"), 256)).otherwise(alone).alias("blob"))
-    pars = F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.trim(p)), lambda p: p.rlike(CUES))
-    texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), pars.alias("pars"))
-    texts = materialize(texts.dropDuplicates(["blob"]))
-    each = texts.select("blob", F.explode("pars").alias("par"))
+    blocks = F.filter(F.split(text, r"\n[ \t\r]*\n", -1), lambda b: b.rlike(CUES))
+    texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), blocks.alias("blocks")).dropDuplicates(["blob"])
+    texts = texts.select("blob", F.posexplode("blocks").alias("block", "lines"))
+    each = materialize(texts.select("blob", "block", F.explode(_units(F.col("lines"))).alias("unit")).select("blob", "block", "unit.par", "unit.joined"))
     found = classify(each.select("par").distinct())
-    names = lambda yes: F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed") == yes, F.col("family")))), ",")
-    by_text = each.join(found, "par", "left").groupBy("blob").agg(
-        F.count("*").alias("n_cued"), F.count("family").alias("n_licensed"), names(True).alias("families"), names(False).alias("unconfirmed"), F.max("probability").alias("probability")
-    )
+    rated = each.join(found, "par", "left").where("not joined or confirmed")
+    line = ~F.col("joined")
+    families = lambda which: F.collect_set(F.when(which, F.col("family")))
+    by_block = rated.groupBy("blob", "block").agg(
+        F.count_if(line).alias("n_cued"), F.count_if(line & F.col("family").isNotNull()).alias("n_lines"), families(line).alias("of_lines"),
+        families(F.col("confirmed")).alias("yes"), families(~F.col("confirmed")).alias("no"), F.max("probability").alias("probability"),
+    )
+    names = lambda c: F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), ",")
+    by_text = by_block.groupBy("blob").agg(
+        F.sum("n_cued").alias("n_cued"), F.sum(F.col("n_lines") + F.size(F.array_except("yes", "of_lines"))).alias("n_licensed"),
+        names(F.col("yes")).alias("families"), names(F.array_except("no", "yes")).alias("unconfirmed"), F.max("probability").alias("probability"),
+    )
     out = rows.join(by_text, "blob", "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
     return out.select("doc_id", F.coalesce("n_cued", zero).alias("n_cued"), F.coalesce("n_licensed", zero).alias("n_licensed"), F.coalesce("families", none).alias("families"), F.coalesce("unconfirmed", none).alias("unconfirmed"), "probability")

@@ -482,3 +482,47 @@ def test_license_scores_are_the_model_s(spark):
             assert found[t].family == model.classes[k] and found[t].probability == pytest.approx(p[k])
         else:
             assert t not in found
+
+
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD_WRAPPED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL_WRAPPED = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL_WRAPPED = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_wrapped_licenses_are_confirmed(spark):
+    rng = random.Random(22)
+    commented = "\n".join("# " + line for line in GPL_WRAPPED.split("\n"))
+    narrow = re.sub(r"(.{30}\S*)\s", r"\1\n", MIT_WRAPPED.split("\n\n")[0].replace("\n", " "))
+    notices = [(MIT_WRAPPED, "mit"), (BSD_WRAPPED, "bsd"), (GPL_WRAPPED, "gpl"), (LGPL_WRAPPED, "lgpl"), (commented, "gpl"), ("Released under the MIT License. Licensed under CC BY 4.0.", "cc-by,mit"), (GPL_WRAPPED + "\n\n" + BSD_WRAPPED, "bsd,gpl"), (narrow, "mit")]
+    rows = [(2 * i, t) for i, (t, _) in enumerate(notices)] + [(2 * i + 1, f"{prose(rng, 20)}\n\n{t}\n\n{prose(rng, 20)}") for i, (t, _) in enumerate(notices)]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, (_, want) in enumerate(notices):
+        assert [got[2 * i].families, got[2 * i + 1].families] == [want, want]
+        assert got[2 * i].n_licensed > 0
+
+
+def test_no_confirmed_unit_is_without_a_cue():
+    cues = re.compile(licenses.CUES)
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            own = licenses.pairs(t)
+            lost = sum(1 for p in own if not cues.search(p))
+            assert lost < licenses.CONFIRM * len(own), t
+    held = [alternative.replace("\\b", "").replace("\\s+", " ").replace("[^a-z0-9]+", " ").replace("[sc]", "s").replace("[ -]", "-").replace("\\", "") for alternative in licenses.CUES[4:].split("|")]
+    assert all(cues.search(c) and any(part in c for part in licenses.HOLD) for c in held)
