@@ -1,11 +1,13 @@
-"""Quality rules: fixed limits, then an isolation forest over how far a text goes beyond usual limits.
+"""Quality rules: fixed limits, then an isolation forest over the rule statistics.
 
-Each share of ``stats.SHARES`` has a limit, the ``QUANTILE`` of labelled good texts. What a text has
-beyond the limits is the statistic that the forest splits at random: ordinary texts share one point and
-are hard to isolate, odd ones end after a few splits. The threshold on the forest's score is the one
-that best parts labelled bad from labelled good texts, a lost good text counting ``LOSS`` times. The
-forest, limits and threshold are fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of
-their ids; words, counts and verdicts cover all texts whole.
+The statistics are the shares of ``stats.SHARES`` as they are, on a square-root scale that keeps small
+ones apart; none is cut at a limit. The forest grows on labelled good texts. Each node splits a random
+statistic at a random place of the range that is still open there, not of the points seen, so the space
+where no good text lies is cut off after few splits: a text that falls there, by one statistic or by an
+unusual combination of ordinary ones, has a short path. The threshold on the forest's score is the one
+that best parts labelled bad from labelled good texts, a lost good text counting ``LOSS`` times. Forest
+and threshold are fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of their ids;
+words, counts and verdicts cover all texts whole.
 
 Defined results: a null or empty text has no words and fails the base rule; without labelled rows of
 both kinds, the method keeps whatever passes the base rule; equal rows each return a row, null ids too;
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 from .stats import BASE, SHARES, measure
 
 SAMPLE = 20_000
-TREES, SUBSAMPLE, DEPTH = 100, 256, 8
-QUANTILE = 0.999
+TREES, SUBSAMPLE, DEPTH = 100, 512, 12
 LOSS = 10
 SEED = 7
+ROWS = 2048
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
@@ -57,55 +59,58 @@ def _mean_depth(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
+def points(shares: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.clip(shares, 0, 1)).astype(np.float32)
+
+
 class Forest:
-    """Isolation forest: nested (feature, split, below, above); a leaf is the path length at its end."""
+    """Isolation forest: nodes as flat arrays; a leaf leads to itself and holds the path length at its end."""
 
-    def __init__(self, points: np.ndarray, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        size = min(SUBSAMPLE, len(points))
+    def __init__(self, known: np.ndarray, seed: int = SEED):
+        self.rng, self.nodes = np.random.default_rng(seed), []
+        size, width = min(SUBSAMPLE, len(known)), known.shape[1]
         self.scale = max(_mean_depth(size), 1e-9)
-        self.trees = [self._grow(points[rng.choice(len(points), size, replace=False)], 0, rng) for _ in range(TREES)]
-
-    def _grow(self, rows: np.ndarray, depth: int, rng) -> tuple | float:
-        spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 else []
-        if depth >= DEPTH or not len(spread):
-            return depth + _mean_depth(len(rows))
-        k = int(rng.choice(spread))
-        at = float(rng.uniform(rows[:, k].min(), rows[:, k].max()))
-        below = rows[:, k] <= at
-        return (k, at, self._grow(rows[below], depth + 1, rng), self._grow(rows[~below], depth + 1, rng))
-
-    def _paths(self, tree: tuple | float, points: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(tree, tuple):
-            out[at] += tree
-        elif len(at):
-            below = points[at, tree[0]] <= tree[1]
-            self._paths(tree[2], points, at[below], out)
-            self._paths(tree[3], points, at[~below], out)
-
-    def score(self, points: np.ndarray) -> np.ndarray:
-        """Near 1: isolated early; about 0.5 and less: like the rest."""
-        distinct, back = np.unique(points, axis=0, return_inverse=True)
-        total = np.zeros(len(distinct))
-        for tree in self.trees:
-            self._paths(tree, distinct, np.arange(len(distinct)), total)
-        return (2 ** (-total / len(self.trees) / self.scale))[back.ravel()]
+        self.roots = np.array([self._grow(known[self.rng.choice(len(known), size, replace=False)], 0, np.zeros(width), np.ones(width)) for _ in range(TREES)], np.int32)
+        feature, split, below, above, length = zip(*self.nodes)
+        self.feature, self.below, self.above = (np.array(x, np.int32) for x in (feature, below, above))
+        self.split, self.length = np.array(split, np.float32), np.array(length, np.float32)
+        del self.rng, self.nodes
+
+    def _grow(self, rows: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray) -> int:
+        """The number of the node over these rows, whose statistics can lie from ``low`` to ``high``."""
+        at = len(self.nodes)
+        self.nodes.append((0, 0.0, at, at, depth + _mean_depth(len(rows))))
+        if depth < DEPTH and len(rows) > 1:
+            k = int(self.rng.integers(len(low)))
+            split = np.float32(self.rng.uniform(low[k], high[k]))
+            inner, outer = high.copy(), low.copy()
+            inner[k] = outer[k] = split
+            left = rows[:, k] <= split
+            self.nodes[at] = (k, split, self._grow(rows[left], depth + 1, low, inner), self._grow(rows[~left], depth + 1, outer, high), 0.0)
+        return at
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """Near 1: isolated early; the lower, the more good texts are alike."""
+        out = np.zeros(len(rows))
+        for i in range(0, len(rows), ROWS):
+            part = rows[i : i + ROWS]
+            at, own = np.broadcast_to(self.roots, (len(part), len(self.roots))), np.arange(len(part))[:, None]
+            for _ in range(DEPTH):
+                at = np.where(part[own, self.feature[at]] <= self.split[at], self.below[at], self.above[at])
+            out[i : i + ROWS] = 2.0 ** (-self.length[at].mean(1, dtype=np.float64) / self.scale)
+        return out
 
 
 class Rules:
-    """Limits, forest and threshold, fitted on measured labelled rows."""
+    """Forest and threshold, fitted on measured labelled rows."""
 
     def __init__(self, counts: np.ndarray, shares: np.ndarray, label: np.ndarray):
         use = ~base_failed(counts) if len(counts) else np.zeros(0, bool)
-        shares, good = shares[use], label[use] == 1
+        known, good = points(shares[use]), label[use] == 1
         self.fitted = bool(good.any() and (~good).any())
         if self.fitted:
-            self.limits = np.quantile(shares[good], QUANTILE, axis=0)
-            self.forest = Forest(self.excess(shares))
-            self.threshold = self._calibrate(self.forest.score(self.excess(shares)), good)
-
-    def excess(self, shares: np.ndarray) -> np.ndarray:
-        return np.clip((shares - self.limits) / np.maximum(self.limits, 0.02), 0, 1).round(3)
+            self.forest = Forest(known[good])
+            self.threshold = self._calibrate(self.forest.score(known), good)
 
     @staticmethod
     def _calibrate(score: np.ndarray, good: np.ndarray) -> float:
@@ -118,7 +123,7 @@ class Rules:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Base counts, whether the base rule fails, score by the forest (0 if not fitted)."""
         counts, shares = measure(texts)
-        score = self.forest.score(self.excess(shares)) if self.fitted and len(texts) else np.zeros(len(texts))
+        score = self.forest.score(points(shares)) if self.fitted else np.zeros(len(texts))
         return counts, base_failed(counts), score
 
     def keep(self, failed: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -132,17 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, the base counts, base_failed, anomaly, kept of each document."""
+    """doc_id, the base counts, base_failed, kept and anomaly (the forest's score) of each document."""
     rules = fit(docs, labels, sample)
 
     def run(batches):
         for b in batches:
             counts, failed, score = rules(b.column(1).to_pylist())
-            arrays = [b.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(score), pa.array(rules.keep(failed, score))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *BASE, "base_failed", "anomaly", "kept"])
+            arrays = [b.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(rules.keep(failed, score)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *BASE, "base_failed", "kept", "anomaly"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, anomaly double, kept boolean"
+    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, kept boolean, anomaly double"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

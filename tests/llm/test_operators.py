@@ -408,22 +408,82 @@ def test_quality_rules(spark):
     rng = random.Random(10)
     twice = prose(rng, 40)
     more = [(None if i is None else i + 2000, t) for i, t in awkward()] + [(900, f"{twice} {prose(rng, 100)} {twice}"), (901, "a b c d e f g h " * 9), (902, "x\n\nx\nx \ny"), (903, prose(rng, 30).replace(" ", "\x1c ")), (904, "ab " * 25)]
-    got = rules.verdicts(frame.union(documents(spark, more)), marks).collect()
-    want = sorted((str(i), *brute_rules(t)) for i, t in docs + [m for m in more if m[0] != 2005])
-    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got if r.doc_id != 2005) == want
+    everything = documents(spark, docs + more, True)
+    got = rules.verdicts(everything, marks).collect()
+    want = sorted((str(i), *brute_rules(t)) for i, t in docs + more)
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert list(got[0].asDict()) == ["doc_id", *rules.BASE, "base_failed", "kept", "anomaly"]
     verdict = {r.doc_id: r.kept for r in got}
     usable = {i for i, t in docs if not brute_rules(t)[5]}
     good, bad = [i for i in usable if i % 5], [i for i in usable if i % 5 == 0]
     assert sum(verdict[i] for i in good) >= 0.99 * len(good)
     assert sum(verdict[i] for i in bad) <= 0.1 * len(bad)
     assert not any(r.kept for r in got if r.base_failed)
-    kept = rules.filter_documents(frame, marks)
-    assert kept.columns == frame.columns and kept.count() == sum(verdict[i] for i, _ in docs)
+    kept = rules.filter_documents(everything, marks)
+    assert kept.columns == everything.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for (i, t), r in zip(docs + more, sorted_like(got, docs + more)) if r.kept)
     without = rules.verdicts(frame, marks.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in without)
     assert rules.verdicts(frame.limit(0), marks).count() == 0
 
 
+def sorted_like(rows, docs):
+    """The rows in the order of the documents; rows of one id are equal."""
+    by = {r.doc_id: r for r in rows}
+    return [by[i] for i, _ in docs]
+
+
+def test_isolation_scores_match_brute_force():
+    rng = np.random.default_rng(3)
+    good = rules.points(np.abs(rng.normal(0.05, 0.03, (700, len(rules.SHARES)))))
+    forest = rules.Forest(good)
+    others = np.concatenate([good[:50], rules.points(rng.random((50, len(rules.SHARES))))])
+
+    def path(node, x):
+        """Splits to the end, and the mean depth of a search among the good texts that end there too."""
+        while forest.below[node] != node:
+            node = forest.below[node] if x[forest.feature[node]] <= forest.split[node] else forest.above[node]
+        return forest.length[node]
+
+    def depth_of(n):
+        return 0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    want = [2 ** (-np.mean([path(r, x) for r in forest.roots]) / depth_of(rules.SUBSAMPLE)) for x in others]
+    assert forest.score(others) == pytest.approx(want)
+    assert min(forest.score(others[50:])) > max(forest.score(good))
+    # Along every path, each leaf holds its depth and what is left of the subsample.
+    held = {}
+
+    def walk(node, depth):
+        if forest.below[node] == node:
+            held[node] = depth
+        else:
+            walk(forest.below[node], depth + 1), walk(forest.above[node], depth + 1)
+
+    for root in forest.roots:
+        walk(root, 0)
+    assert all(forest.length[n] >= d and (d <= rules.DEPTH) for n, d in held.items())
+    assert any(forest.length[n] == d for n, d in held.items()) and any(forest.length[n] > d for n, d in held.items())
+
+
+def test_the_forest_judges_combinations_not_limits():
+    """Good texts have either many digits or many symbols; a text with both passes every limit and yet is odd."""
+    rng = np.random.default_rng(4)
+    share = lambda digits, symbols, n: np.c_[rng.normal(symbols, 0.01, n), np.full((n, 3), 0.01), rng.normal(digits, 0.01, n), np.full((n, 4), 0.02)].clip(0, 1)
+    good = np.concatenate([share(0.5, 0.02, 600), share(0.02, 0.5, 600)])
+    bad = share(0.5, 0.5, 60)
+    counts = np.full((len(good) + len(bad), len(rules.BASE)), 100)
+    counts[:, rules.BASE.index("n_repeat_words")] = 0
+    fitted = rules.Rules(counts, np.concatenate([good, bad]), np.r_[np.ones(len(good)), np.zeros(len(bad))])
+    odd = share(0.48, 0.48, 40)
+    beyond = (odd > good.max(0)).any(1)
+    kept = fitted.keep(np.zeros(len(odd), bool), fitted.forest.score(rules.points(odd)))
+    assert not beyond.any() and not kept.any()
+    fresh = np.concatenate([share(0.5, 0.02, 200), share(0.02, 0.5, 200)])
+    over = (fresh > np.quantile(good, 0.999, axis=0)).any(1)
+    kept = fitted.keep(np.zeros(len(fresh), bool), fitted.forest.score(rules.points(fresh)))
+    assert kept.mean() > 0.98 and kept[over].any()  # beyond a limit, and kept
+
+
 def test_quality_classifier(spark):
     docs, frame, marks = labelled(spark, 600)
     got = quality.score(frame.union(documents(spark, awkward())), marks).collect()
