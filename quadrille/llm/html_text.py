@@ -1,14 +1,16 @@
 """Main text of web pages, from parser events and the text-to-tag ratio of lines.
 
-The standard library's parser streams events; every block-level tag ends a line, which keeps its text,
-the tags seen in it and the containers around it. Lines inside what a page sets around its article
-(navigation, header, footer, aside, form, script and style, or a class, id or role that says so) are
-boilerplate. The ratios of text to tags are smoothed by a Gaussian and parted in two clusters; the lines
-of the upper one are the core. The content region is the container that holds the core: articles and
-mains count for more than plain containers, and of plain ones the innermost that still holds
-``HOLDS`` of the core is taken. All lines of the region but boilerplate are the text, short ones too.
-
-Defined results: a null or empty page, and one without text outside boilerplate, gives an empty text;
+The standard library's parser streams events. Every block-level tag ends a line, which keeps its text,
+the tags seen in it and the elements around it. The logarithms of the lines' ratios of text to tags are
+smoothed by a Gaussian, so that a short line in a dense stretch counts as dense. What the tags say is
+evidence that scales this density: the furniture of a page (navigation, header, footer, aside, form, or
+a class, id or role that says so) lowers it, an article, a main or a heading raises it. Two clusters of
+the result part the core lines from the others. The content region is the container in which core text
+outweighs other text by most, where what an article holds besides counts neither way; the text is the
+region's core lines, and its other lines unless evidence is against them, so short paragraphs stay. A class or id that only partly names furniture weighs little, and one
+around most of the page nothing.
+
+Defined results: a null or empty page, and one without text outside furniture, gives an empty text;
 unclosed and stray tags are borne; a page cut off is read to its end; character references are decoded;
 white space inside a block becomes one space; equal pages each return a row, null ids too; an empty
 table gives an empty result; other columns are ignored.
@@ -17,7 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,99 +27,177 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 1.0
-HOLDS = 0.7
+#: Characters for each tag from which a line is simply dense.
+DENSE = 100
+#: What evidence makes of a line's density.
+FURNITURE, DOUBTFUL, FAVOURED = 0.1, 0.7, 1.5
+#: Shares of the page's text from which a class, id or role around it says nothing: with a title, main or article in it, and without.
+MOST, NEARLY_ALL = 0.5, 0.9
 
-CONTAINERS = frozenset("html body article main section div nav header footer aside form table ul ol dl menu figure details dialog fieldset blockquote center template noscript svg math iframe object select button textarea head".split())
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre hr address figcaption summary legend option title tbody thead tfoot".split())
-BLOCKS = CONTAINERS | LEAVES
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH_LIKE = HEADINGS | {"p"}
+#: Elements that are parts of a region, not regions.
+LINES = PARAGRAPH_LIKE | frozenset("li dt dd tr td th thead tbody tfoot caption pre figcaption summary legend address".split())
+BLOCKS = HEADINGS | frozenset(
+    "html head body article main section div nav header footer aside form table thead tbody tfoot tr td th caption ul ol dl li dt dd menu p pre hr address figure figcaption details summary dialog fieldset legend blockquote center title template noscript svg math iframe object select option button textarea script style".split()
+)
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-DROPPED = frozenset("nav footer aside form menu dialog template noscript svg math iframe object select button textarea head script style".split())
+UNSEEN = frozenset("head title script style template noscript svg math iframe object select option button textarea".split())
+OF_THE_PAGE = frozenset("nav footer aside menu dialog".split())
 ARTICLES = frozenset(("article", "main"))
-HINTS = frozenset(
+#: An open element of the key ends where one of these begins.
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Words of a class or id that name furniture, and words that may stand beside them.
+NAMES = frozenset(
     "nav navbar navigation menu submenu sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup comment comments disqus respond reply replies share sharing social breadcrumb breadcrumbs pagination pager related recommended widget copyright login search skip toolbar masthead".split()
 )
+BESIDE = frozenset("site global primary secondary top bottom left right inner outer box block bar area section container wrapper wrap list slot unit item items link links button buttons form post posts panel module header text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
-def _hinted(attrs: list[tuple[str, str | None]]) -> bool:
+@lru_cache(10_000)
+def _named(value: str, of_id: bool) -> float:
+    """What a class or id attribute does to density: FURNITURE if one of its names says nothing else, DOUBTFUL if one says so partly."""
+    weight = 1.0
+    for name in [value] if of_id else value.split():
+        words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+        if found := [w for w in words if w in NAMES]:
+            whole = all(w in NAMES or w in BESIDE for w in words) and found
+            weight = min(weight, FURNITURE if whole else DOUBTFUL)
+    return weight
+
+
+def _evidence(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """What an element's attributes do to the density of its text; 0 hides it."""
+    weight = 1.0
     for name, value in attrs:
-        if name == "hidden" or (name == "role" and (value or "").lower() in ROLES) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id") and value and not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return 0.0
+        if name == "role" and (value or "").lower() in ROLES:
+            weight = FURNITURE
+        elif value and (name == "class" or (name == "id" and tag not in HEADINGS)):
+            weight = min(weight, _named(value, name == "id"))
+    return weight
+
+
+class Element:
+    """An open or closed element: its own evidence, what it holds, and what is around it."""
+
+    __slots__ = ("tag", "outer", "own", "attrs", "size", "content", "net", "number")
 
+    def __init__(self, tag: str, outer: Element | None, own: float, attrs: float, number: int):
+        self.tag, self.outer, self.own, self.attrs, self.number = tag, outer, own, attrs, number
+        self.size = 0  # characters within
+        self.content = False  # whether a title, main or article is within
+        self.net = 0  # core characters less the others
 
-class Lines(HTMLParser):
-    """Collects (text, tags, containers, boilerplate) of each line."""
+
+class Page(HTMLParser):
+    """Collects lines (text, tags, element) and the elements, outer ones first."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.tags_of: list[str] = []  # by container
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container, boilerplate
-        self.leaf = ""
-        self.leaf_dropped = False
-        self.text: list[str] = []
+        self.root = Element("", None, 1.0, 1.0, 0)
+        self.elements, self.stack = [self.root], [self.root]
+        self.inline: list[tuple[str, Element]] = []  # open inline elements with evidence
+        self.lines: list[tuple[str, int, Element]] = []
+        self.parts: dict[int, tuple[Element, list[str]]] = {}
         self.tags = 0
 
     def _end_line(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                dropped = self.leaf_dropped or bool(self.stack and self.stack[-1][2])
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), dropped))
+        for element, parts in self.parts.values():
+            if text := " ".join("".join(parts).split()):
+                self.lines.append((text, self.tags, element))
                 self.tags = 0
-            self.text = []
+        self.parts = {}
+        self.inline.clear()
+
+    def _new(self, tag: str, outer: Element, attrs) -> Element:
+        own = 1.0
+        if tag in UNSEEN:
+            own = 0.0
+        elif tag in OF_THE_PAGE or (tag == "header" and not any(e.tag in ARTICLES for e in self.stack)):
+            own = FURNITURE
+        weight = _evidence(tag, attrs) if attrs else 1.0
+        if tag == "form":
+            weight = min(weight, FURNITURE)
+        element = Element(tag, outer, own, weight, len(self.elements))
+        self.elements.append(element)
+        if tag == "h1" or (tag in ARTICLES and weight == 1):
+            element.content = True
+        return element
 
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
-        if tag in ("script", "style"):
-            self._end_line()
-            self.stack.append((tag, self._container(tag), True))
+            self.handle_data(" ")
         elif tag in BLOCKS:
             self._end_line()
-            self.leaf, self.leaf_dropped = "", False
-            if tag in LEAVES:
-                self.leaf, self.leaf_dropped = tag, _hinted(attrs)
-            else:
-                inside = any(t in ARTICLES for t, _, _ in self.stack)
-                dropped = bool(self.stack and self.stack[-1][2]) or tag in DROPPED or (tag == "header" and not inside)
-                hinted = tag not in ARTICLES and tag not in ("html", "body") and _hinted(attrs)
-                self.stack.append((tag, self._container(tag), dropped or hinted))
+            while len(self.stack) > 1 and (self.stack[-1].tag in PARAGRAPH_LIKE or tag in ENDED_BY.get(self.stack[-1].tag, ())):
+                self.stack.pop()
+            element = self._new(tag, self.stack[-1], attrs)
+            if tag not in VOID:
+                self.stack.append(element)
+        elif attrs and tag not in VOID and _evidence(tag, attrs) != 1:
+            self.inline.append((tag, self._new(tag, self.inline[-1][1] if self.inline else self.stack[-1], attrs)))
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _container(self, tag: str) -> int:
-        self.tags_of.append(tag)
-        return len(self.tags_of) - 1
-
     def handle_endtag(self, tag) -> None:
         self.tags += 1
-        if tag in BLOCKS or tag in ("script", "style"):
+        if tag in BLOCKS:
             self._end_line()
-            self.leaf, self.leaf_dropped = "", False
-            if tag not in LEAVES:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == tag:
-                        del self.stack[i:]
-                        break
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == tag:
+                    del self.stack[i:]
+                    break
+        else:
+            for i in range(len(self.inline) - 1, -1, -1):
+                if self.inline[i][0] == tag:
+                    del self.inline[i:]
+                    break
 
     def handle_data(self, data) -> None:
-        self.text.append(data)
+        element = self.inline[-1][1] if self.inline else self.stack[-1]
+        if element.number not in self.parts:
+            self.parts[element.number] = element, []
+        self.parts[element.number][1].append(data)
 
-    def finish(self, html: str) -> Lines:
+    def finish(self, html: str) -> Page:
         self.feed(html)
         self.close()
         self._end_line()
         return self
 
 
+def weights_of(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """What evidence against each line makes of its density (0: text that isn't shown), and what evidence for it does."""
+    seen: list[float] = []  # by element, the tags alone
+    for e in page.elements:
+        seen.append(e.own * (seen[e.outer.number] if e.outer else 1.0))
+    total = 0
+    for text, _, e in page.lines:
+        if seen[e.number] == 1:
+            e.size += len(text)
+            total += len(text)
+    for e in reversed(page.elements):
+        if e.outer:
+            e.outer.size += e.size
+            e.outer.content |= e.content
+    weight, favour = [], []
+    for e in page.elements:
+        said = e.attrs
+        if 0 < said < 1 and e.size >= (MOST if e.content else NEARLY_ALL) * max(1, total):
+            said = 1.0
+        weight.append(min(e.own, said) * (weight[e.outer.number] if e.outer else 1.0))
+        favour.append(e.tag in HEADINGS or e.tag in ARTICLES or bool(e.outer and favour[e.outer.number]))
+    at = [e.number for _, _, e in page.lines]
+    return np.array(weight)[at], np.where(np.array(favour)[at], FAVOURED, 1.0)
+
+
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
@@ -125,7 +205,8 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The middle between two clusters of the values."""
+    """The middle between two clusters of the values and zero, which a page of one density lies above."""
+    values = np.append(values, 0.0)
     low, high = float(values.min()), float(values.max())
     for _ in range(20):
         at = (low + high) / 2
@@ -140,24 +221,24 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    page = Lines().finish(html)
-    usable = [line for line in page.lines if not line[3]]
-    if not usable:
+    page = Page().finish(html)
+    weight, favour = weights_of(page)
+    plain = weight == 1
+    if not plain.any():
         return ""
-    ratio = smooth(np.array([0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in page.lines]))
-    at = threshold(ratio)
-    core = [line for line, r in zip(page.lines, ratio) if not line[3] and r >= at] or usable
-    held, every = Counter(), Counter()
-    for lines, into in ((core, held), (usable, every)):
-        for text, _, containers, _ in lines:
-            for c in containers:
-                into[c] += len(text)
-    articles = {c for c in held if page.tags_of[c] in ARTICLES} or {c for c in every if page.tags_of[c] in ARTICLES}
-    if articles:
-        return " ".join(text for text, _, containers, _ in usable if not articles.isdisjoint(containers))
-    total = sum(len(text) for text, *_ in core)
-    region = max((c for c, n in held.items() if n >= HOLDS * total), default=None)  # containers number inwards
-    return " ".join(text for text, _, containers, _ in usable if region is None or region in containers)
+    density = weight * favour * smooth(np.log1p([min(len(text) / max(1, tags), DENSE) for text, tags, _ in page.lines]))
+    core = density >= threshold(density)
+    for (text, _, e), c, against in zip(page.lines, core, plain & (favour == 1)):
+        e.net += len(text) if c else -len(text) if against else 0
+    for e in reversed(page.elements):
+        if e.outer:
+            e.outer.net += e.net
+    region = max((e for e in page.elements if e.tag not in LINES), key=lambda e: (e.net, -e.number))  # of equal ones the outermost
+    inside = set()
+    for e in page.elements[region.number :]:
+        if e is region or (e.outer and e.outer.number in inside):
+            inside.add(e.number)
+    return " ".join(text for (text, _, e), keep in zip(page.lines, plain | (core & (weight > 0))) if keep and e.number in inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:

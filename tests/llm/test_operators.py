@@ -372,6 +372,57 @@ def test_html_without_an_article_takes_the_dense_part():
     assert text.startswith("Head Sentences") and text.endswith("Short.") and "item" not in text
 
 
+LONG = "Sentences that go on for a while, as articles do, and then some more. "
+
+
+def page(*parts):
+    return f"<html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
+
+
+NAV = "<nav><ul>" + "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(12)) + "</ul></nav>"
+PARAGRAPHS = "".join(f"<p>{k} {LONG * 3}</p>" for k in range(4))
+PARAGRAPHS_TEXT = " ".join(f"{k} {LONG * 3}".strip() for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # adverts in leaves and in the middle of a line, in an article
+        (page(NAV, f'<article><h1>Head</h1>{PARAGRAPHS}<ul><li class="ad"><p>BUY NOW</p></li><li>one thing</li></ul><table><tr><td class="sidebar"><p>side</p></td><td>cell</td></tr></table><p>Last <span class="ad">BUY</span> words.</p></article>'), f"Head {PARAGRAPHS_TEXT} one thing cell Last words."),
+        # names of furniture on a wrapper of the page
+        (page(f'<div class="content with-sidebar"><h1>Head</h1>{PARAGRAPHS}</div>'), f"Head {PARAGRAPHS_TEXT}"),
+        (page(f'<div class="share-page">{PARAGRAPHS}</div>'), PARAGRAPHS_TEXT),
+        (page(f'<form id="form1" class="widget">{NAV}<div><h1>Head</h1>{PARAGRAPHS}</div></form>'), f"Head {PARAGRAPHS_TEXT}"),
+        # two containers, a title beside them, several articles
+        (page(NAV, f"<div>{PARAGRAPHS}</div><div><p>And {LONG}</p></div>"), f"{PARAGRAPHS_TEXT} And {LONG.strip()}"),
+        (page(NAV, f"<h1>Title by itself</h1><div>{PARAGRAPHS}</div>"), f"Title by itself {PARAGRAPHS_TEXT}"),
+        (page(NAV, f"<article><p>First {LONG}</p></article><article><p>Small.</p></article><article><p>Third {LONG}</p></article>"), f"First {LONG.strip()} Small. Third {LONG.strip()}"),
+        # names that say only part, in an article
+        (page(f'<article><h2 id="related-work">Related work</h2>{PARAGRAPHS}<section id="search-algorithms"><p>Search {LONG}</p></section><p class="notice-of-theorem">Theorem {LONG}</p></article>'), f"Related work {PARAGRAPHS_TEXT} Search {LONG.strip()} Theorem {LONG.strip()}"),
+        # dense furniture, comments inside and outside, and short paragraphs
+        (page(f'<div class="ad">{LONG * 2}</div><article>{PARAGRAPHS}<p>No.</p><p>So.</p><div class="comments"><p>Reader: {LONG}</p></div></article><section id="comments-area"><article class="comment"><p>{LONG * 4}</p></article></section><div class="cookie-notice"><p>{LONG}</p></div><footer>{LONG}</footer>'), f"{PARAGRAPHS_TEXT} No. So."),
+        (page('<article hidden><p>gone</p></article><p aria-hidden="true">gone</p><p>kept</p><noscript>no</noscript><textarea>typed</textarea><select><option>a<option>b</select>'), "kept"),
+        (page("<dl><dt>a<dd>b<dt>c</dl><table><tr><td>1<td>2<tr><td>3</table><ul><li>x<li>y</ul>"), "a b c 1 2 3 x y"),
+    ],
+)
+def test_html_evidence_and_density(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_html_clusters_decide(spark, monkeypatch):
+    html = page(NAV, f"<div>{PARAGRAPHS}</div>", "<div>" + "".join(f"<p><a href=/{i}>more {i}</a></p>" for i in range(40)) + "</div>")
+    assert html_text.main_text(html) == PARAGRAPHS_TEXT  # nothing but density speaks against the links below
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert html_text.main_text(html) != PARAGRAPHS_TEXT and "item 3" in html_text.main_text(html)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(empty).count() == 0
+
+
+def test_html_smoothing_lifts_short_lines_of_a_dense_stretch():
+    ratio = np.array([0.5, 0.5, 0.5, 5.0, 0.7, 5.0, 5.0, 0.5, 0.5, 0.5])
+    assert html_text.smooth(ratio)[4] > html_text.threshold(html_text.smooth(ratio)) > ratio[4]
+
+
 # op7 and op2
 
 
