@@ -11,7 +11,7 @@ region's core lines, and its other lines unless evidence is against them, so sho
 around most of the page nothing.
 
 Defined results: a null or empty page, and one without text outside furniture, gives an empty text;
-unclosed and stray tags are borne; a page cut off is read to its end; character references are decoded;
+unclosed and stray tags and broken markup are borne; a page cut off is read to its end; character references are decoded;
 white space inside a block becomes one space; equal pages each return a row, null ids too; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -19,6 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -99,6 +100,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", None, 1.0, 1.0, 0)
         self.elements, self.stack = [self.root], [self.root]
+        self.open: Counter[str] = Counter()  # elements of the stack, by tag
         self.inline: list[tuple[str, Element]] = []  # open inline elements with evidence
         self.lines: list[tuple[str, int, Element]] = []
         self.parts: dict[int, tuple[Element, list[str]]] = {}
@@ -116,7 +118,7 @@ class Page(HTMLParser):
         own = 1.0
         if tag in UNSEEN:
             own = 0.0
-        elif tag in OF_THE_PAGE or (tag == "header" and not any(e.tag in ARTICLES for e in self.stack)):
+        elif tag in OF_THE_PAGE or (tag == "header" and not any(self.open[t] for t in ARTICLES)):
             own = FURNITURE
         weight = _evidence(tag, attrs) if attrs else 1.0
         if tag == "form":
@@ -127,6 +129,10 @@ class Page(HTMLParser):
             element.content = True
         return element
 
+    def _close(self, i: int) -> None:
+        self.open.subtract(e.tag for e in self.stack[i:])
+        del self.stack[i:]
+
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
         if tag == "br":
@@ -134,10 +140,11 @@ class Page(HTMLParser):
         elif tag in BLOCKS:
             self._end_line()
             while len(self.stack) > 1 and (self.stack[-1].tag in PARAGRAPH_LIKE or tag in ENDED_BY.get(self.stack[-1].tag, ())):
-                self.stack.pop()
+                self._close(len(self.stack) - 1)
             element = self._new(tag, self.stack[-1], attrs)
             if tag not in VOID:
                 self.stack.append(element)
+                self.open[tag] += 1
         elif attrs and tag not in VOID and _evidence(tag, attrs) != 1:
             self.inline.append((tag, self._new(tag, self.inline[-1][1] if self.inline else self.stack[-1], attrs)))
 
@@ -150,10 +157,11 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == tag:
-                    del self.stack[i:]
-                    break
+            if self.open[tag]:
+                i = len(self.stack) - 1
+                while self.stack[i].tag != tag:
+                    i -= 1
+                self._close(i)
         else:
             for i in range(len(self.inline) - 1, -1, -1):
                 if self.inline[i][0] == tag:
@@ -166,6 +174,13 @@ class Page(HTMLParser):
             self.parts[element.number] = element, []
         self.parts[element.number][1].append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section that the parser doesn't know is a comment."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def finish(self, html: str) -> Page:
         self.feed(html)
         self.close()

@@ -418,6 +418,13 @@ def test_html_clusters_decide(spark, monkeypatch):
     assert html_text.extract(empty).count() == 0
 
 
+def test_html_bears_any_markup():
+    assert html_text.main_text("<![foo[bar]]> some text") == "]> some text" or html_text.main_text("<![foo[bar]]> some text") == "some text"
+    rng = random.Random(31)
+    for _ in range(5000):
+        html_text.main_text("".join(rng.choice("<>![]-/&#;x pdiv'\"=") for _ in range(rng.randint(1, 25))))
+
+
 def test_html_smoothing_lifts_short_lines_of_a_dense_stretch():
     ratio = np.array([0.5, 0.5, 0.5, 5.0, 0.7, 5.0, 5.0, 0.5, 0.5, 0.5])
     assert html_text.smooth(ratio)[4] > html_text.threshold(html_text.smooth(ratio)) > ratio[4]
