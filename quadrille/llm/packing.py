@@ -62,45 +62,66 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, nth long")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, first sequence, pieces in each sequence, offset of the first piece)."""
-    runs: list[tuple[int, int, int, int, int]] = []
-    spans: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, number of sequences)
-    gaps: list[int] = []
-    opened = 0
+class Sequences:
+    """Opened sequences by the gap that is left in them, and the runs placed so far."""
 
-    def add(gap: int, first: int, number: int) -> None:
+    def __init__(self, capacity: int):
+        self.capacity, self.opened = capacity, 0
+        self.runs: list[tuple[int, int, int, int, int]] = []
+        self.spans: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, number of sequences)
+        self.gaps: list[int] = []
+
+    def _left(self, gap: int, first: int, number: int) -> None:
         if gap and number:
-            if gap not in spans:
-                insort(gaps, gap)
-            spans.setdefault(gap, []).append((first, number))
-
-    for length in sorted((n for n, c in histogram.items() if c), reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, number = spans[gap].pop()
-                if not spans[gap]:
-                    del spans[gap]
-                    gaps.pop(at)
-            else:
-                gap, first = capacity, opened
-                number = -(-left // (capacity // length))
-                opened += number
-            each = gap // length
-            full = min(number, left // each)
+            if gap not in self.spans:
+                insort(self.gaps, gap)
+            self.spans.setdefault(gap, []).append((first, number))
+
+    def _smallest_gap(self, length: int) -> tuple[int, int, int] | None:
+        at = bisect_left(self.gaps, length)
+        if at == len(self.gaps):
+            return None
+        gap = self.gaps[at]
+        first, number = self.spans[gap].pop()
+        if not self.spans[gap]:
+            del self.spans[gap]
+            self.gaps.pop(at)
+        return gap, first, number
+
+    def place(self, length: int, pieces: int, most: int) -> None:
+        """All pieces of a length, each in the smallest gap that holds it; at most ``most`` in a sequence."""
+        rank = 0
+        while rank < pieces:
+            found = self._smallest_gap(length)
+            if found is None:
+                number = -(-(pieces - rank) // min(most, self.capacity // length))
+                found = self.capacity, self.opened, number
+                self.opened += number
+            gap, first, number = found
+            each = min(most, gap // length)
+            full = min(number, (pieces - rank) // each)
             if full:
-                runs.append((length, rank, first, each, capacity - gap))
-                add(gap - each * length, first, full)
-                rank, left = rank + full * each, left - full * each
-            if left and full < number:  # fewer than fill one sequence
-                runs.append((length, rank, first + full, left, capacity - gap))
-                add(gap - left * length, first + full, 1)
-                full, left = full + 1, 0
-            add(gap, first + full, number - full)
-    return runs
+                self.runs.append((length, rank, first, each, self.capacity - gap))
+                self._left(gap - each * length, first, full)
+                rank += full * each
+            if (rest := pieces - rank) and full < number:  # fewer than fill one sequence
+                self.runs.append((length, rank, first + full, rest, self.capacity - gap))
+                self._left(gap - rest * length, first + full, 1)
+                full, rank = full + 1, pieces
+            self._left(gap, first + full, number - full)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, first sequence, pieces in each sequence, offset of the first piece)."""
+    lengths = sorted((n for n, c in histogram.items() if c), reverse=True)
+    sequences = Sequences(capacity)
+    # Matching: above a third of the capacity two meet in a sequence at most, each with the largest earlier one that leaves it room.
+    for length in (n for n in lengths if 3 * n > capacity):
+        sequences.place(length, histogram[length], 2)
+    # Best fit: the others fill the gaps.
+    for length in (n for n in lengths if 3 * n <= capacity):
+        sequences.place(length, histogram[length], capacity)
+    return sequences.runs
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -138,26 +139,58 @@ def test_token_counts_are_the_library_s(spark):
     assert tokens.count_tokens(documents(spark, []), path).count() == 0
 
 
+#: Compositions, expansions, splits inside and after marks, scripts without spaces, parts of contractions and of special strings.
+PREFIXED = [
+    "Hello world's, we're 42 fine!!  ", "don't'll x'RE", "日本 mixed ABC日本語テキスト", "", "a <|endoftext|> b!<|endoftext|>c<|start", "Cafe\u0301s x\u0302 İstanbul ẞ ΣΑΣ", "か\u3099き\u3099く\u3099", "\u1100\u1161\u11a8\u1100\u1161 각가",
+    "q\u0323\u0302 a\u0323\u0302b", "\n\n x\t\t\ny \x85  z", "🙂👍🏽👩\u200d👩 hi", "हिन्दी भाषा", "\u212b \u2126 \uf900", "i\u0307\u0307 İx e\u0301\u0301", "internationalization", "internationalization日",
+]
+
+
 def test_every_prefix_is_exact(spark):
     path = tokens.vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    texts = ["Hello world's, we're 42 fine!!  ", "don't'll x", "日本 mixed", ""]
-    rows = tokens.prefix_counts(documents(spark, list(enumerate(texts))), path, [0, 3, 100]).collect()
+    rng = random.Random(17)
+    texts = PREFIXED + ["".join(rng.choice("ab'sl re!<|ẹe\u0301\u0302é日本か\u3099İ12 .\n\u1100\u1161\u11a8\u09c7\u09be") for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    texts += [" ".join("".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(1, 14))) for _ in range(8)) for _ in range(50)]
+    budgets = [0, 1, 3, 7, 100]
+    rows = tokens.prefix_counts(documents(spark, [*enumerate(texts), (None, None)], True), path, budgets).collect()
+    assert len(rows) == len(texts) + 1
+    counter = tokens.WordCounter(path)
     for r in rows:
-        text = texts[r.doc_id]
+        text = texts[r.doc_id] if r.doc_id is not None else ""
         want = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-        assert r.counts == want
-        for cut, budget in zip(r.cuts, [0, 3, 100]):
-            assert want[cut] <= budget
-        assert r.cuts[2] == len(text)
+        assert r.counts == want, text
+        assert r.cuts == [max(i for i, c in enumerate(want) if c <= b) for b in budgets]
+        assert counter.count(text) == want[-1]
+    assert counter.longest_prefix("internationalization", 1) == counter.longest_prefix("internationalization日", 1)
+
+
+def test_prefixes_of_long_texts_are_linear_and_caches_bounded():
+    rng = random.Random(18)
+    counter = tokens.WordCounter(tokens.vocabulary("word_bpe_49k.json"))
+    for letters in ("日本語русскийテキスト ", "か\u3099", "abc"):
+        text = "".join(rng.choice(letters) for _ in range(60_000))
+        began = time.perf_counter()
+        counts = counter.every_prefix(text)
+        assert len(counts) == len(text) + 1 and counts[-1] == counter.count(text)
+        assert time.perf_counter() - began < 60  # quadratic work would take many minutes
+    kept = tokens.Kept()
+    for i in range(1000):
+        kept.keep(i, i, 1 << 20)
+    assert len(kept) <= 98 and kept[999] == 999
 
 
 def test_packing_holds_every_token_once(spark):
     path = tokens.vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     rng = random.Random(5)
-    rows = [(i, t) for i, t in awkward() if i not in (None, 4)] + [(100 + i, prose(rng, rng.randint(1, 1500))) for i in range(60)]
-    got = packing.pack(documents(spark, rows, True), path).collect()
+    rows = awkward() + [(100 + i, prose(rng, rng.randint(1, 1500))) for i in range(60)]
+    everything = packing.pack(documents(spark, rows, True), path).collect()
+    sizes = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    # Repeated rows are packed each, rows without an id too.
+    assert sorted((r.piece, r.start, r.length) for r in everything if r.doc_id == 4) == [(0, 0, sizes[4])] * 2
+    assert [(r.piece, r.start, r.length) for r in everything if r.doc_id is None] == [(0, 0, sizes[None])]
+    got, rows = everything, [(i, t) for i, t in rows if i not in (None, 4)]
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
     for i, own in ids.items():
         at = 0
@@ -204,6 +237,7 @@ def test_plan_is_best_fit(seed):
         spans.sort()
         assert [o for o, _ in spans] == list(np.cumsum([0, *(n for _, n in spans)])[:-1]) and sum(spans[-1]) <= 64
     assert len(filled) == naive_best_fit(lengths, 64)
+    assert all(sum(3 * n > 64 for _, n in spans) <= 2 for spans in filled.values())
 
 
 # op6
