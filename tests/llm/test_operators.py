@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quadrille.llm import decontam, html_text, licenses, packing, quality, rules, secret_scan, simhash, tokens, urls
@@ -262,23 +263,43 @@ def test_decontamination_matches_brute_force(spark):
             if item is None or not x:
                 continue
             n = min(10, len(x))
-            for j in range(len(x) - n + 1):
-                for p in range(len(w) - n + 1):
-                    if w[p : p + n] == x[j : j + n]:
-                        hit.update(range(p, p + n))
-                        found.add(str(item))
+            mine = {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}
+            for p in range(len(w) - n + 1):
+                if tuple(w[p : p + n]) in mine:
+                    hit.update(range(p, p + n))
+                    found.add(str(item))
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted((str(i), *expected(t)) for i, t in docs if t is None or len(t) < 10_000)
-    for block in (decontam.BLOCK, 7):  # the second makes many blocks
-        got = decontam.contamination(documents(spark, docs, True), bench, block=block).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got if r.doc_id != 5) == want
-    clean = decontam.decontaminate(documents(spark, docs), bench)
-    assert clean.count() == sum(not expected(t)[4] for _, t in docs)
+    bench = spark.createDataFrame([(*x, "x") for x in items], "item_id long, text string, window string")
+    want = sorted((str(i), *expected(t)) for i, t in docs)
+    for bits, shingle in ((decontam.SKETCH_BITS, decontam.SHINGLE), (7, 5), (23, 1), (23, 10)):  # the second lets most shingles through
+        got = decontam.contamination(documents(spark, docs, True), bench, shingle=shingle, bits=bits).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    for frame in (documents(spark, docs), documents(spark, docs, True)):
+        clean = decontam.decontaminate(frame, bench)
+        assert clean.columns == frame.columns
+        assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == sorted((str(i), t) for i, t in docs if not expected(t)[4])
     assert decontam.contamination(documents(spark, []), bench).count() == 0
-    none = spark.createDataFrame([], "item_id long, text string")
+    none = bench.limit(0)
     assert decontam.contamination(documents(spark, docs), none).where("contaminated").count() == 0
+    assert decontam.decontaminate(documents(spark, docs), none).count() == len(docs)
+
+
+def test_anchors_are_the_rarest_shingles(spark):
+    rng = random.Random(23)
+    item, common = prose(rng, 14), prose(rng, 9)
+    text = f"{item} {common} end"
+    docs = documents(spark, [(i, f"{common} {prose(rng, 20)}") for i in range(30)] + [(40, text)])
+    windows = decontam.item_windows(spark.createDataFrame([(1, text)], "item_id long, text string"), 10, 5)
+    counts = decontam.frequencies(docs, decontam.Sketch(windows.select(F.explode("grams").alias("gram"))), [5])
+    times = {r.gram: r.n for r in counts.collect()}
+    words = text.split()
+    grams = decontam.shingles_of(decontam.codes_of([w.encode() for w in words]), 5).view(np.int64).tolist()
+    assert times[grams[0]] == 1 and times[grams[14]] == 31  # at the item's start, and in the common passage
+    for r in decontam.anchored(windows.select("window", "n", "grams"), counts).collect():
+        at = next(i for i in range(len(words)) if " ".join(words[i : i + 10]) == r.window)
+        own = [times.get(g, 0) for g in grams[at : at + 6]]
+        assert (r.offset, r.gram) == (own.index(min(own)), grams[at + own.index(min(own))])
 
 
 # op9
@@ -586,8 +607,6 @@ def test_quality_classifier(spark):
     right = sum(r.predicted == (r.doc_id % 5 != 0) for r in held if r.doc_id not in (1, 2, 3, 4, 5, 6, 7))
     assert right >= 0.95 * (len(held) - 7)
     # Labels of held-out rows are no input: turning them round changes nothing.
-    from pyspark.sql import functions as F
-
     turned = marks.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     once, again = ({r.doc_id: r.score for r in quality.score(frame, m).collect()} for m in (marks, turned))
     assert once == pytest.approx(again)
