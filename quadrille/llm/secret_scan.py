@@ -1,8 +1,9 @@
 """Secret scans with an incremental ledger of blobs.
 
 Each text is a blob, named by its SHA-256. The ledger, a Parquet table, holds the spans found in every
-blob under every version of the rules; a scan reads only blobs that the ledger lacks under the present
-version, appends them, and joins the ledger back to every document with that text. All of it is
+blob under every version of the rules; a scan takes only blobs that the ledger lacks under the present
+version, appends them, and joins the ledger back to every document with that text. Ids are shuffled, texts
+only if something in them may match. All of it is
 DataFrame operations: matches are put between marks by the JVM's regular expressions, split, and their
 places summed over the pieces of a text, so no text is walked row by row.
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +44,10 @@ RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 )
 BASE_KINDS = 3
-LEDGER = "blob_id string, rule_version string, spans array<struct<start:int,kind:int,end:int>>"
+#: What a match of a kind must hold, lower-cased; plain search for it is far cheaper than the patterns.
+NEEDED = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "pem": ("private key-----",), "jwt": ("eyj",)}
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+LEDGER = f"blob_id string, spans {SPANS}, rule_version string"
 
 
 def rule_version(rules=RULES) -> str:
@@ -71,22 +77,47 @@ def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
     return rows.groupBy("blob_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
+def may_hold(text: Column, rules=RULES) -> Column:
+    """Whether a text can have a match: by plain search for what a kind can't do without, by its pattern where nothing is named."""
+    low, tests = F.lower(text), []
+    for name, pattern, *_ in rules:
+        tests += [low.contains(part) for part in NEEDED.get(name, ())] or [text.rlike(pattern)]
+    return F.coalesce(reduce(or_, tests), F.lit(False))
+
+
 class SecretLedger:
-    """Findings by blob and rule version, kept under ``path``, a folder that all executors share."""
+    """Findings by blob and rule version, kept under ``path``, a folder that all executors share; a folder within for each version."""
 
     def __init__(self, spark: SparkSession, path: str, rules=RULES):
         self.spark, self.path, self.rules, self.version = spark, path, rules, rule_version(rules)
-        spark.sql("SELECT '' AS b WHERE false").select(F.col("b").alias("blob_id"), F.lit("").alias("rule_version"), F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)").alias("spans")).write.mode("append").parquet(path)
+        spark.createDataFrame([], LEDGER).write.mode("append").partitionBy("rule_version").parquet(path)
 
     def findings(self) -> DataFrame:
-        """(blob_id, spans) under the present rules."""
-        return self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("rule_version") == self.version).select("blob_id", "spans")
+        """(blob_id, spans) under the present rules; a blob that two writers scanned at once is there once."""
+        rows = self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("rule_version") == self.version)
+        return rows.dropDuplicates(["blob_id"]).select("blob_id", "spans")
+
+    def _unseen(self, docs: DataFrame) -> tuple[DataFrame, bool]:
+        """The blobs without findings, and whether those are all; only ids are shuffled. They are written, so that Spark knows their size."""
+        ids = docs.select(blob_id(F.col("text")).alias("blob_id")).distinct()
+        known, folder = self.findings().select("blob_id"), f"{self.path}-unseen-{uuid.uuid4().hex}"
+        first = known.isEmpty()
+        (ids if first else ids.join(known, "blob_id", "left_anti")).write.parquet(folder)
+        return self.spark.read.schema("blob_id string").parquet(folder), first
 
     def update(self, docs: DataFrame) -> None:
-        """Scan the blobs of ``docs`` that were not scanned under the present rules."""
-        blobs = docs.select(blob_id(F.col("text")).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob_id"])
-        unseen = blobs.join(self.findings().select("blob_id"), "blob_id", "left_anti")
-        find_spans(unseen, self.rules).select("blob_id", F.lit(self.version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
+        """Scan the blobs of ``docs`` that were not scanned under the present rules.
+
+        Of texts to scan, those that can't have a match are passed over where they lie, and the few others are shuffled, to be
+        scanned once. Unseen blobs of a later run find their texts by a semi join, for which Spark broadcasts the ids if they are few.
+        """
+        unseen, first = self._unseen(docs)
+        texts = docs.select(F.col("text")).where(may_hold(F.col("text"), self.rules)).select(blob_id(F.col("text")).alias("blob_id"), "text")
+        if not first:
+            texts = texts.join(unseen, "blob_id", "left_semi")
+        found = find_spans(texts.dropDuplicates(["blob_id"]), self.rules)
+        rows = unseen.join(found, "blob_id", "left").select("blob_id", F.lit(self.version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        rows.write.mode("append").partitionBy("rule_version").parquet(self.path)
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """(doc_id, blob_id, spans) of every row of ``docs``."""
@@ -95,23 +126,26 @@ class SecretLedger:
         return rows.join(self.findings(), "blob_id").select("doc_id", "blob_id", "spans")
 
     def redact(self, docs: DataFrame, mask: str = MASK) -> DataFrame:
-        """The documents with every span replaced by ``mask``, and n_chars, where it is a column, counted again."""
+        """The documents with every span replaced by ``mask``, and n_chars, where it is a column, counted again.
+
+        Documents that can't have a match pass as they are; only the others meet the ledger.
+        """
         self.update(docs)
-        found = self.findings().where(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
-        rows = docs.join(found, blob_id(docs["text"]) == F.col("__blob"), "left")
-        text = F.col("text")
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-
-        def step(acc: Column, span: Column) -> Column:
-            before = F.concat(text.substr(acc["at"] + 1, span["start"] - acc["at"]), F.lit(mask))
-            out = F.when(span["start"] >= acc["at"], F.concat(acc["out"], F.array(before))).otherwise(acc["out"])
-            return F.struct(out.alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
-
-        clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
-        rows = rows.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(text))
+        span = self.findings().select("blob_id", F.explode("spans").alias("span")).select("blob_id", "span.start", "span.end")
+        before = F.max("end").over(Window.partitionBy("blob_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+        # What stays of a text: from the end of what is masked so far to the next span that isn't within it.
+        stays = span.withColumn("from", F.coalesce(before, F.lit(0))).groupBy(F.col("blob_id").alias("__blob")).agg(
+            F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("from", F.col("start").alias("to"))))).alias("__stays"), F.max("end").alias("__rest")
+        )
+        holds, text = may_hold(docs["text"], self.rules), F.col("text")
+        rows = docs.where(holds).join(stays, blob_id(docs["text"]) == F.col("__blob"), "left")
+        pieces = F.transform("__stays", lambda c: text.substr(c["from"] + 1, c["to"] - c["from"]))
+        clean = F.array_join(F.concat(pieces, F.array(text.substr(F.col("__rest") + 1, F.length(text)))), mask)
+        masked = F.col("__blob").isNotNull()
+        rows = rows.withColumn("text", F.when(masked, clean).otherwise(text))
         if "n_chars" in docs.columns:
-            rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+            rows = rows.withColumn("n_chars", F.when(masked, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return docs.where(~holds).union(rows.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _text_of(spans: Column, rules=RULES) -> Column:

@@ -350,6 +350,41 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.findings().count() == 3
     other = secret_scan.SecretLedger(spark, ledger.path, secret_scan.RULES[:1])
     assert other.findings().count() == 0  # another version of the rules has seen nothing
+    # What is there is believed, not scanned again: a marked finding stays.
+    marked = spark.createDataFrame([(hashlib.sha256(b"token=abcdef99").hexdigest(), [(0, 2, 3)], ledger.version)], secret_scan.LEDGER)
+    marked.write.mode("append").partitionBy("rule_version").parquet(ledger.path)
+    rows = {r.doc_id: r.spans for r in secret_scan.digest(ledger.scan(documents(spark, [(6, "token=abcdef99"), (7, "token=abcdef98"), (8, "plain")]))).collect()}
+    assert rows == {6: "hex:0:3", 7: "assign:0:14", 8: ""}
+
+
+def test_later_runs_and_versions_give_the_same_findings(spark):
+    rows = [(i, t) for i, t in awkward() + [(50 + i, t) for i, t in enumerate(SECRETS)]]
+    docs = documents(spark, rows)
+    once = sorted(map(str, secret_scan.digest(secret_scan.new_ledger(spark).scan(docs)).collect()))
+    ledger = secret_scan.new_ledger(spark)
+    ledger.update(docs.where("doc_id % 2 = 0"))
+    ledger.update(docs.where("doc_id = 1"))
+    assert sorted(map(str, secret_scan.digest(ledger.scan(docs)).collect())) == once
+    # Two writers that scanned the same blobs at once leave each finding twice in the folder, and one in the result.
+    spark.read.schema(secret_scan.LEDGER).parquet(ledger.path).write.mode("overwrite").partitionBy("rule_version").parquet(ledger.path + "-copy")
+    spark.read.schema(secret_scan.LEDGER).parquet(ledger.path + "-copy").write.mode("append").partitionBy("rule_version").parquet(ledger.path)
+    assert sorted(map(str, secret_scan.digest(ledger.scan(docs)).collect())) == once
+    # A second version of the rules scans all again, beside the first.
+    second = secret_scan.SecretLedger(spark, ledger.path, (*secret_scan.RULES, ("pin", r"pin=[0-9]{4}", 0, 1)))
+    found = {r.doc_id: r.spans for r in second.scan(documents(spark, [*rows, (90, "a pin=1234 b")])).collect()}
+    assert [tuple(s) for s in found[90]] == [(2, 5, 10)] and len(found) == len({i for i, _ in rows}) + 1
+    assert sorted(map(str, secret_scan.digest(ledger.scan(docs)).collect())) == once
+
+
+def test_a_text_without_what_is_needed_has_no_match():
+    rng = random.Random(41)
+    parts = ["pass", "word", "wd", "SECRET", "Token", "api", "_", "KEY", "AKIA", "0123456789abcdef", "=", ": ", '"', "eyJabcdefgh.", "-----BEGIN ", "PRIVATE KEY-----", "x", "ſ", "K", " "]
+    patterns = {name: re.compile(p, re.A) for name, p, *_ in secret_scan.RULES if name != "pem"}
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        for name, pattern in patterns.items():
+            if name in secret_scan.NEEDED and pattern.search(text):
+                assert any(n in text.lower() for n in secret_scan.NEEDED[name])
 
 
 def test_redaction_masks_every_span(spark):
@@ -359,6 +394,22 @@ def test_redaction_masks_every_span(spark):
     assert out[0].text == "😀 [SECRET]' and PASSWORD=short ok; [SECRET]\""
     assert out[0].n_chars == len(out[0].text)
     assert all(not base_spans(r.text.replace("[SECRET]", " ")) for i, r in out.items() if r.text and i != 1)
+    many = [*awkward(), (60, SECRETS[0]), (60, SECRETS[0]), (None, SECRETS[3]), (61, "x token=abcdef12 y " * 5_000), (62, "token=abcdef01234567890123456789 end")]
+    frame = documents(spark, many, True)
+    kept = secret_scan.new_ledger(spark).redact(frame)
+    assert kept.columns == frame.columns
+
+    def masked(t):
+        out, at = [], 0
+        for a, _, b in base_spans(t or ""):
+            if a >= at:
+                out.append(t[at:a])
+            at = max(at, b)
+        return t if t is None else "[SECRET]".join([*out, t[at:]])
+
+    want = sorted((str(i), str(masked(t)), len(masked(t) or "")) for i, t in many)
+    assert sorted((str(r.doc_id), str(r.text), r.n_chars) for r in kept.collect()) == want
+    assert secret_scan.new_ledger(spark).redact(frame.limit(0)).count() == 0
 
 
 def test_redaction_masks_the_whole_private_key(spark):
