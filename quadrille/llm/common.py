@@ -11,6 +11,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("executors share no local folder: name a shared one in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -17,6 +17,7 @@ of each class whatever the ids: rows without an id, or with the same id, stay if
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import combinations
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import conform, materialize
+from .common import checkpoint_dir, conform, materialize
 
 RADIUS = 2
 TILE_ROWS = 4096
@@ -234,20 +235,28 @@ def _row_key(docs: DataFrame) -> Column:
     """A digest of a row's id and text, which rows of different classes can't share."""
     name = docs["doc_id"].cast("string")
     name = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
-    return F.sha2(F.concat(name, F.lit(","), F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
+    return F.unhex(F.sha2(F.concat(name, F.lit(","), F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256))
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each class, that of the smallest doc_id (a null only if no other is there); columns as they were.
 
-    Among rows of a class with that same id, or all without one, the one whose digest of id and text is least stays.
+    Among rows of a class with that same id, or all without one, the one whose digest of id and text is least stays. Classes are
+    settled on ids and digests; texts are shuffled once, to find those that stay, and the few that are there several times once more.
     """
-    key = _row_key(docs)
+    spark, key = docs.sparkSession, _row_key(docs)
     rank = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), key.alias("key"))
-    kept = _classes(fingerprints(docs.select(rank.alias("doc_id"), "text")), radius).select(F.col("component_id.key").alias("__key")).distinct()
-    rows = docs.withColumn("__row", key)
-    rows = rows.join(kept, F.col("__row") == F.col("__key"), "left_semi")
-    return conform(rows.dropDuplicates(["__row"]), docs)
+    prints = materialize(fingerprints(docs.select(rank.alias("doc_id"), "text")))
+    stays = prints.join(_classes(prints, radius), "fp").where("doc_id.key = component_id.key")
+    stays = materialize(stays.groupBy(F.col("doc_id.key").alias("__key")).count())
+    rows, folder = docs.withColumn("__row", key), f"{checkpoint_dir(spark)}/stays-{uuid.uuid4().hex}"
+    found = []
+    for name, which in (("once", "count = 1"), ("again", "count > 1")):  # written, so that Spark knows their sizes
+        stays.where(which).select("__key").write.parquet(f"{folder}/{name}")
+        known = spark.read.schema("__key binary").parquet(f"{folder}/{name}")
+        found.append(rows.join(known, F.col("__row") == F.col("__key"), "left_semi"))
+    once, again = found
+    return conform(once.union(again.dropDuplicates(["__row"])), docs)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
