@@ -2,28 +2,32 @@
 
 A paragraph is a block of lines between blank lines. Its units are its lines, windows of up to ``WINDOW``
 lines joined by a space, and its sentences across lines; one without a cue (``CUES``) is of the unknown
-class by definition. Cues are so chosen that no unit that a template confirms is without one. Units are classified by multinomial logistic regression on the presence of word
-unigrams and bigrams. The model is trained on the driver, in plain Python, on ``VARIANTS`` variants of
-each of the ``TEMPLATES`` and of sentences that use the same words otherwise; held-out variants set the
-temperature and the least probability of a known family. A prediction is confirmed if the paragraph holds
+class by definition. Cues are so chosen that no unit that a template confirms is without one. Units are
+classified by multinomial logistic regression on the presence of word unigrams and bigrams. The model is
+trained on the driver on ``VARIANTS`` variants of each of the ``TEMPLATES``; the unknown class learns from
+sentences that use the same words otherwise and from notices of licences that are none of the families.
+Variants left out, and notices of still other licences, which the model has never seen, set the
+temperature (by likelihood) and the least probability of a known family (so that at most ``FALSE`` of
+those notices reach it). A prediction is confirmed if the paragraph holds
 at least ``CONFIRM`` of the word pairs of one template of that family, and no larger share of another
 family's. Windows and sentences count only if confirmed, single lines also if not. Texts are only touched by
 DataFrame operations; weights and templates, fixed tables of a few thousand rows, are broadcast.
 
 Defined results: a null or empty text has no paragraph; a text, or a paragraph, that occurs many times
 is classified once and each row gets the result; a family is listed once for each text, and as unconfirmed
-only if a paragraph has it that doesn't confirm it; a line that names two licences in one sentence gets one class; null ids keep
-their row; an empty table gives an empty result; other columns are ignored.
+only if a paragraph has it that doesn't confirm it; a line that names two licences in one sentence gets one class; a text of any length is
+read whole; of classes with equal probability the first is taken; null ids keep their row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache, reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +35,11 @@ from .common import materialize
 
 CONFIRM = 0.8
 VARIANTS = 24
-EPOCHS = 12
-RATE = 0.3
+EPOCHS = 40
+BATCH = 32
+RATE = 0.5
 DECAY = 1e-4
+FALSE = 0.1
 SEED = 5
 UNKNOWN = "unknown"
 WINDOW = 4
@@ -131,6 +137,37 @@ OTHERS = (
     "The licensed doctor works under the public health service.",
     "A licensing office issued the licence to the company without permission.",
 )
+#: Notices of other licences: the unknown class learns from the first of each pair of lists, and is calibrated on the second.
+OTHER_NOTICES = (
+    (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Use of this software is governed by the Business Source License included in the LICENSE file.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "SPDX-License-Identifier: Zlib",
+        "SPDX-License-Identifier: BSL-1.0",
+        "SPDX-License-Identifier: OFL-1.1",
+        "Released under the Eclipse license.",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Licensed under the EUPL, Version 1.2 or subsequent versions of the EUPL.",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+        "This database is made available under the Open Database License.",
+        "This program is free software: you can use it under the terms of the Server Side Public License, version 1, as published by its owner.",
+        "This source is subject to the Microsoft Public License.",
+        "SPDX-License-Identifier: ISC",
+        "SPDX-License-Identifier: CDDL-1.0",
+        "SPDX-License-Identifier: EUPL-1.2",
+        "This work is made available under the Mulan Permissive Software License, Version 2.",
+        "You may use this code under the terms of the Q Public License.",
+        "Released under the terms of the zlib license.",
+    ),
+)
 FILLER = "the of and a to in that it was for on are with as at be this have from or by not but what all were when we there can an your which their if will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 
 
@@ -158,48 +195,48 @@ class Model:
     """Weights by gram, one for each class; temperature; least probability of a known family."""
 
     def __init__(self) -> None:
-        rng = random.Random(SEED)
+        rng, order = random.Random(SEED), np.random.default_rng(SEED)
         self.classes = [*TEMPLATES, UNKNOWN]
-        learn, held = [], []
+        last = len(self.classes) - 1
+        learn, held, strange = [], [], []
         for k, name in enumerate(self.classes):
-            for text in TEMPLATES.get(name, OTHERS):
+            for text in TEMPLATES.get(name, (*OTHERS, *OTHER_NOTICES[0])):
                 for n, v in enumerate(_variants(text, rng)):
-                    (held if n % 6 == 5 else learn).append((sorted(grams(v)), k))
-        known = {g for x, _ in learn for g in x}
-        count = dict.fromkeys(known, 0)
-        for x, _ in learn:
-            for g in x:
-                count[g] += 1
-        self.weights = {g: [0.0] * len(self.classes) for g in sorted(known) if count[g] > 2}
-        self.bias = [0.0] * len(self.classes)
+                    (held if n % 6 == 5 else learn).append((grams(v), k))
+        for text in OTHER_NOTICES[1]:
+            strange += [(grams(v), last) for v in _variants(text, rng)]
+        count = Counter(g for x, _ in learn for g in x)
+        self.at = {g: i for i, g in enumerate(sorted(g for g, n in count.items() if n > 2))}
+        x, y = self._matrix(learn), np.eye(len(self.classes))[[k for _, k in learn]]
+        self.values, self.bias = np.zeros((len(self.at), len(self.classes))), np.zeros(len(self.classes))
         for epoch in range(EPOCHS):
-            rng.shuffle(learn)
-            for x, k in learn:
-                self._step(x, k, RATE / (1 + epoch))
-        self.temperature = min((t / 10 for t in range(3, 31)), key=lambda t: -sum(math.log(max(self.probabilities(x, t)[k], 1e-12)) for x, k in held))
-        last = len(self.classes) - 1
-        unknown = [max(self.probabilities(x)[:last]) for x, k in held if k == last]
-        self.least = min(0.9, max(0.5, *unknown))
-
-    def logits(self, x) -> list[float]:
-        out = list(self.bias)
-        for g in x:
-            if w := self.weights.get(g):
-                out = [a + b for a, b in zip(out, w)]
+            rate = RATE / (1 + epoch / 8)
+            for at in np.array_split(order.permutation(len(x)), len(x) // BATCH):
+                off = (_softmax(x[at] @ self.values + self.bias) - y[at]) * rate
+                self.values -= x[at].T @ off / len(at) * 8 + rate * DECAY * self.values
+                self.bias -= off.mean(0)
+        logits, right = self._matrix(held + strange) @ self.values + self.bias, np.array([k for _, k in held + strange])
+        loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(right)), right], 1e-12)).mean()
+        self.temperature = min((t / 10 for t in range(3, 101)), key=loss)
+        known = _softmax(logits / self.temperature)[len(held) :, :last].max(1)
+        self.least = float(min(0.99, max(0.5, np.quantile(known, 1 - FALSE))))
+        self.weights = {g: self.values[i].tolist() for g, i in self.at.items()}
+        self.bias = self.bias.tolist()
+
+    def _matrix(self, rows: list[tuple[set[str], int]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(self.at)))
+        for i, (x, _) in enumerate(rows):
+            out[i, [self.at[g] for g in x if g in self.at]] = 1
         return out
 
-    def probabilities(self, x, temperature: float | None = None) -> list[float]:
-        z = [v / (temperature or self.temperature) for v in self.logits(x)]
-        e = [math.exp(v - max(z)) for v in z]
-        return [v / sum(e) for v in e]
+    def probabilities(self, x: set[str]) -> list[float]:
+        """Of each class, for a unit with these grams."""
+        return _softmax((self._matrix([(x, 0)]) @ self.values + self.bias) / self.temperature)[0].tolist()
+
 
-    def _step(self, x, k: int, rate: float) -> None:
-        p = self.probabilities(x, 1.0)
-        p[k] -= 1
-        self.bias = [b - rate * d for b, d in zip(self.bias, p)]
-        for g in x:
-            if (w := self.weights.get(g)) is not None:
-                self.weights[g] = [v - rate * (d + DECAY * v) for v, d in zip(w, p)]
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 @lru_cache(1)
@@ -265,13 +302,11 @@ def _units(block: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_cued (lines with a cue), n_licensed (lines of a family, and families that only joined lines show), families (confirmed, joined by commas), unconfirmed, probability (of the surest)."""
     text = F.coalesce("text", F.lit(""))
-    cued = _cued(text)
-    # Texts without a cue get keys of their own, so that they are dealt out evenly and meet nothing.
-    alone = F.concat(F.lit("-"), F.hex(F.xxhash64("doc_id", F.length(text))))
-    rows = docs.select("doc_id", F.when(cued, F.sha2(text.cast("binary"), 256)).otherwise(alone).alias("blob"))
     blocks = F.filter(F.split(text, r"\n[ \t\r]*\n", -1), lambda b: b.rlike(CUES))
-    texts = docs.where(cued).select(F.sha2(text.cast("binary"), 256).alias("blob"), blocks.alias("blocks")).dropDuplicates(["blob"])
-    texts = texts.select("blob", F.posexplode("blocks").alias("block", "lines"))
+    # The only pass over the texts; of a text without a cue nothing but the id is left.
+    rows = docs.select("doc_id", F.when(_cued(text), F.struct(F.sha2(text.cast("binary"), 256).alias("blob"), blocks.alias("blocks"))).alias("cued"))
+    rows = materialize(rows.select("doc_id", "cued.blob", "cued.blocks"))
+    texts = rows.where("blob IS NOT NULL").dropDuplicates(["blob"]).select("blob", F.posexplode("blocks").alias("block", "lines"))
     each = materialize(texts.select("blob", "block", F.explode(_units(F.col("lines"))).alias("unit")).select("blob", "block", "unit.par", "unit.joined"))
     found = classify(each.select("par").distinct())
     rated = each.join(found, "par", "left").where("not joined or confirmed")
@@ -286,8 +321,10 @@ def scan(docs: DataFrame) -> DataFrame:
         F.sum("n_cued").alias("n_cued"), F.sum(F.col("n_lines") + F.size(F.array_except("yes", "of_lines"))).alias("n_licensed"),
         names(F.col("yes")).alias("families"), names(F.array_except("no", "yes")).alias("unconfirmed"), F.max("probability").alias("probability"),
     )
-    out = rows.join(by_text, "blob", "left")
+    of_cued = rows.where("blob IS NOT NULL").drop("blocks").join(by_text, "blob", "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
+    absent = {c: F.lit(None).cast(of_cued.schema[c].dataType) for c in of_cued.columns if c != "doc_id"}
+    out = of_cued.unionByName(rows.where("blob IS NULL").select("doc_id").withColumns(absent))
     return out.select("doc_id", F.coalesce("n_cued", zero).alias("n_cued"), F.coalesce("n_licensed", zero).alias("n_licensed"), F.coalesce("families", none).alias("families"), F.coalesce("unconfirmed", none).alias("unconfirmed"), "probability")
 
 

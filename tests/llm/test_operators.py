@@ -706,6 +706,47 @@ def test_license_scores_are_the_model_s(spark):
             assert t not in found
 
 
+def test_unknown_licenses_are_calibrated_on_families_never_learnt():
+    model = licenses.model()
+    assert not set(licenses.OTHER_NOTICES[0]) & set(licenses.OTHER_NOTICES[1])
+    assert 0.3 < model.temperature < 10 and 0.5 <= model.least <= 0.99  # not at an end of the grid
+
+    def known(t):
+        p = model.probabilities(licenses.grams(t))
+        return model.classes[p.index(max(p))] != licenses.UNKNOWN and max(p) >= model.least
+
+    strange = licenses.OTHER_NOTICES[1]
+    assert sum(map(known, strange)) <= 0.2 * len(strange)
+    assert not any(map(known, licenses.OTHERS)) and not any(map(known, licenses.OTHER_NOTICES[0]))
+    own = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    assert sum(map(known, own)) >= 0.95 * len(own)
+
+
+def brute_families(text):
+    """Families confirmed in a text, line by line, by the model and the templates in plain Python; for texts of single-line notices."""
+    model, out = licenses.model(), set()
+    for line in (text or "").split("\n"):
+        for unit in {line.strip(), *re.split(r"(?<=[.!?])\s+", line.strip())}:
+            p = model.probabilities(licenses.grams(unit))
+            k = p.index(max(p))
+            if not re.search(licenses.CUES, unit) or model.classes[k] == licenses.UNKNOWN or p[k] < model.least:
+                continue
+            share = {f: max(len(licenses.pairs(t) & licenses.pairs(unit)) / len(licenses.pairs(t)) for t in ts) for f, ts in licenses.TEMPLATES.items()}
+            if share[model.classes[k]] >= licenses.CONFIRM and share[model.classes[k]] == max(share.values()):
+                out.add(model.classes[k])
+    return ",".join(sorted(out))
+
+
+def test_license_scan_matches_brute_force(spark):
+    rng = random.Random(51)
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.OTHERS) + [t for ts in licenses.OTHER_NOTICES for t in ts]
+    rows = [(i, "\n\n".join([prose(rng, 10), rng.choice(notices), prose(rng, 10), f"{prose(rng, 3)} {rng.choice(notices)}"])) for i in range(60)]
+    rows += awkward() + [(None, ""), (None, ""), (None, "public\n\ndomain"), (70, "the public\ndomain of x"), (71, f"{prose(rng, 20_000)}\n{notices[0]}\n{prose(rng, 20_000)}"), (72, f"{notices[0]}\n" * 300)]
+    got = licenses.scan(documents(spark, rows, True)).collect()
+    assert sorted((str(r.doc_id), r.families) for r in got) == sorted((str(i), brute_families(t)) for i, t in rows)
+    assert next(r for r in got if r.doc_id == 72).n_cued == 300
+
+
 MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
