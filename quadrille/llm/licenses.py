@@ -43,6 +43,8 @@ FALSE = 0.1
 SEED = 5
 UNKNOWN = "unknown"
 WINDOW = 4
+#: Characters on either side of a line's end that a notice across it can have; over twice the longest template.
+NEAR = 400
 CUES = (
     r"(?i)licen[sc]|copyright|\(c\)|©|permission|redistribut|warrant|public\s+domain|rights\s+reserved|spdx|creative\s+commons|gpl|\bcc0|\bcc[ -]by"
     r"|hereby[^a-z0-9]+granted|associated[^a-z0-9]+documentation|documentation[^a-z0-9]+files|binary[^a-z0-9]+forms|without[^a-z0-9]+modification|following[^a-z0-9]+conditions|permitted[^a-z0-9]+provided"
@@ -249,30 +251,30 @@ def _grams(words: Column) -> tuple[Column, Column]:
     return words, F.array_distinct(two)
 
 
-def classify(paragraphs: DataFrame) -> DataFrame:
-    """(par, family, probability, confirmed) of the distinct paragraphs ``par`` that are of a known family."""
-    spark, m = paragraphs.sparkSession, model()
+def classify(units: DataFrame) -> DataFrame:
+    """(key, family, probability, confirmed) of the distinct units (key, par) that are of a known family; only keys are shuffled."""
+    spark, m = units.sparkSession, model()
     values = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  fixed tables
     weights = values([(g, *w) for g, w in m.weights.items()], "gram string, " + ", ".join(f"w{k} double" for k in range(len(m.classes))))
     templates = [(k, n, t) for k, name in enumerate(TEMPLATES) for n, t in enumerate(TEMPLATES[name])]
     known = values([(g, k, n, len(pairs(t))) for k, n, t in templates for g in sorted(pairs(t))], "gram string, class int, template int, size int")
     words = F.regexp_extract_all(F.lower("par"), F.lit(WORDS), 0)
-    rows = paragraphs.select("par", words.alias("words"))
+    rows = units.select("key", words.alias("words"))
     one, two = _grams(F.col("words"))
-    present = rows.select("par", F.explode(F.array_distinct(F.concat(one, two))).alias("gram"))
-    sums = present.join(weights, "gram").groupBy("par").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(m.classes))])
+    present = rows.select("key", F.explode(F.array_distinct(F.concat(one, two))).alias("gram"))
+    sums = present.join(weights, "gram").groupBy("key").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(m.classes))])
     z = [(F.col(f"w{k}") + m.bias[k]) / m.temperature for k in range(len(m.classes))]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
     first = F.coalesce(*[F.when(v == top, F.lit(k)) for k, v in enumerate(z)])
-    sums = sums.select("par", first.alias("class"), (1 / total).alias("probability"))
+    sums = sums.select("key", first.alias("class"), (1 / total).alias("probability"))
     sums = sums.where((F.col("class") < len(TEMPLATES)) & (F.col("probability") >= m.least))
-    held = rows.select("par", F.explode(two).alias("gram")).join(known, "gram").groupBy("par", "class", "template").agg((F.count("*") / F.max("size")).alias("share"))
-    held = held.groupBy("par", "class").agg(F.max("share").alias("share"))
-    best = held.groupBy("par").agg(F.max("share").alias("best"))
+    held = rows.select("key", F.explode(two).alias("gram")).join(known, "gram").groupBy("key", "class", "template").agg((F.count("*") / F.max("size")).alias("share"))
+    held = held.groupBy("key", "class").agg(F.max("share").alias("share"))
+    best = held.groupBy("key").agg(F.max("share").alias("best"))
     names = F.array(*[F.lit(name) for name in TEMPLATES])
-    joined = sums.join(held, ["par", "class"], "left").join(best, "par", "left")
-    return joined.select("par", F.element_at(names, F.col("class") + 1).alias("family"), "probability", F.coalesce((F.col("share") >= CONFIRM) & (F.col("share") >= F.col("best")), F.lit(False)).alias("confirmed"))
+    joined = sums.join(held, ["key", "class"], "left").join(best, "key", "left")
+    return joined.select("key", F.element_at(names, F.col("class") + 1).alias("family"), "probability", F.coalesce((F.col("share") >= CONFIRM) & (F.col("share") >= F.col("best")), F.lit(False)).alias("confirmed"))
 
 
 def _cued(text: Column) -> Column:
@@ -286,11 +288,18 @@ def _units(block: Column) -> Column:
     unit = lambda joined: lambda p: F.struct(p.alias("par"), F.lit(joined).alias("joined"))
 
     def of(ls: Column) -> Column:
-        # Lines i to i + n - 1 for each n; too few lines give none.
-        windows = [
-            F.when(F.size(ls) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(ls, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-            for n in range(2, WINDOW + 1)
-        ]
+        # Lines i to i + n - 1 for each n; too few lines give none, nor does a longer one between others. Of the outer ones only what is near the border counts.
+        def window(n: int, i: Column) -> Column:
+            inner = F.slice(ls, i + 1, F.lit(n - 2)) if n > 2 else F.array().cast("array<string>")
+            parts = F.concat(F.array(F.right(F.get(ls, i - 1), F.lit(NEAR))), inner, F.array(F.left(F.get(ls, i + n - 2), F.lit(NEAR))))
+            return F.when(~F.exists(inner, lambda p: F.length(p) > NEAR), F.array_join(parts, " "))
+
+        def of_size(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(ls) - (n - 1), F.lit(1)))
+            found = F.filter(F.transform(starts, lambda i: window(n, i)), lambda p: p.isNotNull())
+            return F.when(F.size(ls) >= n, found).otherwise(F.array().cast("array<string>"))
+
+        windows = [of_size(n) for n in range(2, WINDOW + 1)]
         sentences = F.split(F.array_join(ls, " "), r"(?<=[.!?])\s+", -1)
         joined = F.array_except(F.concat(*windows, sentences), ls)
         cued = lambda a: F.filter(a, lambda p: p.rlike(CUES))
@@ -307,9 +316,10 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.when(_cued(text), F.struct(F.sha2(text.cast("binary"), 256).alias("blob"), blocks.alias("blocks"))).alias("cued"))
     rows = materialize(rows.select("doc_id", "cued.blob", "cued.blocks"))
     texts = rows.where("blob IS NOT NULL").dropDuplicates(["blob"]).select("blob", F.posexplode("blocks").alias("block", "lines"))
-    each = materialize(texts.select("blob", "block", F.explode(_units(F.col("lines"))).alias("unit")).select("blob", "block", "unit.par", "unit.joined"))
-    found = classify(each.select("par").distinct())
-    rated = each.join(found, "par", "left").where("not joined or confirmed")
+    units = texts.select("blob", "block", F.explode(_units(F.col("lines"))).alias("unit"))
+    units = materialize(units.select("blob", "block", "unit.joined", F.unhex(F.sha2(F.col("unit.par").cast("binary"), 256)).alias("key"), "unit.par"))
+    found = classify(units.select("key", "par").dropDuplicates(["key"]))
+    rated = units.drop("par").join(found, "key", "left").where("not joined or confirmed")
     line = ~F.col("joined")
     families = lambda which: F.collect_set(F.when(which, F.col("family")))
     by_block = rated.groupBy("blob", "block").agg(

@@ -696,7 +696,7 @@ def test_licenses(spark):
 def test_license_scores_are_the_model_s(spark):
     model = licenses.model()
     texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.OTHERS)
-    found = {r.par: r for r in licenses.classify(spark.createDataFrame([(t,) for t in texts], "par string")).collect()}
+    found = {r.key: r for r in licenses.classify(spark.createDataFrame([(t, t) for t in texts], "key string, par string")).collect()}
     for t in texts:
         p = model.probabilities(licenses.grams(t))
         k = max(range(len(p)), key=p.__getitem__)
@@ -780,6 +780,15 @@ def test_wrapped_licenses_are_confirmed(spark):
         assert got[2 * i].n_licensed > 0
 
 
+def test_notices_across_long_lines_are_near_the_border(spark):
+    rng = random.Random(24)
+    first, second = MIT_WRAPPED.split("\n")[:2]
+    rows = [(1, f"{prose(rng, 900)} {first}\n{second} {prose(rng, 900)}"), (2, f"{prose(rng, 900)} {first}\n{prose(rng, 300)}. {prose(rng, 300)}\n{second}")]
+    got = {r.doc_id: r.families for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {1: "mit", 2: ""}
+    assert all(2 * len(t) < licenses.NEAR + 50 for ts in licenses.TEMPLATES.values() for t in ts)
+
+
 def test_no_confirmed_unit_is_without_a_cue():
     cues = re.compile(licenses.CUES)
     for texts in licenses.TEMPLATES.values():
