@@ -427,7 +427,7 @@ class IdPacker:
             return self._encode([text])[0]
         words, known = self.split(text), self.known
         found = {}
-        if missing := list(set(words).difference(known)):
+        if missing := [w for w in set(words) if w not in known]:
             found = dict(zip(missing, self._encode(missing)))
         out = b"".join([known.get(w) or found[w] for w in words])
         for w, ids in found.items():
