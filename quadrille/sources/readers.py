@@ -57,7 +57,7 @@ def read(spark: SparkSession, path: str, form: str | None = None, base: str | No
 
         for files in batches:
             for name, content in zip(files["path"], files["content"]):
-                scope = f"f{abs(hash_text(name)):x}_"
+                scope = f"f{digest_of(name)}_"
                 rows = list(parse(bytes(content).decode("utf-8-sig"), base if base is not None else name, scope, "" if shared else None))
                 yield pd.DataFrame([[None if t is None else t._asdict() for t in (*q, None)[:4]] for q in rows], columns=list("spog"))
 
@@ -65,11 +65,11 @@ def read(spark: SparkSession, path: str, form: str | None = None, base: str | No
     return files.mapInPandas(run, term_schema(*"spog")).distinct()
 
 
-def hash_text(text: str) -> int:
-    """The same number for the same text in every process."""
-    import zlib
+def digest_of(name: str) -> str:
+    """What keeps the blank nodes of a file apart from those of any other: 128 bits of its path's SHA-256."""
+    import hashlib
 
-    return zlib.crc32(text.encode())
+    return hashlib.sha256(name.encode()).hexdigest()[:32]
 
 
 def read_text(spark: SparkSession, text: str, form: str = "turtle", base: str = "", strict: bool = True) -> DataFrame:
@@ -126,7 +126,7 @@ def _term(text: Column, scope: Column) -> Column:
 
 
 def _scope(file: Column) -> Column:
-    return F.when(file == "", "").otherwise(F.concat(F.lit("f"), F.lower(F.hex(F.crc32(file.cast("binary")))), F.lit("_")))
+    return F.when(file == "", "").otherwise(F.concat(F.lit("f"), F.substring(F.sha2(file.cast("binary"), 256), 1, 32), F.lit("_")))
 
 
 def _checked(rows: DataFrame, pattern: str, strict: bool, other: str = BLANK) -> DataFrame:
