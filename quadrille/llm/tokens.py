@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 #: What the caches of a Python process may hold, in bytes, about; a cache beyond that is emptied.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 112 << 20
 #: What an entry takes besides its text.
 ENTRY = 160
 #: Pre-tokens of more characters are not kept.
@@ -426,14 +426,15 @@ class IdPacker:
         if self.plain(text) is None or any(s in text for s in self.special):
             return self._encode([text])[0]
         words, known = self.split(text), self.known
-        found = {}
-        if missing := [w for w in set(words) if w not in known]:
-            found = dict(zip(missing, self._encode(missing)))
-        out = b"".join([known.get(w) or found[w] for w in words])
-        for w, ids in found.items():
-            if len(w) <= LONG_WORD:
-                known.keep(w, ids, len(w) + len(ids))
-        return out
+        distinct = set(words)
+        if missing := [w for w in distinct if w not in known]:
+            if known.held > CACHE_BYTES:
+                known.clear()
+                known.held, missing = 0, list(distinct)
+            ids = self._encode(missing)
+            known.update(zip(missing, ids))
+            known.held += sum(map(len, missing)) + sum(map(len, ids)) + ENTRY * len(ids)
+        return b"".join(map(known.__getitem__, words))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
