@@ -102,20 +102,35 @@ def _settle(df: DataFrame, vals: dict[str, Val], certain) -> Plan:
     return Plan(df.select(*[v.col.alias(names[n]) for n, v in vals.items()]) if vals else df, {n: v.named(names[n]) for n, v in vals.items()}, frozenset(certain))
 
 
+def bound(p: Plan, n: str) -> Plan:
+    """The rows that bind a variable."""
+    return Plan(p.df.where(p.vars[n].col.isNotNull()), p.vars, p.certain | {n})
+
+
+def free(p: Plan, n: str) -> Plan:
+    """The rows that don't, without it."""
+    return Plan(p.df.where(p.vars[n].col.isNull()), {k: v for k, v in p.vars.items() if k != n}, p.certain - {n})
+
+
+def unsure(a: Plan, b: Plan, names) -> str | None:
+    """A variable to part the sides by, where no shared one is bound on both: in each part it is a key or not shared."""
+    return names[0] if names and not any(n in a.certain and n in b.certain for n in names) else None
+
+
+def together(*parts: Plan) -> Plan:
+    return reduce(union, [p.renewed() for p in parts])
+
+
 def join(a: Plan, b: Plan) -> Plan:
     names = shared(a, b)
     a, b = align(a, b, names)
-    unsure = [n for n in names if n not in a.certain or n not in b.certain]
-    if unsure and len(unsure) == len(names):  # no equal keys yet: part both sides by whether one is bound
-        n = unsure[0]
-        certain = lambda p: Plan(p.df.where(p.vars[n].col.isNotNull()), p.vars, p.certain | {n})
-        free = lambda p: Plan(p.df.where(p.vars[n].col.isNull()), {k: v for k, v in p.vars.items() if k != n}, p.certain - {n})
-        parts = [(certain(a), certain(b))]
+    if n := unsure(a, b, names):
+        parts = [(bound(a, n), bound(b, n))]
         if n not in b.certain:
-            parts.append((certain(a), free(b)))
+            parts.append((bound(a, n), free(b, n)))
         if n not in a.certain:
-            parts.append((free(a), b))
-        return reduce(union, [join(p.renewed(), q.renewed()) for p, q in parts])
+            parts.append((free(a, n), b))
+        return together(*[join(p.renewed(), q.renewed()) for p, q in parts])
     condition = compatible(a, b, names)
     df = a.df.join(b.df, condition, "inner") if condition is not None else a.df.crossJoin(b.df)
     return _settle(df, merged(a, b, names), a.certain | b.certain)
@@ -125,6 +140,11 @@ def left_join(a: Plan, b: Plan, on=None) -> Plan:
     """``on`` gets the values of both sides and gives a condition."""
     names = shared(a, b)
     a, b = align(a, b, names)
+    if n := unsure(a, b, names):
+        if n not in a.certain:
+            return together(left_join(bound(a, n).renewed(), b.renewed(), on), left_join(free(a, n).renewed(), b.renewed(), on))
+        both = join(a.renewed(), b.renewed())
+        return together(both if on is None else both.where(on(both.vars)), semi_join(a.renewed(), b.renewed(), True, on))
     condition = compatible(a, b, names)
     if on is not None:
         extra = on(merged(a, b, names))
@@ -136,12 +156,19 @@ def left_join(a: Plan, b: Plan, on=None) -> Plan:
 def semi_join(a: Plan, b: Plan, anti: bool = False, on=None) -> Plan:
     names = shared(a, b)
     a, b = align(a, b, names)
+    if n := unsure(a, b, names):
+        if n not in a.certain:
+            return together(semi_join(bound(a, n).renewed(), b.renewed(), anti, on), semi_join(free(a, n).renewed(), b.renewed(), anti, on))
+        missed = semi_join(a.renewed(), bound(b, n).renewed(), True, on)
+        rest = semi_join(missed, free(b, n).renewed(), anti, on)
+        return rest if anti else together(semi_join(a.renewed(), bound(b, n).renewed(), False, on), rest)
     condition = compatible(a, b, names)
     if on is not None:
         extra = on(merged(a, b, names))
         condition = extra if condition is None else condition & extra
-    df = a.df.join(b.df, F.lit(True) if condition is None else condition, "left_anti" if anti else "left_semi")
-    return Plan(df, a.vars, a.certain)
+    if condition is None:  # any row will do
+        return Plan(a.df.join(b.df.select(F.lit(1).alias(fresh("any"))).limit(1), F.lit(True), "left_anti" if anti else "left_semi"), a.vars, a.certain)
+    return Plan(a.df.join(b.df, condition, "left_anti" if anti else "left_semi"), a.vars, a.certain)
 
 
 def minus(a: Plan, b: Plan) -> Plan:
@@ -149,10 +176,11 @@ def minus(a: Plan, b: Plan) -> Plan:
     if not names:
         return a
     a, b = align(a, b, names)
-    condition = compatible(a, b, names)
-    if not any(n in a.certain and n in b.certain for n in names):
-        condition &= reduce(lambda x, y: x | y, [a.vars[n].col.isNotNull() & b.vars[n].col.isNotNull() for n in names])
-    return Plan(a.df.join(b.df, condition, "left_anti"), a.vars, a.certain)
+    if n := unsure(a, b, names):
+        if n not in a.certain:
+            return together(minus(bound(a, n).renewed(), b.renewed()), minus(free(a, n).renewed(), b.renewed()))
+        return minus(minus(a.renewed(), bound(b, n).renewed()), free(b, n).renewed())
+    return Plan(a.df.join(b.df, compatible(a, b, names), "left_anti"), a.vars, a.certain)
 
 
 def union(a: Plan, b: Plan) -> Plan:
