@@ -68,20 +68,21 @@ def tree(quads: DataFrame, root: Term, p: Term, down: bool = True):
 
 
 def list_positions(quads: DataFrame, head: Term) -> DataFrame:
-    """(position, item) of an rdf:List, one join a step; raises ValueError on a loop."""
-    rest = quads.where(equal(F.col("p"), Term(2, RDF + "rest"))).select(F.col("s").alias("at"), F.col("o").alias("next"))
+    """(position, item) of an rdf:List; each round doubles the jumps and the cells that are found, so rounds are few; raises ValueError on a loop."""
+    nil = equal(F.col("o"), Term(2, RDF + "nil"))
+    jump = materialize(quads.where(equal(F.col("p"), Term(2, RDF + "rest")) & ~nil).select(F.col("s").alias("at"), F.col("o").alias("to")).distinct())
     first = quads.where(equal(F.col("p"), Term(2, RDF + "first"))).select(F.col("s").alias("at"), F.col("o").alias("item"))
-    step = materialize(rest)
-    at = materialize(quads.sparkSession.range(1).select(lit(head).alias("at"), F.lit(0).alias("position")))
-    seen, n = at, 0
+    seen = materialize(quads.sparkSession.range(1).select(lit(head).alias("at"), F.lit(0).alias("position")))
+    step = 1
     while True:
-        n += 1
-        at = materialize(at.join(step, "at").select(F.col("next").alias("at"), F.lit(n).alias("position")).distinct())
-        if at.where(~equal(F.col("at"), Term(2, RDF + "nil"))).isEmpty():
+        new = materialize(seen.join(jump, "at").select(F.col("to").alias("at"), (F.col("position") + step).alias("position")).distinct())
+        if new.isEmpty():
             break
-        if not at.join(seen, "at", "left_semi").isEmpty():
+        if not new.join(seen, "at", "left_semi").isEmpty():
             raise ValueError("the list has a loop")
-        seen = seen.union(at)
+        seen = materialize(seen.union(new))
+        jump = materialize(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("far")), "to").select("at", F.col("far").alias("to")).distinct())
+        step *= 2
     return seen.join(first, "at").select("position", "item")
 
 

@@ -116,6 +116,16 @@ case(
     "SELECT ?k (MD5(?n) AS ?md5) (SHA1(?n) AS ?sha1) (SHA256(?n) AS ?sha256) WHERE { ?c v:c_custkey ?k ; v:c_name ?n }",
     "SELECT c_custkey AS k, md5(c_name) AS md5, sha1(c_name) AS sha1, sha256(c_name) AS sha256 FROM customer",
 )
+case(
+    "fn_made_terms", "customer",
+    'SELECT ?k (STR(IRI(CONCAT("http://ex/x/", ?n))) AS ?i) (STR(DATATYPE(STRDT(?n, v:name))) AS ?dt) (LANG(STRLANG(?n, "en-GB")) AS ?lang) (LANGMATCHES(LANG(STRLANG(?n, "en-GB")), "EN") AS ?en) (LANGMATCHES("fr", "en") AS ?fr) (isBlank(BNODE(?n)) AS ?b) (isURI(URI(STR(?c))) AS ?u) (STRLEN(SHA384(?n)) AS ?h3) (STRLEN(SHA512(?n)) AS ?h5) WHERE { ?c v:c_custkey ?k ; v:c_name ?n }',
+    f"SELECT c_custkey AS k, 'http://ex/x/' || c_name AS i, '{V}name' AS dt, 'en-gb' AS lang, true AS en, false AS fr, true AS b, true AS u, CAST(96 AS BIGINT) AS h3, CAST(128 AS BIGINT) AS h5 FROM customer",
+)
+case(
+    "fn_zones", "orders",
+    'SELECT ?k (TZ(?z) AS ?tz) (STR(TIMEZONE(?z)) AS ?zone) (YEAR(?z) AS ?y) (HOURS(?z) AS ?h) (TZ(?d) AS ?none) WHERE { ?o v:o_orderkey ?k ; v:o_orderdate ?d BIND(STRDT(CONCAT(SUBSTR(STR(?d), 1, 10), "T10:00:00-05:30"), xsd:dateTime) AS ?z) }',
+    "SELECT o_orderkey AS k, '-05:30' AS tz, '-PT5H30M' AS zone, year(o_orderdate) AS y, CAST(10 AS BIGINT) AS h, '' AS none FROM orders",
+)
 case(
     "fn_if_coalesce", "customer",
     'SELECT ?k (IF(?b < 0, "debt", "credit") AS ?w) (COALESCE(?none, ?b) AS ?c) (IF(BOUND(?none), 1, 2) AS ?n) WHERE { ?s v:c_custkey ?k ; v:c_acctbal ?b }',
@@ -189,6 +199,21 @@ case(
     "SELECT ?k (EXISTS { ?o v:o_custkey_ref ?c } AS ?has) WHERE { ?c v:c_custkey ?k }",
     "SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has FROM customer",
 )
+case(
+    "optional_chain", "customer nation",
+    "SELECT ?k ?name WHERE { ?c v:c_custkey ?k OPTIONAL { ?c v:c_nationkey_ref ?n . ?n v:n_regionkey 2 } OPTIONAL { ?n v:n_name ?name } }",
+    "SELECT c_custkey AS k, b.n_name AS name FROM customer LEFT JOIN nation a ON c_nationkey = a.n_nationkey AND a.n_regionkey = 2 LEFT JOIN nation b ON a.n_nationkey IS NULL OR a.n_nationkey = b.n_nationkey",
+)
+case(
+    "minus_optional", "customer orders",
+    "SELECT ?k ?x WHERE { ?c v:c_custkey ?k OPTIONAL { ?x v:o_custkey_ref ?c ; v:o_orderstatus 'P' } MINUS { ?x v:o_orderpriority '1-URGENT' } }",
+    f"SELECT c_custkey AS k, {ref('orders', 'o_orderkey')} AS x FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL OR o_orderpriority <> '1-URGENT'",
+)
+case(
+    "exists_optional", "customer orders",
+    "SELECT ?k ?x WHERE { ?c v:c_custkey ?k OPTIONAL { ?x v:o_custkey_ref ?c ; v:o_orderstatus 'P' } FILTER EXISTS { ?x v:o_orderpriority '1-URGENT' } }",
+    f"SELECT c_custkey AS k, {ref('orders', 'o_orderkey')} AS x FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE CASE WHEN o_orderkey IS NULL THEN EXISTS (SELECT 1 FROM orders u WHERE u.o_orderpriority = '1-URGENT') ELSE o_orderpriority = '1-URGENT' END",
+)
 case(
     "cross_theta", "nation region",
     "SELECT ?a ?b WHERE { ?n v:n_nationkey ?a . ?r v:r_regionkey ?b FILTER(?a < ?b) }",
@@ -420,6 +445,39 @@ def _components(spark, sf_dir):
     return a.join(found.where(F.col("x").contains("/region/")).withColumnRenamed("x", "r"), "root").select("n", "r")
 
 
+@query("graph_components_orders", f"SELECT {ref('orders', 'o_orderkey')} AS n, {ref('customer', 'o_custkey')} AS r FROM orders")
+def _components_orders(spark, sf_dir):
+    """Customers with their orders, as components of a graph that grows with the tables."""
+    links = explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_custkey_ref")
+    found = G.components(links).select(F.col("n.lex").alias("x"), "root")
+    a = found.where(F.col("x").contains("/orders/")).withColumnRenamed("x", "n")
+    return a.join(found.where(F.col("x").contains("/customer/")).withColumnRenamed("x", "r"), "root").select("n", "r")
+
+
+_STATUS = f"SELECT '<{EX}orders/' || o_orderkey || '>' AS s, '<{V}o_orderstatus>' AS p, '\"' || CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE o_orderstatus END || '\"' AS o FROM orders"
+
+
+@query("update_modify_orders", _STATUS)
+def _modify_orders(spark, sf_dir):
+    quads = explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_orderstatus")
+    text = "WITH g:orders DELETE { ?o v:o_orderstatus 'P' } INSERT { ?o v:o_orderstatus 'pending' } WHERE { ?o v:o_orderstatus 'P' }"
+    return triples_text(Dataset(spark, quads, PREFIXES).update(text).quads)
+
+
+@query("nquads_roundtrip_customer", f"SELECT '<{EX}customer/' || c_custkey || '>' AS s, p, o FROM customer, LATERAL (VALUES ('<{V}c_name>', '\"' || c_name || '\"'), ('<{V}c_nationkey_ref>', '<{EX}nation/' || c_nationkey || '>')) AS t(p, o)")
+def _customers_written(spark, sf_dir):
+    path = f"{checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    quads = explicit(spark, sf_dir, "customer").quads.where(F.col("p.lex").isin(V + "c_name", V + "c_nationkey_ref"))
+    writers.write(quads, path, "nquads", PREFIXES)
+    return triples_text(readers.read(spark, path, "nquads"))
+
+
+@query("graph_difference_orders", f"SELECT * FROM ({_STATUS.replace('pending', 'P')}) WHERE o <> '\"F\"'")
+def _difference_orders(spark, sf_dir):
+    quads = explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_orderstatus")
+    return triples_text((Graph(quads) - Graph(quads.where(F.col("o.lex") == "F"))).quads)
+
+
 @query(
     "void_profile",
     f"WITH t AS ({_N} UNION ALL {_R}) SELECT 'dataset' AS scope, NULL AS term, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM t UNION ALL SELECT 'property', p[2:-2], count(*), count(DISTINCT s), count(DISTINCT o) FROM t GROUP BY p UNION ALL SELECT 'class', y.o[2:-2], count(*), count(DISTINCT t.s), count(DISTINCT t.o) FROM t JOIN t AS y ON t.s = y.s AND y.p = '{RDF_TYPE}' GROUP BY y.o",
