@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 import types
 import unicodedata
@@ -409,32 +410,36 @@ def prefix_counts(docs: DataFrame, path: str, budgets: list[int] | None = None)
 
 
 class IdPacker:
-    """Token ids of texts, packed as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts under a byte-level vocabulary, packed as little-endian unsigned 32-bit numbers.
+
+    Plain texts are split here and each distinct pre-token goes through the library's model once; other
+    texts, and all texts where the library normalises, go through the library whole.
+    """
 
     def __init__(self, path: str):
         kept = load(path)
         self.tokenizer, self.special, self.known = kept.tokenizer, kept.special, kept.ids
+        self.model, self.whole = kept.tokenizer.model, kept.tokenizer.normalizer is not None
         self.split = re.compile(BYTE_PATTERN).findall
         self.plain = re.compile(PLAIN).fullmatch
+        self.letters = dict(enumerate(_byte_letters()))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():  # of these only the space has another letter
+            letters = word.replace(" ", self.letters[0x20])
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(letters)
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return self.known.keep(word, ids, len(word) + len(ids))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.plain(text) is None or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        words, known = self.split(text), self.known
-        distinct = set(words)
-        if missing := [w for w in distinct if w not in known]:
-            if known.held > CACHE_BYTES:
-                known.clear()
-                known.held, missing = 0, list(distinct)
-            ids = self._encode(missing)
-            known.update(zip(missing, ids))
-            known.held += sum(map(len, missing)) + sum(map(len, ids)) + ENTRY * len(ids)
-        return b"".join(map(known.__getitem__, words))
+        if self.whole or self.plain(text) is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        known, new = self.known.get, self._word
+        return b"".join([known(w) or new(w) for w in self.split(text)])
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
