@@ -1,20 +1,23 @@
 """Canonical blank node labels, isomorphism and digests.
 
 Colours are refined in DataFrames: a blank node's new colour is a digest of its old one and of the
-sorted links around it, until the number of colours stands still. Nodes whose colour is theirs alone
-are done. What is left, nodes that look alike, is split on the driver by picking one of a class, refining
-again and keeping the least outcome; that part is bounded by ``SPLIT`` nodes.
+links around it, until the number of colours stands still. Nodes whose colour is theirs alone are done.
+What is left, nodes that look alike, falls into connected groups, which are independent of each other.
+A node that is linked to no other such node is its colour's; in each larger group nodes are told apart by
+picking one of a class, refining again and keeping the least outcome, a group to a task and of at most
+``SPLIT`` nodes. Groups of one form are copies, so it doesn't matter in what order they are numbered.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..terms import BNODE, Term, lit, make, n3
+from .graphs import components
 
 SPLIT = 2000
 
@@ -23,6 +26,13 @@ def _text(c: str, colour: Column) -> Column:
     return F.when(F.col(c)["k"] == BNODE, F.concat(F.lit("_:"), colour)).otherwise(n3(F.col(c)))
 
 
+def _links_around(parts: DataFrame) -> DataFrame:
+    """(lex, links): for each node the sums of its links' digests by words of 32 bits, which no hub makes longer."""
+    hashes = parts.select("lex", F.sha2(F.col("link").cast("binary"), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(6)]
+    return hashes.groupBy("lex").agg(*words).select("lex", F.concat_ws(" ", *[f"w{i}" for i in range(6)]).alias("links"))
+
+
 def refine(quads: DataFrame) -> DataFrame:
     """(lex, colour) of the blank nodes, refined until stable."""
     nodes = None
@@ -43,7 +53,7 @@ def refine(quads: DataFrame) -> DataFrame:
             own = [F.when((F.col(o)["k"] == BNODE) & (F.col(o)["lex"] == F.col(c)["lex"]), F.lit("*")).otherwise(t) for o, t in zip("sog", others)]
             row = links.where(F.col(c)["k"] == BNODE).select(F.col(c)["lex"].alias("lex"), F.concat_ws("\t", F.lit(c), own[0], n3(F.col("p")), own[1], own[2]).alias("link"))
             parts = row if parts is None else parts.union(row)
-        around = parts.groupBy("lex").agg(F.concat_ws("\n", F.sort_array(F.collect_list("link"))).alias("links"))
+        around = _links_around(parts)
         colours = materialize(around.join(colours, "lex").select("lex", F.sha2(F.concat_ws("\n", "colour", "links").cast("binary"), 256).alias("colour")))
         now = colours.select("colour").distinct().count()
         if now == total or now == before:
@@ -52,43 +62,44 @@ def refine(quads: DataFrame) -> DataFrame:
     return colours
 
 
-def _split(rows: list[tuple], colours: dict[str, str]) -> dict[str, str]:
-    """Tell apart blank nodes that share a colour; the least labelling of all choices."""
+def _digest(*parts: str) -> str:
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
-    def digest(*parts: str) -> str:
-        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
-    def text(t, colour) -> str:
-        return "" if t is None else "_:" + colour[t.lex] if t.k == BNODE else t.n3()
+def _split(rows: list[tuple], colours: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """Colours that tell linked look-alikes apart, and the quads among them in these colours; the least of all choices.
+
+    A slot of a row is (a node of ``colours``, "") or ("", a text).
+    """
 
     def settle(colour: dict[str, str]) -> dict[str, str]:
         number = len(set(colour.values()))
         while number < len(colour):
             around: dict[str, list[str]] = {n: [] for n in colour}
             for q in rows:
-                for i, t in enumerate(q):
-                    if t is not None and t.k == BNODE:
-                        around[t.lex].append("\t".join([str(i), *("*" if u == t else text(u, colour) for u in q)]))
-            colour = {n: digest(colour[n], *sorted(around[n])) for n in colour}
+                for i, (n, _) in enumerate(q):
+                    if n:
+                        around[n].append("\t".join([str(i), *("*" if u == n else colour[u] if u else text for u, text in q)]))
+            colour = {n: _digest(colour[n], *sorted(around[n])) for n in colour}
             if len(set(colour.values())) == number:
                 break
             number = len(set(colour.values()))
         return colour
 
     def form(colour: dict[str, str]) -> list[str]:
-        return sorted("\t".join(text(t, colour) for t in q) for q in rows)
+        return sorted("\t".join("_:" + colour[n] if n else text for n, text in q) for q in rows)
 
     def best(colour: dict[str, str]) -> dict[str, str]:
         classes: dict[str, list[str]] = {}
         for n, c in colour.items():
             classes.setdefault(c, []).append(n)
-        tied = sorted(((len(ns), c) for c, ns in classes.items() if len(ns) > 1))
+        tied = sorted((len(ns), c) for c, ns in classes.items() if len(ns) > 1)
         if not tied:
             return colour
         c = tied[0][1]
         outcomes, seen = [], set()
         for n in sorted(classes[c]):
-            split = settle({**colour, n: digest(c, "picked")})
+            split = settle({**colour, n: _digest(c, "picked")})
             key = tuple(form(split))
             if key in seen:  # an automorphic choice leads to the same
                 continue
@@ -96,33 +107,56 @@ def _split(rows: list[tuple], colours: dict[str, str]) -> dict[str, str]:
             outcomes.append(split)
         return min((best(o) for o in outcomes), key=form)
 
-    return best(settle(colours))
+    found = best(settle(colours))
+    return found, form(found)
+
+
+def _told_apart(group):
+    """The nodes of one group with their colours among themselves and the group's form."""
+    import pandas as pd
+
+    rows = [tuple((getattr(r, f"{c}_tied") or "", getattr(r, f"{c}_text") or "") for c in "spog") for r in group.itertuples()]
+    colours = {n: c for r in group.itertuples() for x in "sog" if (n := getattr(r, f"{x}_tied")) for c in [getattr(r, f"{x}_colour")]}
+    found, form = _split(rows, colours)
+    return pd.DataFrame({"root": group["root"].iloc[0], "lex": list(found), "own": list(found.values()), "form": _digest(*form)})
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """Groups of one form numbered: within the partitions that hold them, then those before."""
+    groups = materialize(groups.repartition("root").withColumn("part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("form", "part").orderBy("root"))
+    before = F.sum("n").over(Window.partitionBy("form").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = groups.groupBy("form", "part").agg(F.count("*").alias("n")).select("form", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    return groups.withColumn("within", within).join(counts, ["form", "part"]).select("root", (F.col("before") + F.col("within")).alias("copy"))
 
 
 def labels(quads: DataFrame) -> DataFrame:
     """(lex, label) of the blank nodes, the same for isomorphic graphs."""
     colours = refine(quads)
-    tied = colours.groupBy("colour").count().where("count > 1")
+    tied = colours.groupBy("colour").count().where("count > 1").select("colour", F.lit(True).alias("tied"))
     if tied.isEmpty():
         return colours.select("lex", F.concat(F.lit("cb"), "colour").alias("label"))
-    members = colours.join(tied, "colour", "left_semi")
-    if members.count() > SPLIT:
-        raise ValueError(f"more than {SPLIT} blank nodes look alike")
-    lone = [r[0] for r in members.select("lex").collect()]
-    held = members.select("lex").withColumn("hit", F.lit(True))
-    rows = quads
-    hit = F.lit(False)
+    nodes = materialize(colours.join(tied, "colour", "left"))
+    rows = quads.withColumn("p_tied", F.lit(None).cast("string")).withColumn("p_text", n3(F.col("p")))
     for c in "sog":
-        at = F.broadcast(held.select(F.col("lex").alias(f"{c}_lex"), F.col("hit").alias(f"{c}_hit")))
+        at = nodes.select(F.col("lex").alias(f"{c}_lex"), F.col("colour").alias(f"{c}_colour"), F.when(F.col("tied"), F.col("lex")).alias(f"{c}_tied"))
         rows = rows.join(at, (F.col(c)["k"] == BNODE) & (F.col(c)["lex"] == F.col(f"{c}_lex")), "left")
-        hit |= F.coalesce(F.col(f"{c}_hit"), F.lit(False))
-    terms = [tuple(None if t is None else Term(*t) for t in r) for r in rows.where(hit).select("s", "p", "o", "g").collect()]
-    near = {t.lex for q in terms for t in q if t is not None and t.k == BNODE}
-    wanted = quads.sparkSession.createDataFrame([(n,) for n in near], "lex string")
-    known = {r[0]: r[1] for r in colours.join(F.broadcast(wanted), "lex").collect()}
-    final = _split(terms, known)
-    fixed = quads.sparkSession.createDataFrame([(n, hashlib.sha256((known[n] + final[n]).encode()).hexdigest()) for n in lone], "lex string, better string")
-    return colours.join(F.broadcast(fixed), "lex", "left").select("lex", F.concat(F.lit("cb"), F.coalesce("better", "colour")).alias("label"))
+        rows = rows.withColumn(f"{c}_text", F.when(F.col(f"{c}_tied").isNull(), _text(c, F.col(f"{c}_colour"))))
+    pairs = [F.struct(F.col(f"{a}_tied").alias("s"), F.col(f"{b}_tied").alias("o")) for a, b in ("so", "sg", "og")]
+    # Links to anything else are in the colours already.
+    apart = F.filter(F.array(*pairs), lambda x: x["s"] != x["o"])
+    rows = materialize(rows.withColumn("pairs", apart).where(F.size("pairs") > 0).select("pairs", *[f"{c}_{x}" for c in "spog" for x in ("tied", "text")], *[f"{c}_colour" for c in "sog"]))
+    linked = materialize(components(rows.select(F.inline("pairs"))).withColumnRenamed("n", "lex"))
+    largest = linked.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    if largest > SPLIT:
+        raise ValueError(f"more than {SPLIT} linked blank nodes look alike")
+    of_group = rows.withColumn("lex", F.coalesce(*[f"{c}_tied" for c in "sog"])).join(linked, "lex").drop("lex", "pairs")
+    grouped = of_group.groupBy("root").applyInPandas(_told_apart, "root string, lex string, own string, form string")
+    alone = nodes.where("tied").join(linked, "lex", "left_anti").select(F.col("lex").alias("root"), "lex", F.col("colour").alias("own"), F.col("colour").alias("form"))
+    found = materialize(grouped.union(alone))
+    copies = _numbered(found.select("root", "form").distinct())
+    better = found.join(copies, "root").select("lex", F.sha2(F.concat_ws(" ", "form", "own", "copy").cast("binary"), 256).alias("better"))
+    return nodes.join(better, "lex", "left").select("lex", F.concat(F.lit("cb"), F.coalesce("better", "colour")).alias("label"))
 
 
 def canonical(quads: DataFrame) -> DataFrame:

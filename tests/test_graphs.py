@@ -104,6 +104,24 @@ def test_isomorphism(spark):
     assert more.canonical().collect() == more.canonical().canonical().collect() or len(more.canonical()) == 7
 
 
+def test_isomorphism_of_many_copies(spark):
+    """Thousands of equal records, alone and in linked pairs, with names of their own in each graph."""
+    at = IRI(E + "at")
+
+    def records(salt: str, pairs: int = 40) -> Graph:
+        alone = [(BNode(f"{salt}{i}"), at, Literal(i % 3)) for i in range(2500)]
+        ones = [(BNode(f"{salt}x{i}"), at, BNode(f"{salt}y{i}")) for i in range(pairs)]
+        loops = [(BNode(f"{salt}{a}{i}"), IRI(E + "p"), BNode(f"{salt}{b}{i}")) for i in range(20) for a, b in ("uv", "vw", "wu")]
+        return Graph.of(spark, alone + ones + loops)
+
+    a, b = records("a"), records("zb")
+    assert a.isomorphic(b) and not a.isomorphic(records("c", 39))
+    assert a.canonical().quads.select("s").distinct().count() == 2500 + 40 + 60
+    six = [(BNode(f"{n}{i}"), IRI(E + "p"), BNode(f"{n}{(i + 1) % 6}")) for n in "ab" for i in range(6)]
+    threes = [(BNode(f"{n}{i}"), IRI(E + "p"), BNode(f"{n}{(i + 1) % 3}")) for n in "abcd" for i in range(3)]
+    assert not Graph.of(spark, six).isomorphic(Graph.of(spark, threes))
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     return Graph.parse(spark, data="@prefix : <http://e/> . :a :p 1, 2 ; :q :b . :b :q :c . :c :p 3 . :x :q :y . :bag a <http://www.w3.org/1999/02/22-rdf-syntax-ns#Bag> .").bind("", E)
