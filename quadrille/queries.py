@@ -17,7 +17,7 @@ from .sources import readers, writers
 from .sources.lift import Column, lift
 from .streaming.changes import replay
 from .tables import PREFIXES, dataset
-from .terms import IRI, Literal, n3, term_schema
+from .terms import IRI, Literal, make, n3, term_schema
 
 EX = "http://ex/"
 INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
@@ -126,6 +126,36 @@ case(
     'SELECT ?k (TZ(?z) AS ?tz) (STR(TIMEZONE(?z)) AS ?zone) (YEAR(?z) AS ?y) (HOURS(?z) AS ?h) (TZ(?d) AS ?none) WHERE { ?o v:o_orderkey ?k ; v:o_orderdate ?d BIND(STRDT(CONCAT(SUBSTR(STR(?d), 1, 10), "T10:00:00-05:30"), xsd:dateTime) AS ?z) }',
     "SELECT o_orderkey AS k, '-05:30' AS tz, '-PT5H30M' AS zone, year(o_orderdate) AS y, CAST(10 AS BIGINT) AS h, '' AS none FROM orders",
 )
+case(
+    "fn_dates_moved", "orders",
+    'SELECT ?k (STR(?z + "P1DT2H"^^xsd:dayTimeDuration) AS ?later) (STR(?z - "P3D"^^xsd:dayTimeDuration) AS ?before) (STR(?z - "1990-01-01T00:00:00Z"^^xsd:dateTime) AS ?age) WHERE { ?o v:o_orderkey ?k ; v:o_orderdate ?d BIND(STRDT(CONCAT(SUBSTR(STR(?d), 1, 10), "T10:00:00Z"), xsd:dateTime) AS ?z) }',
+    "SELECT o_orderkey AS k, strftime(date_trunc('day', o_orderdate) + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS later, strftime(date_trunc('day', o_orderdate) - INTERVAL 62 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS before, 'P' || date_diff('day', TIMESTAMP '1990-01-01', CAST(o_orderdate AS TIMESTAMP)) || 'DT10H' AS age FROM orders",
+)
+case(
+    "fn_numbers_mixed", "part",
+    "SELECT ?k (+?s AS ?plus) (?s + 0.5 AS ?dec) (?s + ?p * 2.0e0 AS ?dbl) (-3 + ?s AS ?neg) (?s * -1.5 AS ?d2) (?s - -1e1 AS ?d3) WHERE { ?x v:p_partkey ?k ; v:p_size ?s ; v:p_retailprice ?p }",
+    "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS plus, CAST(p_size + 0.5 AS DOUBLE) AS dec, p_size + p_retailprice * 2.0 AS dbl, CAST(p_size - 3 AS BIGINT) AS neg, CAST(p_size * -1.5 AS DOUBLE) AS d2, CAST(p_size + 10 AS DOUBLE) AS d3 FROM part",
+)
+case(
+    "fn_generated", "customer",
+    "SELECT ?k (STRLEN(STRUUID()) AS ?n) (STRSTARTS(STR(UUID()), 'urn:uuid:') AS ?u) (RAND() < 1.0 AS ?r) (NOW() = NOW() AS ?now) (isBlank(BNODE()) AS ?b) WHERE { ?c v:c_custkey ?k }",
+    "SELECT c_custkey AS k, CAST(36 AS BIGINT) AS n, true AS u, true AS r, true AS now, true AS b FROM customer",
+)
+case(
+    "syntax_strings", "nation",
+    "SELECT ?k ('''a'b\nc''' AS ?l1) (\"\"\"x\"y\nz\"\"\" AS ?l2) ('t\\tu\\u00E9' AS ?esc) (1.5E1 AS ?e) WHERE { ?x v:n_nationkey ?k }",
+    "SELECT CAST(n_nationkey AS BIGINT) AS k, 'a''b' || chr(10) || 'c' AS l1, 'x\"y' || chr(10) || 'z' AS l2, 't' || chr(9) || 'ué' AS esc, CAST(15 AS DOUBLE) AS e FROM nation",
+)
+case(
+    "syntax_blank_nodes", "orders customer",
+    "SELECT ?k ?seg WHERE { [ v:o_orderkey ?k ; v:o_custkey_ref [ v:c_mktsegment ?seg ] ; v:o_orderstatus 'P' ] . [] v:c_custkey 1 . _:n v:c_custkey 2 }",
+    "SELECT o_orderkey AS k, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",
+)
+case(
+    "reduced", "orders",
+    "SELECT (COUNT(*) AS ?n) WHERE { SELECT REDUCED ?k ?c WHERE { ?o v:o_orderkey ?k ; v:o_custkey ?c } }",
+    "SELECT count(*) AS n FROM orders",
+)
 case(
     "fn_if_coalesce", "customer",
     'SELECT ?k (IF(?b < 0, "debt", "credit") AS ?w) (COALESCE(?none, ?b) AS ?c) (IF(BOUND(?none), 1, 2) AS ?n) WHERE { ?s v:c_custkey ?k ; v:c_acctbal ?b }',
@@ -598,10 +628,112 @@ def _canonical(spark, sf_dir):
     return canonical(a).select("s").distinct().agg(F.lit(same).alias("same"), F.lit(other).alias("other"), F.count("*").alias("n"))
 
 
+# Stores, transactions, results and the graph API
+
+
+@query("store_snapshots", f"SELECT 0 AS snapshot, p, count(*) AS n FROM ({_STATUS.replace('pending', 'P')}) GROUP BY p UNION ALL SELECT 1, p, count(*) FROM ({_STATUS}) WHERE o <> '\"F\"' GROUP BY p")
+def _store(spark, sf_dir):
+    """Orders kept on disk; a second snapshot without some, the first still there."""
+    from .sources.store import open_store
+
+    store = open_store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_orderstatus"))
+    store.commit(Dataset(spark, store.open(), PREFIXES).remove((None, IRI(V + "o_orderstatus"), Literal("F"))).quads)
+
+    def counted(n: int) -> DataFrame:
+        return store.open(n).quads.groupBy(n3(F.col("p")).alias("p")).agg(F.count("*").alias("n")).select(F.lit(n).alias("snapshot"), "p", "n")
+
+    return counted(0).union(counted(1))
+
+
+@query("transaction_rollback", f"SELECT 'kept' AS step, count(*) AS n FROM ({_R}) UNION ALL SELECT 'within', count(*) FROM ({_R}) WHERE p <> '<{V}r_name>'")
+def _transaction(spark, sf_dir):
+    ds = explicit(spark, sf_dir, "region")
+    ds.begin()
+    within = ds.update("DELETE WHERE { GRAPH g:region { ?r v:r_name ?n } }").quads.agg(F.lit("within").alias("step"), F.count("*").alias("n"))
+    ds.rollback()
+    return within.union(ds.quads.agg(F.lit("kept"), F.count("*")))
+
+
+@query("update_using", f"SELECT '{EX}out' AS g, '<{EX}nation/' || n_nationkey || '>' AS s, '<{V}region>' AS p, '\"' || r_name || '\"' AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _using(spark, sf_dir):
+    text = "CREATE GRAPH :out ; INSERT { GRAPH :out { ?n v:region ?x } } USING g:nation USING NAMED g:region WHERE { ?n v:n_regionkey_ref ?r GRAPH g:region { ?r v:r_name ?x } }"
+    made = explicit(spark, sf_dir, "nation", "region").update(text).quads.where(F.col("g.lex") == EX + "out")
+    return made.select(F.col("g.lex").alias("g"), *[n3(F.col(c)).alias(c) for c in "spo"])
+
+
+@query("update_load", f"SELECT '{EX}loaded' AS g, s, p, o FROM ({_STATUS.replace('pending', 'P')})")
+def _load(spark, sf_dir):
+    path = f"{checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}.nt"
+    writers.write(explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_orderstatus"), path, "nt")
+    made = Dataset(spark, None, PREFIXES).update(f"LOAD <{path}> INTO GRAPH :loaded").quads
+    return made.select(F.col("g.lex").alias("g"), *[n3(F.col(c)).alias(c) for c in "spo"])
+
+
+def _result_trip(form: str):
+    def run(spark, sf_dir):
+        from .sources.results import parse_result
+
+        text = dataset(spark, sf_dir, ["nation"]).query("SELECT ?n ?name WHERE { ?n v:n_name ?name }").serialize(form)
+        _, rows = parse_result(text, form)
+        return spark.createDataFrame([(r["n"].n3(), r["name"].n3()) for r in rows], "n string, name string")
+
+    return run
+
+
+for _form in ("json", "xml", "csv", "tsv"):
+    FUNCTIONS[f"result_{_form}"] = _result_trip(_form)
+    SQL[f"result_{_form}"] = f"SELECT '<{EX}nation/' || n_nationkey || '>' AS n, '\"' || n_name || '\"' AS name FROM nation"
+
+
+@query("graph_transitive", f"SELECT '{EX}supplier/' || s_suppkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 UNION SELECT '{EX}nation/' || n_nationkey FROM nation WHERE n_regionkey = 2 UNION SELECT '{EX}region/2'")
+def _transitive(spark, sf_dir):
+    """All that leads to a region, once the two kinds of links have one name."""
+    quads = explicit(spark, sf_dir, "supplier", "nation").quads.where(F.col("p.lex").isin(V + "s_nationkey_ref", V + "n_regionkey_ref"))
+    links = Graph(quads.withColumn("p", F.col("p").withField("lex", F.lit(V + "in"))))
+    return links.transitive_subjects(IRI(V + "in"), IRI(EX + "region/2")).select(F.col("s.lex").alias("n"))
+
+
+@query("graph_projections", "SELECT 'subjects' AS what, count(*) AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'objects', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'predicates', 1 UNION ALL SELECT 'pairs', count(*) FROM orders UNION ALL SELECT 'nodes', count(*) + count(DISTINCT o_orderstatus) FROM orders")
+def _projections(spark, sf_dir):
+    p = IRI(V + "o_orderstatus")
+    graph = Graph(explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == p.lex))
+    found = {"subjects": graph.subjects(p, Literal("P")), "objects": graph.objects(None, p, unique=True), "predicates": graph.predicates(unique=True), "pairs": graph[None:p:None], "nodes": graph.nodes()}
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("graph_edits", f"SELECT s, p, CASE WHEN s = '<{EX}region/1>' THEN '\"new\"' ELSE o END AS o FROM ({_R}) WHERE p = '<{V}r_name>' AND s <> '<{EX}region/2>' UNION ALL SELECT '<{EX}region/8>', '<{V}r_name>', '\"more\"'")
+def _edits(spark, sf_dir):
+    name = IRI(V + "r_name")
+    graph = Graph(explicit(spark, sf_dir, "region").quads.where(F.col("p.lex") == name.lex))
+    graph = graph.set((IRI(EX + "region/1"), name, Literal("new"))).remove((IRI(EX + "region/2"), None, None))
+    return triples_text(graph.add((IRI(EX + "region/8"), name, Literal("more"))).quads)
+
+
+def _records(spark, sf_dir, salt: str) -> DataFrame:
+    """Orders' statuses and priorities on blank nodes, so that thousands of nodes look alike."""
+    quads = explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex").isin(V + "o_orderstatus", V + "o_orderpriority"))
+    name = make(1, F.md5(F.concat(F.lit(salt), "s.lex")))
+    return quads.select(name.alias("s"), "p", "o", F.lit(None).cast(term_schema("g").split(" ", 1)[1]).alias("g"))
+
+
+@query("canonical_records", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, true AS same FROM orders GROUP BY 1, 2")
+def _canonical_records(spark, sf_dir):
+    """As many blank nodes after canonical labelling as before, and the same under other names."""
+    a, b = _records(spark, sf_dir, "a"), _records(spark, sf_dir, "b")
+    named = canonical(a)
+    by = {c: named.where(F.col("p.lex") == V + "o_order" + c).select(F.col("s.lex").alias("x"), F.col("o.lex").alias(c)) for c in ("status", "priority")}
+    counted = by["status"].join(by["priority"], "x").groupBy("status", "priority").agg(F.count("*").alias("n"))
+    return counted.withColumn("same", F.lit(isomorphic(a, b)))
+
+
 @query("custom_function", "SELECT c_custkey AS k, 'x' || c_name AS y FROM customer")
 def _custom(spark, sf_dir):
     from .functions.registry import register
-    from .terms import make
 
     register(EX + "f#tag", lambda t: make(3, F.concat(F.lit("x"), t["lex"])), override=True)
     return dataset(spark, sf_dir, ["customer"]).query("SELECT ?k (<http://ex/f#tag>(?n) AS ?y) WHERE { ?c v:c_custkey ?k ; v:c_name ?n }").native()
