@@ -157,8 +157,32 @@ def compare(op: str, a: Val, b: Val) -> Column:
     return F.when(both, numeric).otherwise(out) if numeric is not None else out
 
 
-for _op in ("=", "!=", "<", ">", "<=", ">="):
-    BUILT[_op] = lambda x, a, b, op=_op: Val("bool", compare(op, x(a), x(b)))
+MIRRORED = {"=": "=", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
+def _year_range(x, op: str, a, b) -> Column | None:
+    """A native timestamp's YEAR against a constant, as a range of the timestamp itself, which reaches the scan."""
+    if isinstance(a, Term):
+        a, b, op = b, a, MIRRORED[op]
+    if not (isinstance(a, N.Call) and a.name == "YEAR" and isinstance(b, Term) and b.dt == XSD + "integer" and b.lex.isdigit()):
+        return None
+    v, year = x(a.args[0]), int(b.lex)
+    if v.kind != "dtm" or not 1 <= year < 9999:
+        return None
+    first, after = (F.lit(f"{y:04}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1))
+    within = (v.col >= first) & (v.col < after)
+    return {"=": within, "!=": ~within, "<": v.col < first, "<=": v.col < after, ">": v.col >= after, ">=": v.col >= first}[op]
+
+
+def _comparison(op: str):
+    def f(x, a, b):
+        years = _year_range(x, op, a, b)
+        return Val("bool", compare(op, x(a), x(b)) if years is None else years)
+
+    return f
+
+
+BUILT |= {op: _comparison(op) for op in MIRRORED}
 
 
 @built("IN")
@@ -523,20 +547,16 @@ def _encode(x, a):
     return Val("str", text)
 
 
-def _flags(x, flags) -> str | None:
-    """Flags as an inline group, when they are a constant."""
-    if flags is None:
-        return ""
-    if not isinstance(flags, Term):
-        raise NotImplementedError("regular expression flags must be constant")
-    keep = "".join(c for c in "ism" if c in flags.lex)
-    return f"(?{keep})" if keep else ""
-
-
 def _pattern(x, p, flags) -> Column:
-    inline = _flags(x, flags)
+    """A pattern with its flags as an inline group."""
     text = V.plain_text(x(p))
-    return F.concat(F.lit(inline), text) if inline else text
+    if flags is None:
+        return text
+    if isinstance(flags, Term):
+        keep = "".join(c for c in "ism" if c in flags.lex)
+        return F.concat(F.lit(f"(?{keep})"), text) if keep else text
+    keep = F.regexp_replace(V.plain_text(x(flags)), "[^ism]", "")
+    return F.concat(F.when(keep == "", "").otherwise(F.concat(F.lit("(?"), keep, F.lit(")"))), text)
 
 
 @built("REGEX")

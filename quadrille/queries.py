@@ -156,6 +156,13 @@ case(
     "SELECT (COUNT(*) AS ?n) WHERE { SELECT REDUCED ?k ?c WHERE { ?o v:o_orderkey ?k ; v:o_custkey ?c } }",
     "SELECT count(*) AS n FROM orders",
 )
+for _op in ("=", "!=", "<", "<=", ">", ">="):
+    case("year_" + {"=": "is", "!=": "not", "<": "before", "<=": "until", ">": "after", ">=": "since"}[_op], "orders", f"SELECT ?k WHERE {{ ?o v:o_orderkey ?k ; v:o_orderdate ?d FILTER(YEAR(?d) {_op} 1996) }}", f"SELECT o_orderkey AS k FROM orders WHERE year(o_orderdate) {_op.replace('!=', '<>')} 1996")
+case(
+    "regex_flags", "part",
+    "SELECT ?k (REGEX(?n, '^A', ?f) AS ?a) (REPLACE(?n, 'E', '_', ?f) AS ?r) WHERE { ?x v:p_partkey ?k ; v:p_name ?n ; v:p_size ?s BIND(IF(?s < 25, 'i', '') AS ?f) }",
+    "SELECT p_partkey AS k, CASE WHEN p_size < 25 THEN regexp_matches(p_name, '(?i)^A') ELSE regexp_matches(p_name, '^A') END AS a, CASE WHEN p_size < 25 THEN regexp_replace(p_name, '(?i)E', '_', 'g') ELSE regexp_replace(p_name, 'E', '_', 'g') END AS r FROM part",
+)
 case(
     "fn_if_coalesce", "customer",
     'SELECT ?k (IF(?b < 0, "debt", "credit") AS ?w) (COALESCE(?none, ?b) AS ?c) (IF(BOUND(?none), 1, 2) AS ?n) WHERE { ?s v:c_custkey ?k ; v:c_acctbal ?b }',

@@ -1,6 +1,6 @@
 """Quads to documents. ``write`` makes a folder of part files in parallel; ``to_text`` one document on the driver.
 
-Line formats are made by the JVM. Turtle and TriG parts hold whole subjects, each part a document, and name
+Line formats are made by the JVM. Parts of the other formats hold whole subjects, each part a document, and name
 every blank node, as other parts may do; ``read`` them with ``shared``.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import partial
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
@@ -71,15 +72,15 @@ def write(quads: DataFrame, path: str, form: str = "nquads", prefixes: dict[str,
     elif form in LINES:
         out = lines(quads, form).write
         (out.option("maxRecordsPerFile", records) if records else out).text(path)
-    elif form in ("turtle", "trig"):
-        keys = ["g", "s"] if form == "trig" else ["s"]
+    elif form in PARTS:
+        keys = ["g", "s"] if form in ("trig", "trix", "jsonld") else ["s"]
+        document = PARTS[form]
 
         def run(batches):
             import pandas as pd
 
             rows = [tuple(None if t is None else Term(t["k"], t["lex"], t["dt"], t["lang"]) for t in (q.s, q.p, q.o, q.g)) for b in batches for q in b.itertuples()]
-            if rows:
-                yield pd.DataFrame({"value": [TEXTS[form](rows, prefixes or {}, False)]})
+            yield pd.DataFrame({"value": [document(rows, prefixes or {})]})
 
         spread = quads.select("s", "p", "o", "g").repartition(*keys).sortWithinPartitions("g", "s", "p", "o")
         spread.mapInPandas(run, "value string").write.text(path)
@@ -187,9 +188,9 @@ def turtle(rows, prefixes, inline: bool = True) -> str:
     return _prefix_lines(used) + _turtle_body(rows, used, inline=inline)
 
 
-def long_turtle(rows, prefixes) -> str:
+def long_turtle(rows, prefixes, inline: bool = True) -> str:
     used = _used(rows, prefixes)
-    return _prefix_lines(used) + _turtle_body(rows, used, True)
+    return _prefix_lines(used) + _turtle_body(rows, used, True, inline=inline)
 
 
 def trig(rows, prefixes, inline: bool = True) -> str:
@@ -315,14 +316,14 @@ def rdfxml_nested(rows, prefixes, depth: int = 3) -> str:
     return _xml_document(body, names)
 
 
-def jsonld(rows, prefixes, native: bool = True) -> str:
+def jsonld(rows, prefixes, native: bool = True, inline: bool = True) -> str:
     by: dict[Term | None, list] = {}
     for q in rows:
         by.setdefault(q[3], []).append(q)
     name = lambda t: ("_:" if t.k == BNODE else "") + t.lex
 
     def nodes(quads) -> list:
-        tree = _Tree(quads)
+        tree = _Tree(quads, inline)
 
         def value(o: Term):
             if o.k == LITERAL:
@@ -369,3 +370,5 @@ def dot(rows, prefixes) -> str:
 
 
 TEXTS = {"turtle": turtle, "longturtle": long_turtle, "trig": trig, "n3": n3_document, "trix": trix, "rdfxml": rdfxml, "rdfxml-nested": rdfxml_nested, "jsonld": jsonld, "dot": dot}
+#: Documents whose parts can stand in a folder: with every blank node named.
+PARTS = {f: partial(TEXTS[f], inline=False) for f in ("turtle", "longturtle", "trig", "jsonld")} | {f: TEXTS[f] for f in ("trix", "rdfxml")}

@@ -39,17 +39,17 @@ def test_triples_round_trip(spark, quads, form):
     assert graph.isomorphic(back)
 
 
-@pytest.mark.parametrize("form", ["nt", "nquads", "hext", "turtle", "trig"])
+@pytest.mark.parametrize("form", ["nt", "nquads", "hext", "turtle", "trig", "longturtle", "xml", "json-ld", "trix"])
 def test_folders_round_trip(spark, quads, tmp_path, form):
     ground = quads.where("s.k > 1 AND o.k > 1 AND (g IS NULL OR g.k > 1)")
-    if form in ("nt", "turtle"):
+    if form in ("nt", "turtle", "longturtle", "xml"):
         ground = Graph(ground.where("g IS NULL")).quads
     writers.write(ground, str(tmp_path / form), form, {"": E})
     back = readers.read(spark, str(tmp_path / form), form)
     assert back.exceptAll(ground).isEmpty() and ground.exceptAll(back).isEmpty()
 
 
-@pytest.mark.parametrize("form", ["nquads", "hext", "trig"])
+@pytest.mark.parametrize("form", ["nquads", "hext", "trig", "json-ld", "trix"])
 def test_folders_keep_blank_nodes(spark, quads, tmp_path, form):
     writers.write(quads.repartition(3), str(tmp_path / form), form)
     assert isomorphic(quads, readers.read(spark, str(tmp_path / form), form, shared=True))
