@@ -161,7 +161,7 @@ MIRRORED = {"=": "=", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 def _year_range(x, op: str, a, b) -> Column | None:
-    """A native timestamp's YEAR against a constant, as a range of the timestamp itself, which reaches the scan."""
+    """A native timestamp's YEAR against a constant, as a range of the timestamp itself."""
     if isinstance(a, Term):
         a, b, op = b, a, MIRRORED[op]
     if not (isinstance(a, N.Call) and a.name == "YEAR" and isinstance(b, Term) and b.dt == XSD + "integer" and b.lex.isdigit()):
