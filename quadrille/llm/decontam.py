@@ -14,7 +14,7 @@ hashes: 1 MB, gathered as 64-bit words of it and broadcast, for any benchmark; w
 error the join drops. Copies of a text are joined once, by their digest.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
-an item without an id is left out; items that repeat an id count once; equal documents each return a
+the words that an item without an id hits count, but it is not among the items; items that repeat an id count once; equal documents each return a
 row, null ids too; a text of any length is read whole, a row at a time; empty tables give no hits or no
 rows; other columns are ignored.
 """
@@ -35,7 +35,8 @@ from .common import checkpoint_dir, conform, materialize
 
 WINDOW = 10
 SHINGLE = 5
-SKETCH_BITS = 23
+#: The largest sketch, of 8 MB, and the least; the bits that it has for each hash below that; the bits of a hash that name those it sets.
+SKETCH_BITS, LEAST_BITS, BITS_EACH, MARKS = 26, 16, 24, (6, 14, 22)
 FLUSH = 1 << 18
 
 #: On UTF-8 bytes, A-Z lower-cased: the same as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on characters.
@@ -84,32 +85,41 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
                     columns = [pa.array([item] * len(found)), pa.array([w.decode() for w in found]), pa.array(sizes, pa.int32()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["item", "window", "n", "grams"])
 
-    rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "item string, window string, n int, grams array<long>")
 
 
 class Sketch:
-    """Which hashes may be among those of a DataFrame: one bit for each value of their first bits."""
+    """Which hashes may be among those of a DataFrame: each sets ``MARKS`` bits of one 64-bit word.
+
+    The number of words follows the number of hashes, ``BITS_EACH`` bits for each, up to 2**``SKETCH_BITS``
+    bits. Tasks get the words alone, as executors need not have this class.
+    """
 
     def __init__(self, grams: DataFrame, bits: int = SKETCH_BITS):
-        at = F.shiftrightunsigned("gram", 64 - bits)
-        words = grams.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(gram, {64 - bits}) & 63 AS INT))")))
-        self.shift, self.words = np.uint64(64 - bits), np.zeros(1 << (bits - 6), np.uint64)
-        for word, value in words.collect():  # at most one row for each 64 bits of the sketch
-            self.words[word] = value % 2**64
+        rows = grams.agg(F.approx_count_distinct("gram")).first()[0]
+        self.shift = 64 - min(max(int(BITS_EACH * rows).bit_length(), LEAST_BITS), bits) + 6
+        marks = [f"shiftleft(1L, CAST(shiftrightunsigned(gram, {at}) & 63 AS INT))" for at in MARKS]
+        words = grams.groupBy(F.shiftrightunsigned("gram", self.shift).alias("word")).agg(F.bit_or(F.expr(" | ".join(marks))).alias("bits"))
+        self.words = np.zeros(1 << (64 - self.shift), np.uint64)
+        found = words.toArrow()  # at most one row for each 64 bits of the sketch
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes that may be there."""
-        at = hashes >> self.shift
-        return np.flatnonzero((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+def known(words: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be in a sketch."""
+    marks = np.zeros(len(hashes), np.uint64)
+    for at in MARKS:
+        marks |= np.uint64(1) << ((hashes >> np.uint64(at)) & np.uint64(63))
+    return np.flatnonzero((words[hashes >> np.uint64(shift)] & marks) == marks)
 
 
 def frequencies(docs: DataFrame, sketch: Sketch, sizes: list[int]) -> DataFrame:
     """(gram, n): how often all documents have the shingles that the sketch may know."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared, shift = docs.sparkSession.sparkContext.broadcast(sketch.words), sketch.shift
 
     def run(batches):
-        known, held, size = shared.value, [], 0
+        words, held, size = shared.value, [], 0
 
         def counted():
             grams, n = np.unique(np.concatenate(held), return_counts=True)
@@ -120,7 +130,7 @@ def frequencies(docs: DataFrame, sketch: Sketch, sizes: list[int]) -> DataFrame:
                 codes = codes_of(words_of(text))
                 for k in sizes:
                     hashes = shingles_of(codes, k)
-                    found = hashes[known(hashes)]
+                    found = hashes[known(words, shift, hashes)]
                     if len(found):
                         held.append(found)
                         size += len(found)
@@ -144,11 +154,11 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, sketch: Sketch, sizes: list[int], window: int) -> DataFrame:
     """doc_id, n_words, the text's digest and what it has of anchors that the sketch may know: hash, place, words around it."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared, shift = docs.sparkSession.sparkContext.broadcast(sketch.words), sketch.shift
     found_type = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
 
     def run(batches):
-        known = shared.value
+        bits = shared.value
         for b in batches:
             n_words, digests, found = [], [], []
             for text in b.column(1).to_pylist():
@@ -156,7 +166,7 @@ def candidates(docs: DataFrame, sketch: Sketch, sizes: list[int], window: int) -
                 codes, own = codes_of(words), []
                 for k in sizes:
                     hashes = shingles_of(codes, k)
-                    for p in known(hashes).tolist():
+                    for p in known(bits, shift, hashes).tolist():
                         lead = min(p, window - k)
                         own.append({"gram": int(hashes[p].view(np.int64)), "at": p, "lead": lead, "around": b" ".join(words[p - lead : p + window]).decode()})
                 n_words.append(len(words))
@@ -205,9 +215,10 @@ class Matching:
     def by_text(self) -> DataFrame:
         """(digest, n_hit, items) of the texts with a hit."""
         spans = self.found.groupBy("digest").agg(_covered(F.collect_set(F.struct("start", "end"))).alias("n_hit"))
-        items = self.found.select("digest", "window").distinct().join(self.of_items, "window").select("digest", "item").distinct()
+        named = self.of_items.where("item IS NOT NULL")
+        items = self.found.select("digest", "window").distinct().join(named, "window").select("digest", "item").distinct()
         items = items.groupBy("digest").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        return spans.join(items, "digest")
+        return spans.join(items, "digest", "left")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
