@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, licenses, packing, quality, rules, secret_scan, simhash, tokens, urls
+from . import decontam, html_text, licenses, packing, quality, rules, secret_scan, simhash, tokens, trie, urls
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_secret_scans": secret_scan.op9_secret_scans,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op13_conversation_prefix_trie": trie.op13_conversation_prefix_trie,
 }
 
 #: Windows of ten words, by equality of the whole window.
@@ -49,7 +50,37 @@ m AS (SELECT n, rh || rp AS rule, v, row_number() OVER (PARTITION BY n ORDER BY
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
+#: The polynomial of CRC-32, bit by bit; nodes are named by the digests of their turns, joined.
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, md5(length(r) || ':' || r || x) AS k, strlen(x) AS nb, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, md5(length(r) || ':' || r || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: list_prepend(ascii(s)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+b AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(o.n, 0)) AS head, least(c.h, coalesce(o.n, 0)) + greatest(c.n - c.h, 0) AS d FROM c LEFT JOIN c o ON o.conv_id = c.base),
+r AS (
+  SELECT b.conv_id, d, pos AS i, k, nb FROM b JOIN t ON t.conv_id = b.base AND pos <= h
+  UNION ALL SELECT b.conv_id, d, pos - h + head, k, nb FROM b JOIN t ON t.conv_id = b.conv_id AND pos > h
+  UNION ALL SELECT conv_id, d, 0, '', 0 FROM b),
+p AS (SELECT conv_id, d, i, nb, list(k) OVER (PARTITION BY conv_id ORDER BY i) AS ks FROM r),
+x AS (SELECT conv_id, d, i, nb, array_to_string(ks, '') AS id, array_to_string(ks[: -2], '') AS up FROM p),
+m AS (
+  SELECT id, i AS depth, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(nb) AS nb,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = i), '')) AS ends_sha256 FROM x GROUP BY ALL),
+k AS (SELECT up, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY up),
+v AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k ON k.up = m.id),
+s AS (
+  SELECT a.id, a.depth, sum((v.n_children = 0)::BIGINT) AS n_leaves, sum((v.n_convs - 1) * v.nb) AS saved_tokens
+  FROM v JOIN x ON x.conv_id = v.conv_id AND x.i <= v.depth JOIN m a ON a.id = x.id AND a.depth = x.i GROUP BY ALL)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.id = v.id AND s.depth = v.depth LEFT JOIN v u ON v.depth > 0 AND u.id = v.up AND u.depth = v.depth - 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": URL_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op13_conversation_prefix_trie": TRIE_SQL,
 }
