@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontam, html_text, licenses, packing, quality, rules, secret_scan, simhash, tokens, trie, urls
+from . import align, decontam, html_text, language, licenses, packing, quality, rules, secret_scan, simhash, tokens, trie, urls
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_secret_scans": secret_scan.op9_secret_scans,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_language_id": language.op11_language_id,
     "op12_cross_tokenizer_alignment": align.op12_cross_tokenizer_alignment,
     "op13_conversation_prefix_trie": trie.op13_conversation_prefix_trie,
 }
@@ -83,6 +84,7 @@ FROM v JOIN s ON s.id = v.id AND s.depth = v.depth LEFT JOIN v u ON v.depth > 0
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": URL_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op11_language_id": language.op11_language_id,
     "op12_cross_tokenizer_alignment": align.op12_cross_tokenizer_alignment,
     "op13_conversation_prefix_trie": TRIE_SQL,
 }
