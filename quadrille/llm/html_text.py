@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -56,15 +55,24 @@ BESIDE = frozenset("site global primary secondary top bottom left right inner ou
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
-@lru_cache(10_000)
+#: Weights of class and id attributes, as they come up.
+WEIGHTS: dict[tuple[str, bool], float] = {}
+
+
 def _named(value: str, of_id: bool) -> float:
     """What a class or id attribute does to density: FURNITURE if one of its names says nothing else, DOUBTFUL if one says so partly."""
+    weight = WEIGHTS.get((value, of_id))
+    if weight is not None:
+        return weight
     weight = 1.0
     for name in [value] if of_id else value.split():
         words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
         if found := [w for w in words if w in NAMES]:
             whole = all(w in NAMES or w in BESIDE for w in words) and found
             weight = min(weight, FURNITURE if whole else DOUBTFUL)
+    if len(WEIGHTS) >= 10_000:
+        WEIGHTS.clear()
+    WEIGHTS[value, of_id] = weight
     return weight
 
 

@@ -85,11 +85,10 @@ def load(path: str) -> types.SimpleNamespace:
     if path not in vars(here):
         tokenizer = tokenizers.Tokenizer.from_file(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        vars(here)[path] = types.SimpleNamespace(tokenizer=tokenizer, special=special, tables=Kept(), totals=Kept(), ids=Kept(), suits=Kept(), edges={}, model=None)
+        vars(here)[path] = types.SimpleNamespace(tokenizer=tokenizer, special=special, tables=Kept(), totals=Kept(), ids=Kept(), suits=Kept(), edges={}, model=None, joining=None)
     return vars(here)[path]
 
 
-@lru_cache(1)
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else the next free one from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -97,7 +96,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-@lru_cache(1)
 def _may_join() -> frozenset[str]:
     """Characters of combining class 0 that may join the one before them in composition."""
     second = set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
@@ -235,7 +233,7 @@ class WordCounter:
     """Counts tokens of texts from prefix tables of their pre-tokens."""
 
     def __init__(self, path: str):
-        kept = load(path)
+        self.kept = kept = load(path)
         self.tokenizer, self.tables, self.totals = kept.tokenizer, kept.tables, kept.totals
         self.encoder = Encoder(kept, path)
         self.split = re.compile(WORD_PATTERN).findall
@@ -353,7 +351,9 @@ class WordCounter:
 
     def _units(self, part: str) -> list[tuple[str, str]]:
         """Stretches that normalise independently, with what they become: a character and the marks that may join it, a run of white space."""
-        joining = _may_join()
+        if self.kept.joining is None:
+            self.kept.joining = _may_join()
+        joining = self.kept.joining
         units: list[list[str]] = []
         space = False
         for c in part:
