@@ -15,6 +15,7 @@ from .operators.canonical import canonical, isomorphic
 from .session import checkpoint_dir
 from .sources import readers, writers
 from .sources.lift import Column, lift
+from .sources.quads import MappedTables, map_table
 from .streaming.changes import replay
 from .tables import PREFIXES, dataset
 from .terms import IRI, Literal, make, n3, term_schema
@@ -762,6 +763,51 @@ def _windows(spark, sf_dir):
     return count_by_window(spark, sf_dir, "events.parquet", "ts", "event_type", "1 hour")
 
 
+# Several tables about one subject
+
+
+def _described(spark, sf_dir) -> Dataset:
+    """Customers in three tables: who they are, their account, and what their orders add up to."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    customer = read("customer")
+    activity = read("orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("largest"))
+    tables = [
+        map_table("customer", customer.select("c_custkey", "c_name", "c_nationkey"), "c_custkey", {"c_nationkey": "nation"}),
+        map_table("account", customer.select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", about="customer"),
+        map_table("activity", activity, "o_custkey", about="customer"),
+        map_table("nation", read("nation"), "n_nationkey"),
+    ]
+    return Dataset(spark, MappedTables(spark, tables), PREFIXES)
+
+
+_ACTIVITY = "(SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS largest FROM orders GROUP BY 1)"
+for _name, _text, _sql in (
+    (
+        "star_over_tables",
+        "SELECT ?name ?seg ?n ?nation { ?c v:c_name ?name ; v:c_mktsegment ?seg ; v:n_orders ?n ; v:c_nationkey_ref ?k FILTER(?n > 12) ?k v:n_name ?nation }",
+        f"SELECT c_name AS name, c_mktsegment AS seg, n_orders AS n, n_name AS nation FROM customer JOIN {_ACTIVITY} ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_orders > 12",
+    ),
+    (
+        "star_shared_predicate",  # c_custkey and the class are in several tables
+        "SELECT ?c ?key ?class ?x { ?c v:c_custkey ?key ; a ?class ; v:largest ?x FILTER(?x > 300000) }",
+        f"SELECT {ref('customer', 'c_custkey')} AS c, c_custkey AS key, '{EX}c#' || class AS class, largest AS x FROM customer JOIN {_ACTIVITY} ON c_custkey = o_custkey, (VALUES ('Customer'), ('Account'), ('Activity')) AS t(class) WHERE largest > 300000",
+    ),
+    (
+        "star_any_predicate",
+        'SELECT ?c ?p (STR(?o) AS ?t) { ?c v:c_mktsegment "BUILDING" ; v:n_orders ?n . ?c ?p ?o FILTER(?n > 15) FILTER(isIRI(?o) || ?p IN (v:c_name, v:n_orders)) }',
+        f"""SELECT {ref('customer', 'c_custkey')} AS c, p, t FROM customer JOIN {_ACTIVITY} ON c_custkey = o_custkey, LATERAL (VALUES ('{V}c_name', c_name), ('{V}n_orders', CAST(n_orders AS VARCHAR)), ('{V}c_nationkey_ref', '{EX}nation/' || c_nationkey),
+          ('{RDF_TYPE[1:-1]}', '{EX}c#Customer'), ('{RDF_TYPE[1:-1]}', '{EX}c#Account'), ('{RDF_TYPE[1:-1]}', '{EX}c#Activity')) AS v(p, t) WHERE c_mktsegment = 'BUILDING' AND n_orders > 15""",
+    ),
+    (
+        "star_by_graph",
+        "SELECT ?g (COUNT(*) AS ?n) (COUNT(DISTINCT ?c) AS ?m) { GRAPH ?g { ?c v:c_custkey ?key ; ?p ?o } } GROUP BY ?g",
+        f"SELECT '{EX}g/customer' AS g, 5 * count(*) AS n, count(*) AS m FROM customer UNION ALL SELECT '{EX}g/account', 4 * count(*), count(*) FROM customer",
+    ),
+):
+    FUNCTIONS[_name] = lambda spark, sf_dir, text=_text: _described(spark, sf_dir).query(text).native()
+    SQL[_name] = _sql
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _sparql(c) for n, c in CASES.items()} | FUNCTIONS
 

@@ -145,9 +145,28 @@ class TableMap:
     graph: Term
     properties: list[Property] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.key_kind = self.df.select(self.key.alias("k")).dtypes[0][1]
+
     def of(self, predicate: Term) -> list[Property]:
         return [p for p in self.properties if p.predicate == predicate]
 
+    def holds(self, predicate: Term, o) -> bool:
+        """Whether rows may have the predicate, with the object if that is a constant."""
+        if predicate == TYPE:
+            return not isinstance(o, Term) or o == self.cls
+        return any(not isinstance(o, Term) or _equals(p.val(), o) is not None for p in self.of(predicate))
+
+    def meets(self, other: TableMap) -> bool:
+        """Whether the two may describe one subject: by one prefix, or by one that goes on from the other as its keys may."""
+        short, long = sorted((self, other), key=lambda t: len(t.prefix))
+        rest = long.prefix[len(short.prefix) :]
+        return long.prefix.startswith(short.prefix) and (not rest or short.key_kind == "string" or rest.isdigit())
+
+    def repeats(self, other: TableMap) -> bool:
+        """Whether the two may have the same predicate and object."""
+        return self.cls == other.cls or any(other.of(p.predicate) for p in self.properties)
+
 
 def _equals(val: Val, term: Term) -> Column | None:
     """Whether a native value is this very term; None if it never is."""
@@ -164,7 +183,12 @@ def _equals(val: Val, term: Term) -> Column | None:
 
 
 class MappedTables:
-    """A virtual graph over tables. Patterns with one subject over one table are read in a single scan."""
+    """A virtual graph over tables, in which several tables may describe one subject.
+
+    Patterns of one subject are parted by the tables that hold their predicates: those of one table are
+    read in a single scan, and the scans are joined on the subject's key. Prefixes that the subject must
+    have, from a constant, from links to it or from its other patterns, leave out tables before any is read.
+    """
 
     def __init__(self, spark: SparkSession, tables: list[TableMap]):
         self.spark, self.tables = spark, tables
@@ -178,80 +202,133 @@ class MappedTables:
         """All triples, made explicit."""
         parts = []
         for t in self.tables:
-            pairs = [F.struct(lit(TYPE).alias("p"), lit(t.cls).alias("o"))]
-            pairs += [F.struct(lit(p.predicate).alias("p"), V.term_of(p.val()).alias("o")) for p in t.properties]
-            rows = t.df.select(make(2, F.concat(F.lit(t.prefix), t.key.cast("string"))).alias("s"), F.explode(F.array(*pairs)).alias("x"))
+            rows = t.df.select(make(2, F.concat(F.lit(t.prefix), t.key.cast("string"))).alias("s"), F.explode(_pairs(t, t.properties, True)).alias("x"))
             parts.append(rows.select("s", "x.p", "x.o", lit(t.graph).alias("g")).where("o IS NOT NULL"))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], term_schema("s", "p", "o", "g"))
 
     def graphs(self, name: str) -> Plan:
         col = fresh(name)
-        df = self.spark.createDataFrame([(t.graph.lex,) for t in self.tables], f"`{col}` string")
+        df = self.spark.createDataFrame([(g,) for g in sorted({t.graph.lex for t in self.tables})], f"`{col}` string")
         return Plan(df, {name: Val("iri", F.col(col))}, frozenset([name]))
 
     def nodes(self, name: str, graph: Term | Var | None) -> Plan:
         return QuadFrame(self.quads(), single=True).nodes(name, graph)
 
-    def _candidates(self, patterns, graph) -> list[TableMap]:
-        """Tables that have every constant predicate of a star."""
+    # Which tables a pattern may be read from
+
+    def _may_describe(self, subject, graph, prefixes: set[str] | None) -> list[TableMap]:
+        out = [t for t in self.tables if not isinstance(graph, Term) or t.graph == graph]
+        if isinstance(subject, Term):
+            return [t for t in out if subject.k == IRI_KIND and subject.lex.startswith(t.prefix)]
+        return [t for t in out if prefixes is None or any(t.prefix.startswith(p) or p.startswith(t.prefix) for p in prefixes)]
+
+    def _families(self, tables: list[TableMap], graph) -> list[list[TableMap]]:
+        """Tables that may describe the same subjects; within one graph, where the graph is a variable."""
+        out: list[list[TableMap]] = []
+        for t in tables:
+            near = [f for f in out if any(t.meets(u) and not (isinstance(graph, Var) and t.graph != u.graph) for u in f)]
+            out = [f for f in out if f not in near] + [[t, *(u for f in near for u in f)]]
+        return [[t for t in tables if t in f] for f in out]
+
+    def _prefixes(self, stars: dict, graph) -> dict[str, set[str]]:
+        """The prefixes that a variable's IRI must have one of, where patterns with a constant predicate say so."""
+        out: dict[str, set[str]] = {}
+
+        def narrow(name: str, found: set[str]) -> None:
+            known = out.get(name)
+            out[name] = found if known is None else {p for p in found | known if any(p.startswith(q) for q in found) and any(p.startswith(q) for q in known)}
+
+        for subject, patterns in stars.items():
+            for _, p, o in patterns:
+                tables = [t for t in self._may_describe(subject, graph, None) if t.holds(p, o)]
+                if isinstance(subject, Var):
+                    narrow(subject.name, {t.prefix for t in tables})
+                if isinstance(o, Var) and p != TYPE:
+                    narrow(o.name, {x.prefix for t in tables for x in t.of(p) if x.kind == "iri"})
+        return out
 
-        def fits(t: TableMap) -> bool:
-            if isinstance(graph, Term) and graph != t.graph:
-                return False
-            for s, p, o in patterns:
-                if isinstance(s, Term) and not (s.k == IRI_KIND and s.lex.startswith(t.prefix)):
-                    return False
-                if p == TYPE:
-                    if isinstance(o, Term) and o != t.cls:
-                        return False
-                elif not t.of(p):
-                    return False
-            return True
-
-        return [t for t in self.tables if fits(t)]
-
-    def star(self, subject, patterns, graph: Term | Var | None) -> Plan:
-        plans = [p for t in self._candidates(patterns, graph) if (p := self._scan(t, subject, patterns, graph)) is not None]
+    # Plans
+
+    def star(self, subject, patterns, graph: Term | Var | None, prefixes: set[str] | None = None) -> Plan:
+        """Patterns with constant predicates and one subject."""
+        plans = []
+        for family in self._families(self._may_describe(subject, graph, prefixes), graph):
+            holders = [[t for t in family if t.holds(p, o)] for _, p, o in patterns]
+            if all(holders) and (plan := self._joined(family, holders, subject, patterns, graph)) is not None:
+                plans.append(plan)
         if plans:
             return reduce(P.union, plans)
         names = _vars((subject, *(x for p in patterns for x in p), graph))
         return nothing(self.spark).project(sorted(names))
 
-    def _scan(self, t: TableMap, subject, patterns, graph) -> Plan | None:
-        df, key = t.df, Val("iri", t.key, t.prefix)
-        vals: dict[str, Val] = {}
-
-        def bind(term, val: Val) -> bool:
-            nonlocal df
-            if isinstance(term, Term):
-                same = _equals(val, term)
-                if same is None:
-                    return False
-                df = df.where(same)
-            elif term.name in vals:
-                df = df.where(V.equal_terms(vals[term.name], val))
-            else:
-                vals[term.name] = val
-            return True
-
-        if not bind(subject, key):
+    def _joined(self, family, holders, subject, patterns, graph) -> Plan | None:
+        """One scan for each table that alone holds some of the patterns, a union for each pattern that several hold."""
+        shared = Var("_:" + fresh("s")) if isinstance(subject, Term) else subject  # a constant is a key of the join too
+        groups: dict = {}
+        for tables, pattern in zip(holders, patterns):
+            groups.setdefault(tables[0].name if len(tables) == 1 else pattern, (tables, []))[1].append(pattern)
+        if len(groups) == 1 and len(holders[0]) == 1:
+            return self._scan(holders[0][0], subject, patterns, graph)
+        plain = len({t.key_kind for t in family}) == 1
+        plans = []
+        for tables, own in sorted(groups.values(), key=lambda g: (len(g[0]), -sum(isinstance(o, Term) for _, _, o in g[1]))):
+            found = [p for t in tables if (p := self._scan(t, subject, own, graph, shared, plain)) is not None]
+            if not found:
+                return None
+            plan = reduce(P.union, found)
+            if len(found) > 1 and graph is None:  # a triple that two tables have is one triple of the union of their graphs
+                plan = Plan(plan.df.distinct(), plan.vars, plan.certain)
+            plans.append(plan)
+        plan = reduce(P.join, plans)
+        return plan.project([n for n in plan.vars if n != shared.name]) if isinstance(subject, Term) else plan
+
+    def _scan(self, t: TableMap, subject, patterns, graph, shared: Var | None = None, plain: bool = True) -> Plan | None:
+        key = Val("iri", t.key if plain else t.key.cast("string"), t.prefix)
+        rows = Bindings(t.df)
+        if not rows.bind(subject, key):
             return None
-        if isinstance(graph, Var) and not bind(graph, Val("iri", F.lit(t.graph.lex))):
+        if isinstance(subject, Term) and shared is not None:
+            rows.bind(shared, key)
+        if isinstance(graph, Var) and not rows.bind(graph, Val("iri", F.lit(t.graph.lex))):
             return None
         for _, p, o in patterns:
             if p == TYPE:
-                if isinstance(o, Var) and not bind(o, Val("iri", F.lit(t.cls.lex))):
+                if isinstance(o, Var) and not rows.bind(o, Val("iri", F.lit(t.cls.lex))):
                     return None
                 continue
             options = t.of(p)
             if len(options) > 1:
                 raise ValueError(f"{p.lex} has two columns in {t.name}")
-            df = df.where(F.col(f"`{options[0].column}`").isNotNull())
-            if not bind(o, options[0].val()):
+            rows.df = rows.df.where(F.col(f"`{options[0].column}`").isNotNull())
+            if not rows.bind(o, options[0].val()):
                 return None
-        names = {n: fresh(n) for n in vals}
-        df = df.select(*[v.col.alias(names[n]) for n, v in vals.items()]) if vals else df.select(F.lit(1).alias(fresh("one")))
-        return Plan(df, {n: v.named(names[n]) for n, v in vals.items()}, frozenset(vals))
+        return rows.plan()
+
+    def loose(self, pattern, graph: Term | Var | None, prefixes: set[str] | None = None) -> Plan:
+        """A pattern whose predicate is a variable, from the tables and columns that can match it."""
+        subject, predicate, o = pattern
+        tables, plans = self._may_describe(subject, graph, prefixes), []
+        for t in tables:
+            key = Val("iri", t.key if len({u.key_kind for u in tables}) == 1 else t.key.cast("string"), t.prefix)
+            properties = [p for p in t.properties if not isinstance(o, Term) or _equals(p.val(), o) is not None]
+            typed = not isinstance(o, Term) or o == t.cls
+            rows = Bindings(t.df)
+            if not (properties or typed) or not rows.bind(subject, key):
+                continue
+            if isinstance(graph, Var) and not rows.bind(graph, Val("iri", F.lit(t.graph.lex))):
+                continue
+            if isinstance(o, Term) and not typed:  # some column must have the constant
+                rows.df = rows.df.where(reduce(lambda a, b: a | b, [_equals(p.val(), o) for p in properties]))
+            pair = fresh("pair")
+            rows.df = rows.df.withColumn(pair, F.explode(_pairs(t, properties, typed))).where(F.col(pair)["o"].isNotNull())
+            if rows.bind(predicate, Val("term", F.col(pair)["p"])) and rows.bind(o, Val("term", F.col(pair)["o"])):
+                plans.append(rows.plan())
+        if not plans:
+            return nothing(self.spark).project(sorted(_vars((*pattern, graph))))
+        plan = reduce(P.union, plans)
+        if graph is None and any(t is not u and t.meets(u) and t.repeats(u) for t in tables for u in tables):
+            plan = Plan(plan.df.distinct(), plan.vars, plan.certain)
+        return plan
 
     def match(self, patterns, graph: Term | Var | None) -> Plan:
         if not patterns:
@@ -263,6 +340,11 @@ class MappedTables:
                 loose.append(p)
             else:
                 stars.setdefault(p[0], []).append(p)
+        prefixes = self._prefixes(stars, graph)
+
+        def of(subject) -> set[str] | None:
+            return prefixes.get(subject.name) if isinstance(subject, Var) else None
+
         groups = [(s, ps) for s, ps in stars.items()]
 
         def names(group) -> set[str]:
@@ -272,25 +354,58 @@ class MappedTables:
         while groups:
             best = min(groups, key=lambda g: (out is not None and not bound & names(g), not isinstance(g[0], Term), -sum(isinstance(p[2], Term) for p in g[1])))
             groups.remove(best)
-            plan = self.star(best[0], best[1], graph)
+            plan = self.star(best[0], best[1], graph, of(best[0]))
             out = plan if out is None else P.join(out, plan)
             bound |= names(best)
-        explicit = QuadFrame(self.quads(), single=True) if loose else None
-        for p in loose:
-            plan = explicit.one(p, graph)
+        for p in greedy(loose, lambda p: (isinstance(p[0], Var) and p[0].name not in bound, isinstance(p[2], Var))):
+            plan = self.loose(p, graph, of(p[0]))
             out = plan if out is None else P.join(out, plan)
         return out
 
 
+class Bindings:
+    """A table's rows with the values that variables take in them."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.vals = df, {}
+
+    def bind(self, term, val: Val) -> bool:
+        """Give a variable its value, or keep the rows that have the constant or the earlier value; False if none can."""
+        if isinstance(term, Term):
+            if val.kind == "term":
+                self.df = self.df.where(equal(val.col, term))
+                return True
+            same = _equals(val, term)
+            if same is None:
+                return False
+            self.df = self.df.where(same)
+        elif term.name in self.vals:
+            self.df = self.df.where(V.equal_terms(self.vals[term.name], val))
+        else:
+            self.vals[term.name] = val
+        return True
+
+    def plan(self) -> Plan:
+        names = {n: fresh(n) for n in self.vals}
+        df = self.df.select(*[v.col.alias(names[n]) for n, v in self.vals.items()]) if self.vals else self.df.select(F.lit(1).alias(fresh("one")))
+        return Plan(df, {n: v.named(names[n]) for n, v in self.vals.items()}, frozenset(self.vals))
+
+
+def _pairs(t: TableMap, properties: list[Property], typed: bool) -> Column:
+    """Predicates and objects of a row, some objects NULL."""
+    pairs = [F.struct(lit(TYPE).alias("p"), lit(t.cls).alias("o"))] if typed else []
+    return F.array(*pairs, *[F.struct(lit(p.predicate).alias("p"), V.term_of(p.val()).alias("o")) for p in properties])
+
+
 NATIVE_KINDS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "double": "dbl", "float": "dbl", "string": "str", "boolean": "bool", "timestamp_ntz": "dtm", "timestamp": "dtm"}
 BASE = "http://ex/"
 VOCAB = BASE + "v#"
 
 
-def map_table(name: str, df: DataFrame, key: str | None, links: dict[str, str] | None = None, base: str = BASE) -> TableMap:
+def map_table(name: str, df: DataFrame, key: str | None, links: dict[str, str] | None = None, base: str = BASE, about: str | None = None) -> TableMap:
     """The default mapping of a table: column c is predicate v#c; a foreign key links by v#c_ref as well.
 
-    Without a key, rows are told apart by a digest of all their columns.
+    ``about`` names the table whose subjects this one describes too, if it isn't its own. Without a key, rows are told apart by a digest of all their columns.
     """
     properties = []
     columns = df.columns
@@ -306,6 +421,6 @@ def map_table(name: str, df: DataFrame, key: str | None, links: dict[str, str] |
         if links and c in links:
             properties.append(Property(IRI(f"{base}v#{c}_ref"), c, "iri", f"{base}{links[c]}/"))
     at = F.col(key) if key else F.md5(F.to_json(F.struct(*columns)))
-    return TableMap(name, df, at, f"{base}{name}/", IRI(f"{base}c#{name.capitalize()}"), IRI(f"{base}g/{name}"), properties)
+    return TableMap(name, df, at, f"{base}{about or name}/", IRI(f"{base}c#{name.capitalize()}"), IRI(f"{base}g/{name}"), properties)
 
 
