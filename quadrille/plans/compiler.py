@@ -198,19 +198,8 @@ class Compiler:
         """Replace EXISTS inside an expression by a variable that says whether there is a match."""
         if isinstance(e, N.Exists):
             inner, on = self.inner(plan, e.group)
-            if on is not None:
-                raise NotImplementedError("EXISTS with outer variables in its filter, inside an expression")
-            names = P.shared(plan, inner)
+            plan, found = P.exists(plan, inner, on)
             flag = "_:" + fresh("exists")
-            if names:
-                keys = inner.project(names)
-                keys = Plan(keys.df.distinct(), keys.vars, keys.certain).bind(flag, Val("bool", F.lit(True)), True)
-                plan = P.left_join(plan, keys)
-                found = plan.vars[flag].col.isNotNull()
-            else:
-                any_ = inner.df.limit(1).agg(F.count("*").alias(name := fresh("n")))
-                plan = Plan(plan.df.crossJoin(any_), plan.vars, plan.certain)
-                found = F.col(name) > 0
             return plan.bind(flag, Val("bool", ~found if e.negated else found), True), Var(flag)
         if isinstance(e, N.Call):
             args = []

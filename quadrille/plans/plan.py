@@ -102,36 +102,85 @@ def _settle(df: DataFrame, vals: dict[str, Val], certain) -> Plan:
     return Plan(df.select(*[v.col.alias(names[n]) for n, v in vals.items()]) if vals else df, {n: v.named(names[n]) for n, v in vals.items()}, frozenset(certain))
 
 
-def bound(p: Plan, n: str) -> Plan:
-    """The rows that bind a variable."""
-    return Plan(p.df.where(p.vars[n].col.isNotNull()), p.vars, p.certain | {n})
+#: Parts that rows without a common variable are dealt over, as each meets every such row of the other side.
+SALTS = 16
 
 
-def free(p: Plan, n: str) -> Plan:
-    """The rows that don't, without it."""
-    return Plan(p.df.where(p.vars[n].col.isNull()), {k: v for k, v in p.vars.items() if k != n}, p.certain - {n})
+def together(*parts: Plan) -> Plan:
+    return reduce(union, [p.renewed() for p in parts])
 
 
-def unsure(a: Plan, b: Plan, names) -> str | None:
-    """A variable to part the sides by, where no shared one is bound on both: in each part it is a key or not shared."""
-    return names[0] if names and not any(n in a.certain and n in b.certain for n in names) else None
+def unsure(a: Plan, b: Plan, names) -> bool:
+    """Whether no shared variable is bound on both sides for certain, so that none is a key by itself."""
+    return bool(names) and not any(n in a.certain and n in b.certain for n in names)
 
 
-def together(*parts: Plan) -> Plan:
-    return reduce(union, [p.renewed() for p in parts])
+def masks(p: Plan, names) -> list[int]:
+    """Which of the shared variables a row can bind, as bits."""
+    sure = sum(1 << k for k, n in enumerate(names) if n in p.certain)
+    free = [1 << k for k, n in enumerate(names) if n not in p.certain]
+    return [sure + sum(c) for r in range(len(free) + 1) for c in itertools.combinations(free, r)]
+
+
+def keys(p: Plan, other: Plan, names, first: bool, disjoint: bool) -> Column:
+    """An array of a row's keys: two rows have one in common if they agree on what both bind, and else none.
+
+    A key holds the masks of both rows and the values of what both masks have, so a row has one for each
+    mask that the other side's rows can have. Masks without a common bit have a key only with
+    ``disjoint``; it is dealt over ``SALTS`` parts, of which the first side's row is in one and the second's in all.
+    """
+    own = reduce(lambda x, y: x.bitwiseOR(y), [F.when(p.vars[n].col.isNotNull(), 1 << k).otherwise(0) for k, n in enumerate(names)])
+    spread = F.pmod(F.xxhash64(*[v.col for v in p.vars.values()]), F.lit(SALTS)).cast("int")
+    mine = masks(p, names)
+
+    def of(mask: int) -> Column:
+        values = [F.when(own.bitwiseAND(mask & 1 << k) != 0, p.vars[n].col).alias(n) for k, n in enumerate(names)]
+        first_mask, second_mask = (own, F.lit(mask)) if first else (F.lit(mask), own)
+
+        def key(salt: Column) -> Column:
+            return F.struct(first_mask.alias("first"), second_mask.alias("second"), salt.alias("salt"), *values)
+
+        near = F.array(key(F.lit(0)))
+        if all(m & mask for m in mine):
+            return near
+        apart = F.slice(near, 1, 0) if not disjoint else F.array(key(spread)) if first else F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), key)
+        return F.when(own.bitwiseAND(mask) != 0, near).otherwise(apart)
+
+    found = [of(mask) for mask in masks(other, names)]
+    return found[0] if len(found) == 1 else F.concat(*found)
+
+
+def keyed(a: Plan, b: Plan, names, disjoint: bool, single: bool = False) -> tuple[Plan, Plan, str, str]:
+    """Both sides with a column of keys that are equal for compatible rows; each is read once, whatever the number of variables.
+
+    Rows come once for each key. With ``single``, those of ``a`` have one or none, as ``b`` binds all variables.
+    """
+    at_a, at_b = fresh("key"), fresh("key")
+    own = keys(a, b, names, True, disjoint)
+    left = a.df.withColumn(at_a, F.get(own, F.lit(0)) if single else F.explode_outer(own))
+    return Plan(left, a.vars, a.certain), Plan(b.df.withColumn(at_b, F.explode(keys(b, a, names, False, disjoint))), b.vars, b.certain), at_a, at_b
+
+
+def settles(b: Plan, names) -> bool:
+    return all(n in b.certain for n in names)
+
+
+def meeting(a: Plan, b: Plan, names, disjoint: bool = True) -> tuple[Plan, Plan, Column | None]:
+    """Both sides and the condition under which their rows are compatible, rows of ``a`` coming once, if ``b`` settles the shared variables or some are keys."""
+    if not unsure(a, b, names):
+        return a, b, compatible(a, b, names)
+    a, b, at_a, at_b = keyed(a, b, names, disjoint, single=True)
+    return a, b, F.col(at_a) == F.col(at_b)
 
 
 def join(a: Plan, b: Plan) -> Plan:
     names = shared(a, b)
     a, b = align(a, b, names)
-    if n := unsure(a, b, names):
-        parts = [(bound(a, n), bound(b, n))]
-        if n not in b.certain:
-            parts.append((bound(a, n), free(b, n)))
-        if n not in a.certain:
-            parts.append((free(a, n), b))
-        return together(*[join(p.renewed(), q.renewed()) for p, q in parts])
-    condition = compatible(a, b, names)
+    if unsure(a, b, names):
+        a, b, at_a, at_b = keyed(a, b, names, True)
+        condition = F.col(at_a) == F.col(at_b)
+    else:
+        condition = compatible(a, b, names)
     df = a.df.join(b.df, condition, "inner") if condition is not None else a.df.crossJoin(b.df)
     return _settle(df, merged(a, b, names), a.certain | b.certain)
 
@@ -140,12 +189,10 @@ def left_join(a: Plan, b: Plan, on=None) -> Plan:
     """``on`` gets the values of both sides and gives a condition."""
     names = shared(a, b)
     a, b = align(a, b, names)
-    if n := unsure(a, b, names):
-        if n not in a.certain:
-            return together(left_join(bound(a, n).renewed(), b.renewed(), on), left_join(free(a, n).renewed(), b.renewed(), on))
+    if unsure(a, b, names) and not settles(b, names):
         both = join(a.renewed(), b.renewed())
         return together(both if on is None else both.where(on(both.vars)), semi_join(a.renewed(), b.renewed(), True, on))
-    condition = compatible(a, b, names)
+    a, b, condition = meeting(a, b, names)
     if on is not None:
         extra = on(merged(a, b, names))
         condition = extra if condition is None else condition & extra
@@ -153,22 +200,52 @@ def left_join(a: Plan, b: Plan, on=None) -> Plan:
     return _settle(df, merged(a, b, names), a.certain)
 
 
+def exists(a: Plan, b: Plan, on=None, disjoint: bool = True) -> tuple[Plan, Column]:
+    """``a``, and whether a row of ``b`` is compatible with its row and meets ``on``; without ``disjoint``, one that also shares a bound variable.
+
+    Spark joins it as an existence join, by key. Where a row of ``a`` has several keys, equal rows are
+    counted and looked up once, and a row is found if one of its keys is.
+    """
+    names = shared(a, b)
+    a, b = align(a, b, names)
+    if not unsure(a, b, names) or settles(b, names):
+        a, b, _ = meeting(a, b, names, disjoint)
+        if not unsure(a, b, names):
+            return a, _found(a, b, lambda outer: compatible(outer, b, names), on, names)
+        at_a, at_b = a.df.columns[-1], b.df.columns[-1]
+        return a, _found(a, b, lambda _: F.col(at_a).outer() == F.col(at_b), on, names)
+    a = _settle(a.df, a.vars, a.certain)
+    columns = [F.col(f"`{c}`") for c in a.df.columns]
+    times, flag = fresh("times"), fresh("found")
+    rows, b, at_a, at_b = keyed(Plan(a.df.groupBy(*columns).agg(F.count(F.lit(1)).alias(times)), a.vars, a.certain), b, names, disjoint)
+    found = rows.df.withColumn(flag, _found(rows, b, lambda _: F.col(at_a).outer() == F.col(at_b), on, names))
+    found = found.groupBy(*columns).agg(F.max(flag).alias(flag), F.max(times).alias(times))
+    found = found.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return Plan(found, a.vars, a.certain), F.col(flag)
+
+
+def _found(a: Plan, b: Plan, meets, on, names) -> Column:
+    outer = Plan(a.df, {n: Val(v.kind, v.col.outer(), v.prefix) for n, v in a.vars.items()}, a.certain)
+    condition = meets(outer)
+    if on is not None:
+        extra = on(merged(outer, b, names))
+        condition = extra if condition is None else condition & extra
+    return (b.df if condition is None else b.df.where(condition)).exists()
+
+
 def semi_join(a: Plan, b: Plan, anti: bool = False, on=None) -> Plan:
     names = shared(a, b)
     a, b = align(a, b, names)
-    if n := unsure(a, b, names):
-        if n not in a.certain:
-            return together(semi_join(bound(a, n).renewed(), b.renewed(), anti, on), semi_join(free(a, n).renewed(), b.renewed(), anti, on))
-        missed = semi_join(a.renewed(), bound(b, n).renewed(), True, on)
-        rest = semi_join(missed, free(b, n).renewed(), anti, on)
-        return rest if anti else together(semi_join(a.renewed(), bound(b, n).renewed(), False, on), rest)
-    condition = compatible(a, b, names)
+    if unsure(a, b, names) and not settles(b, names):
+        p, found = exists(a, b, on)
+        return p.where(~found if anti else found)
+    p, b, condition = meeting(a, b, names)
     if on is not None:
-        extra = on(merged(a, b, names))
+        extra = on(merged(p, b, names))
         condition = extra if condition is None else condition & extra
     if condition is None:  # any row will do
         return Plan(a.df.join(b.df.select(F.lit(1).alias(fresh("any"))).limit(1), F.lit(True), "left_anti" if anti else "left_semi"), a.vars, a.certain)
-    return Plan(a.df.join(b.df, condition, "left_anti" if anti else "left_semi"), a.vars, a.certain)
+    return Plan(p.df.join(b.df, condition, "left_anti" if anti else "left_semi"), a.vars, a.certain)
 
 
 def minus(a: Plan, b: Plan) -> Plan:
@@ -176,11 +253,11 @@ def minus(a: Plan, b: Plan) -> Plan:
     if not names:
         return a
     a, b = align(a, b, names)
-    if n := unsure(a, b, names):
-        if n not in a.certain:
-            return together(minus(bound(a, n).renewed(), b.renewed()), minus(free(a, n).renewed(), b.renewed()))
-        return minus(minus(a.renewed(), bound(b, n).renewed()), free(b, n).renewed())
-    return Plan(a.df.join(b.df, compatible(a, b, names), "left_anti"), a.vars, a.certain)
+    if unsure(a, b, names) and not settles(b, names):
+        p, found = exists(a, b, disjoint=False)
+        return p.where(~found)
+    p, b, condition = meeting(a, b, names, disjoint=False)
+    return Plan(p.df.join(b.df, condition, "left_anti"), a.vars, a.certain)
 
 
 def union(a: Plan, b: Plan) -> Plan:

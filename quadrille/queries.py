@@ -365,6 +365,43 @@ case(
 )
 
 
+# EXISTS inside expressions, and keys that may be unbound
+
+_BIG = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)"
+case(
+    "exists_in_bind", "customer orders",
+    "SELECT ?c ?big { ?c v:c_acctbal ?b BIND(EXISTS { ?o v:o_custkey_ref ?c ; v:o_totalprice ?p FILTER(?p > ?b * 40) } AS ?big) }",
+    f"SELECT {ref('customer', 'c_custkey')} AS c, {_BIG} AS big FROM customer",
+)
+case(
+    "exists_in_or", "customer orders",
+    'SELECT ?c { ?c v:c_acctbal ?b ; v:c_mktsegment ?seg FILTER(?seg = "BUILDING" || EXISTS { ?o v:o_custkey_ref ?c ; v:o_totalprice ?p FILTER(?p > ?b * 40) }) }',
+    f"SELECT {ref('customer', 'c_custkey')} AS c FROM customer WHERE c_mktsegment = 'BUILDING' OR {_BIG}",
+)
+case(
+    "not_exists_in_if", "customer orders",
+    'SELECT ?kind (COUNT(*) AS ?n) { ?c v:c_acctbal ?b BIND(IF(NOT EXISTS { ?o v:o_custkey_ref ?c } || ?b < 0, "idle", "active") AS ?kind) } GROUP BY ?kind',
+    "SELECT CASE WHEN c_acctbal < 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'idle' ELSE 'active' END AS kind, count(*) AS n FROM customer GROUP BY 1",
+)
+_LARGE = "customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON o_custkey = c_custkey"
+case(
+    "minus_unsure", "customer orders",
+    'SELECT ?c ?o { ?c v:c_acctbal ?b OPTIONAL { ?o v:o_custkey_ref ?c ; v:o_totalprice ?p FILTER(?p > 300000) } MINUS { ?o v:o_orderstatus "F" } }',
+    f"SELECT {ref('customer', 'c_custkey')} AS c, {ref('orders', 'o_orderkey')} AS o FROM {_LARGE} WHERE o_orderkey IS NULL OR o_orderstatus <> 'F'",
+)
+case(
+    "optional_two_unsure", "customer orders nation supplier",
+    """SELECT ?n (COUNT(?c) AS ?m) (COUNT(DISTINCT ?s) AS ?k) { ?n v:n_name ?name
+      OPTIONAL { ?c v:c_nationkey_ref ?n ; v:c_acctbal ?b FILTER(?b > 9900) } OPTIONAL { ?s v:s_nationkey_ref ?n ; v:s_acctbal ?d FILTER(?d > 8000) }
+      OPTIONAL { { ?c v:c_mktsegment "BUILDING" } UNION { ?s v:s_acctbal ?any } } } GROUP BY ?n""",
+    f"""WITH c AS (SELECT * FROM customer WHERE c_acctbal > 9900), s AS (SELECT * FROM supplier WHERE s_acctbal > 8000),
+      l AS (SELECT n_nationkey, c_custkey, s_suppkey FROM nation LEFT JOIN c ON c_nationkey = n_nationkey LEFT JOIN s ON s_nationkey = n_nationkey),
+      r AS (SELECT c_custkey AS c, NULL AS s FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT NULL, s_suppkey FROM supplier),
+      j AS (SELECT n_nationkey, coalesce(c_custkey, c) AS c, coalesce(s_suppkey, s) AS s FROM l LEFT JOIN r ON (c IS NULL OR c_custkey IS NULL OR c = c_custkey) AND (s IS NULL OR s_suppkey IS NULL OR s = s_suppkey))
+    SELECT {ref('nation', 'n_nationkey')} AS n, count(c) AS m, count(DISTINCT s) AS k FROM j GROUP BY 1""",
+)
+
+
 def _sparql(c: Case) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: dataset(spark, sf_dir, c.tables.split()).query(c.sparql).native()
 
