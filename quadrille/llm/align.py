@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from array import array
 from types import SimpleNamespace
 
@@ -38,10 +39,32 @@ BLOCK_PAIRS = 1 << 21
 LONG_WINDOW = 128
 #: Windows of a text that are held at once.
 STRETCH = 1 << 14
+#: What a generation of the windows' cache may hold, in bytes, about.
+CACHE_BYTES = 96 << 20
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
+class Recent:
+    """A cache that keeps what was used of late: of two generations the older goes when the younger reaches ``CACHE_BYTES``."""
+
+    def __init__(self):
+        self.young, self.old, self.held = {}, {}, 0
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.pop(key, None)) is not None:
+            self.young[key] = found
+        return found
+
+    def keep(self, key, value, size: int):
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[key] = value
+        self.held += size
+        return value
+
+
 class PlainPacker(IdPacker):
     """Token ids under a byte-level vocabulary, strings of special tokens as plain text."""
 
@@ -81,6 +104,18 @@ def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both + 1, at[both] + 1
 
 
+def window_keys(a: np.ndarray, cuts_a: np.ndarray, b: np.ndarray, cuts_b: np.ndarray) -> list[bytes]:
+    """The tuples of ids of the windows between the cuts, each as bytes: A's ids, a mark that is no id, and B's."""
+    n_a, n_b = np.diff(cuts_a), np.diff(cuts_b)
+    starts = np.cumsum(n_a + n_b + 2) - (n_a + n_b + 2)
+    row = np.full(int((n_a + n_b + 2).sum()), 0xFFFFFFFF, np.uint32)  # ends each window: the high byte of an id is 0, so none starts sooner
+    own, other = a[cuts_a[0] : cuts_a[-1]], b[cuts_b[0] : cuts_b[-1]]
+    row[np.arange(len(own)) + np.repeat(starts - (cuts_a[:-1] - cuts_a[0]), n_a)] = own
+    row[starts + n_a] = 1 << 31
+    row[np.arange(len(other)) + np.repeat(starts + n_a + 1 - (cuts_b[:-1] - cuts_b[0]), n_b)] = other
+    return row.tobytes().split(b"\xff\xff\xff\xff")[:-1]
+
+
 class Windows:
     """The alignments of texts, window by window."""
 
@@ -91,7 +126,7 @@ class Windows:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-            kept.aligned = path_b, model, byte_tokens(kept.plain), piece_tokens(model), type(kept.ids)()
+            kept.aligned = path_b, model, byte_tokens(kept.plain), piece_tokens(model), Recent()
         _, self.model, self.a, self.b, self.known = kept.aligned
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -122,6 +157,8 @@ class Windows:
 
     def window(self, a: list[int], b: list[int]) -> tuple[int, int, str, bytes]:
         """(groups, links, the groups' text, the linked pairs) of a short window."""
+        if len(a) == len(b) == 1:
+            return 1, 1, f"{a[0]}|{b[0]}", struct.pack("<II", b[0], a[0])
         groups = self.groups(a, b)
         pairs = [x << 32 | y for own, other in groups for x in own for y in other]
         return len(groups), len(pairs), _text(groups), array("q", pairs).tobytes()
@@ -145,26 +182,25 @@ class Windows:
         ends_a, ends_b = shared_ends(self.a.sizes[a], self.b.sizes[b])
         anchor = np.ones(len(ends_a), bool)  # the last is the end of the text
         anchor[:-1] = self.a.spaced[a[ends_a[:-1]]] & self.b.spaced[b[ends_b[:-1]]]
-        ends_a, ends_b = ends_a[anchor].tolist(), ends_b[anchor].tolist()
-        bytes_a, bytes_b, digest, sums = a.tobytes(), b.tobytes(), hashlib.sha256(), [0, 0]
-        pairs, times, get = [], [], self.known.get
+        ends_a, ends_b = ends_a[anchor], ends_b[anchor]
+        digest, sums, pairs, times, known = hashlib.sha256(), [0, 0], [], [], self.known
         i = j = 0
         for since in range(0, len(ends_a), STRETCH):
-            rows = []
-            for x, y in zip(ends_a[since : since + STRETCH], ends_b[since : since + STRETCH]):
-                key = bytes_a[4 * i : 4 * x], bytes_b[4 * j : 4 * y]
-                row = get(key)
-                if row is None:
-                    own, other, n = a[i:x].tolist(), b[j:y].tolist(), x - i + y - j
-                    if n <= LONG_WINDOW:
-                        row = self.known.keep(key, self.window(own, other), 8 * n + len(key[0]) * len(key[1]) + 400)
+            upto_a, upto_b = ends_a[since : since + STRETCH], ends_b[since : since + STRETCH]
+            keys = window_keys(a, np.r_[i, upto_a], b, np.r_[j, upto_b])
+            rows = list(map(known.young.get, keys))
+            for k in [k for k, row in enumerate(rows) if row is None]:
+                rows[k] = known.get(keys[k])
+                if rows[k] is None:
+                    own, other = a[upto_a[k - 1] if k else i : upto_a[k]].tolist(), b[upto_b[k - 1] if k else j : upto_b[k]].tolist()
+                    if len(own) + len(other) <= LONG_WINDOW:
+                        rows[k] = known.keep(keys[k], self.window(own, other), 8 * len(own) * len(other) + 8 * (len(own) + len(other)) + 360)
                     else:
-                        *row, p, t = self.long_window(own, other)
-                        row.append(b"")
-                        pairs.append(p)
-                        times.append(t)
-                rows.append(row)
-                i, j = x, y
+                        *row, found, times_found = self.long_window(own, other)
+                        rows[k] = (*row, b"")
+                        pairs.append(found)
+                        times.append(times_found)
+            i, j = upto_a[-1], upto_b[-1]
             groups, links, texts, linked = zip(*rows)
             digest.update((";" * bool(since) + ";".join(texts)).encode())
             sums = [sums[0] + sum(groups), sums[1] + sum(links)]
@@ -178,7 +214,7 @@ class Windows:
 
 
 def _text(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, own))}|{','.join(map(str, other))}" for own, other in groups])
+    return ";".join([f"{own[0] if len(own) == 1 else ','.join(map(str, own))}|{other[0] if len(other) == 1 else ','.join(map(str, other))}" for own, other in groups])
 
 
 DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int, places binary, times binary"

@@ -88,20 +88,28 @@ def test_alignment_matches_brute_force(spark, monkeypatch):
 
 def test_windows_are_found_once_and_long_ones_are_not_kept(monkeypatch):
     windows = align.Windows(A, B)
-    windows.known.clear()
+    windows.known.young.clear(), windows.known.old.clear()
     text = "one two one two one two"
     first = windows.aligned(text)
-    assert 0 < len(windows.known) <= 3
-    size = len(windows.known)
-    assert windows.aligned(text)[:5] == first[:5] and len(windows.known) == size
+    assert 0 < len(windows.known.young) <= 3
+    size = len(windows.known.young)
+    assert windows.aligned(text)[:5] == first[:5] and len(windows.known.young) == size
     for name, value in (("LONG_WINDOW", 0), ("STRETCH", 2)):
         monkeypatch.setattr(align, name, value)
-    windows.known.clear()
+    windows.known.young.clear()
     again = windows.aligned(text)
-    assert again[:5] == first[:5] and not windows.known
+    assert again[:5] == first[:5] and not windows.known.young
     assert all((x == y).all() for x, y in zip(again[5:], first[5:]))
 
 
+def test_recent_windows_stay():
+    recent = align.Recent()
+    for k in range(1000):
+        assert k == 0 or recent.get("often") == 1
+        recent.keep("often" if k == 0 else k, k or 1, align.CACHE_BYTES // 10)
+    assert recent.get("often") == 1 and recent.get(3) is None and len(recent.young) + len(recent.old) < 25
+
+
 @pytest.mark.parametrize("narrow,numbers", [("u1", [0, 255]), ("u1", [256, 3]), ("<u2", [65535]), ("<u2", [65536, 1]), ("u1", [])])
 def test_packing_round_trip(narrow, numbers):
     numbers = np.array(numbers, np.int64)
