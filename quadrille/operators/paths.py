@@ -1,4 +1,4 @@
-"""Property paths as plans of start and end; closures as rounds of joins with what is new."""
+"""Property paths as plans of start and end; closures as rounds of joins that double what they reach."""
 
 from __future__ import annotations
 
@@ -114,28 +114,90 @@ def _pairs(source, s, modifier: str, edges: DataFrame, graph, o) -> DataFrame:
             seeds = nodes.df.select(nodes.vars["n"].col.alias("a"), *[nodes.vars[graph.name].col.alias("g") for _ in g])
             if isinstance(o, Term) and not g:
                 seeds = seeds.union(seeds.sparkSession.range(1).select(V.lit(o).alias("a")))
-    found = first.distinct() if modifier == "?" else reach(first, edges)
+    found = first.distinct() if modifier == "?" else all_pairs(edges) if first is edges else reach(first, edges)
     if modifier in "*?":
         same = seeds.select("a", F.col("a").alias("b"), *g)
         found = found.union(same).distinct()
     return found
 
 
+#: Rounds of one step before runs of single links are skipped.
+PLAIN_ROUNDS = 8
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """The links under names that pairs don't have: m, n and, in graphs, h."""
+    return edges.select(F.col("a").alias("m"), F.col("b").alias("n"), *[F.col(k).alias("h") for k in edges.columns[2:]])
+
+
+def _goes_on(steps: DataFrame):
+    on = F.col("b") == F.col("m")
+    return on & (F.col("g") == F.col("h")) if "h" in steps.columns else on
+
+
+def _unseen(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    return materialize(pairs.distinct().join(reduce(DataFrame.unionAll, seen), pairs.columns, "left_anti"))
+
+
 def reach(first: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (a, b[, g]) reached by one step of ``first`` and any number of ``edges``, once each.
 
-    Each round joins only the pairs that were new, and drops those that were seen; the pairs of every
-    round are cut from their lineage in the shared checkpoint folder.
+    Each round joins only the pairs that were new, and drops those that were seen. Where that takes more
+    than ``PLAIN_ROUNDS`` rounds, runs of nodes with a single link are passed over by pointers that double
+    their reach: a run of n nodes takes about log n joins, and the other rounds are as many as a path has
+    branches. The pairs of every round are cut from their lineage in the shared checkpoint folder.
     """
     keys = edges.columns
-    steps = materialize(edges.select(F.col("a").alias("m"), F.col("b").alias("n"), *[F.col(k).alias("h") for k in keys[2:]]))
+    edges = materialize(edges)
     new = materialize(first.distinct())
-    seen = [new]
+    seen, rounds, pointers, steps = [new], 0, [], _steps(edges)
     while not new.isEmpty():
-        on = F.col("b") == F.col("m")
-        if len(keys) > 2:
-            on &= F.col("g") == F.col("h")
-        further = new.join(steps, on).select("a", F.col("n").alias("b"), *keys[2:]).distinct()
-        new = materialize(further.join(reduce(DataFrame.unionAll, seen), keys, "left_anti"))
+        if rounds == PLAIN_ROUNDS:
+            pointers, steps = _passing(edges)
+        along = new
+        for pointer in pointers:  # from the first 2**k nodes of a run to the first 2**(k + 1)
+            both = F.filter(F.array("b", "n"), lambda x: x.isNotNull())
+            along = materialize(along.join(pointer, _goes_on(pointer), "left").select("a", F.explode(both).alias("b"), *keys[2:]).distinct())
+        if pointers:
+            seen.append(_unseen(along, seen))
+        new = _unseen(along.join(steps, _goes_on(steps)).select("a", F.col("n").alias("b"), *keys[2:]), seen)
         seen.append(new)
+        rounds += 1
     return reduce(DataFrame.unionAll, seen)
+
+
+def _passing(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers over 1, 2, 4, ... links from nodes that have one link each, and the links of the other nodes."""
+    start = edges.columns[0::2]  # a, and the graph
+    single = edges.groupBy(*start).agg(F.count("*").alias("times"), F.min("b").alias("b")).where("times = 1")
+    single = materialize(single.select(*edges.columns))
+    most, pointers = single.count(), [_steps(single)]
+    while 1 << len(pointers) <= most:
+        further = pointers[-1].select(F.col("m").alias("b"), F.col("n").alias("c"), *[F.col("h").alias("g") for _ in start[1:]])
+        on = F.col("n") == F.col("b")
+        on = on & (F.col("h") == F.col("g")) if start[1:] else on
+        longer = materialize(pointers[-1].join(further, on).select("m", F.col("c").alias("n"), *pointers[-1].columns[2:]))
+        if longer.isEmpty():
+            break
+        pointers.append(longer)
+    return pointers, materialize(_steps(edges.join(single.select(*start), start, "left_anti").select(*edges.columns)))
+
+
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs (a, b[, g]) joined by one or more ``edges``, once each, in rounds that double the distance.
+
+    With all pairs up to a distance of 2**k known, those further on, up to twice as far, have a node at just
+    2**k on a shortest way, so only the furthest pairs are joined with all.
+    """
+    keys, distance = edges.columns, 1
+    far = materialize(edges.distinct().withColumn("d", F.lit(1).cast("long")))
+    parts = [far]
+    while not far.isEmpty():
+        known = reduce(DataFrame.unionAll, parts)
+        after = known.select(F.col("a").alias("m"), F.col("b").alias("n"), *[F.col(k).alias("h") for k in keys[2:]], F.col("d").alias("e"))
+        further = far.join(after, _goes_on(after)).select("a", F.col("n").alias("b"), *keys[2:], (F.col("d") + F.col("e")).alias("d"))
+        new = materialize(further.groupBy(*keys).agg(F.min("d").alias("d")).join(known.select(*keys), keys, "left_anti").select(*keys, "d"))
+        parts.append(new)
+        distance *= 2
+        far = new.where(F.col("d") == distance)
+    return reduce(DataFrame.unionAll, parts).select(*keys)

@@ -35,6 +35,16 @@ def has_exists(e) -> bool:
     return isinstance(e, N.Exists) or (isinstance(e, N.Call) and any(map(has_exists, e.args)))
 
 
+def connected(patterns: list) -> list[list]:
+    """Patterns parted into groups without a common variable, so that paths can join them before they would multiply."""
+    groups: list[tuple[set, list]] = []
+    for p in patterns:
+        names = {t.name for t in p if isinstance(t, Var)}
+        near = [g for g in groups if g[0] & names]
+        groups = [g for g in groups if not any(g is x for x in near)] + [(names.union(*(g[0] for g in near)), [*(x for g in near for x in g[1]), p])]
+    return [g[1] for g in groups] or [[]]
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, source, base: str | None = None, now: _dt.datetime | None = None):
         self.spark, self.source, self.base = spark, source, base
@@ -57,7 +67,7 @@ class Compiler:
         for s, p, o in node.patterns:
             for x in paths.expand(s, p, o) if not isinstance(p, Var) and paths.expand(s, p, o) else [(s, p, o)]:
                 (simple if isinstance(x[1], (Term, Var)) else complex_).append(x)
-        plans = [self.source.match(simple, self.graph)] if simple or not complex_ else []
+        plans = [self.source.match(part, self.graph) for part in connected(simple)] if simple or not complex_ else []
         plans += [paths.path_plan(self.source, *x, self.graph) for x in complex_]
         plan, rest = plans[0], plans[1:]
         while rest:

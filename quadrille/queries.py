@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import Dataset, Graph
 from .operators import graphs as G
@@ -845,6 +846,16 @@ for _name, _text, _sql in (
     SQL[_name] = _sql
 
 
+@query("path_orders_after", "SELECT 'http://ex/customer/' || a.o_custkey AS c, count(*) AS n, max(b.o_totalprice) AS largest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (a.o_orderdate, a.o_orderkey) < (b.o_orderdate, b.o_orderkey) GROUP BY 1")
+def _orders_after(spark, sf_dir):
+    """Each customer's orders linked one to the next, and the closure of the links."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = orders.select("o_orderkey", "o_custkey", "o_totalprice", after.alias("next"))
+    ds = Dataset(spark, MappedTables(spark, [map_table("orders", rows, "o_orderkey", {"o_custkey": "customer", "next": "orders"})]), PREFIXES)
+    return ds.query("SELECT ?c (COUNT(?b) AS ?n) (MAX(?p) AS ?largest) { ?a v:next_ref+ ?b . ?a v:o_custkey_ref ?c . ?b v:o_totalprice ?p } GROUP BY ?c").native()
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _sparql(c) for n, c in CASES.items()} | FUNCTIONS
 
