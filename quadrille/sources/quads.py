@@ -94,12 +94,12 @@ class QuadFrame:
         df = df.select(*[F.col(c).alias(names[n]) for n, c in columns.items()]) if columns else df.select(F.lit(1).alias(fresh("one")))
         return Plan(df, {n: Val("term", F.col(names[n])) for n in columns}, frozenset(columns))
 
-    def narrowed(self, predicate: Term | Var) -> QuadFrame:
-        """A source that need only hold the quads of a predicate; a layout on disk reads less for it."""
+    def narrowed(self, pattern) -> QuadFrame:
+        """A source that need only hold the quads of a pattern; a layout on disk reads less for it."""
         return self
 
     def one(self, pattern, graph: Term | Var | None) -> Plan:
-        df, at = self.narrowed(pattern[1]).in_graph(graph), {}
+        df, at = self.narrowed(pattern).in_graph(graph), {}
         slots = list(zip("spo", pattern)) + ([("g", graph)] if isinstance(graph, Var) else [])
         for c, t in slots:
             if isinstance(t, Term):
