@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..functions.expressions import Expressions, over
 from ..functions.values import DEC, Val
 from ..operators import paths
+from ..sources import remote
 from ..sources.quads import unit
 from ..terms import TERM, Term, Var
 from . import nodes as N
@@ -21,8 +22,8 @@ from .syntax import expression_vars, visible
 
 #: Rewrites of algebra nodes before compilation, the way to extend evaluation; each returns a node or None to decline.
 REWRITES: list[Callable] = []
-#: Evaluates a SERVICE node to a plan: ``f(spark, node) -> Plan``; None refuses.
-SERVICE: Callable | None = None
+#: Evaluates a SERVICE node to a plan: ``f(spark, node, left) -> Plan``, ``left`` being the plan that it is joined to, if any; None refuses.
+SERVICE: Callable | None = remote.service
 
 
 def conjuncts(e) -> list:
@@ -78,7 +79,9 @@ class Compiler:
         return plan.project([n for n in plan.vars if n not in hidden]) if hidden else plan
 
     def join(self, node: N.Join) -> Plan:
-        return P.join(self(node.left), self(node.right))
+        left, right = (node.right, node.left) if isinstance(node.left, N.Service) else (node.left, node.right)
+        before = self(left)
+        return P.join(before, self.service(right, before) if isinstance(right, N.Service) else self(right))
 
     def union(self, node: N.Union) -> Plan:
         return P.union(self(node.left), self(node.right))
@@ -87,7 +90,8 @@ class Compiler:
         return P.minus(self(node.left), self(node.right))
 
     def leftjoin(self, node: N.LeftJoin) -> Plan:
-        left, right = self(node.left), self(node.right)
+        left = self(node.left)
+        right = self.service(node.right, left) if isinstance(node.right, N.Service) else self(node.right)
         if node.expr is None:
             return P.left_join(left, right)
         plain = [e for e in conjuncts(node.expr) if not has_exists(e)]
@@ -118,16 +122,12 @@ class Compiler:
         vals = {**{n: plan.vars[n] for n in rest}, name: graph}
         return Plan(plan.df.select(*[v.col for v in vals.values()]), vals, plan.certain & set(rest) | {name})
 
-    def service(self, node: N.Service) -> Plan:
-        if SERVICE is not None:
-            try:
-                return SERVICE(self.spark, node)
-            except Exception:
-                if not node.silent:
-                    raise
-        if node.silent:
-            return unit(self.spark)
-        raise NotImplementedError("SERVICE needs an evaluator; set quadrille.plans.compiler.SERVICE")
+    def service(self, node: N.Service, left: Plan | None = None) -> Plan:
+        if SERVICE is None:
+            if node.silent:
+                return unit(self.spark)
+            raise NotImplementedError("SERVICE is refused, as quadrille.plans.compiler.SERVICE is None")
+        return SERVICE(self.spark, node, left)
 
     def values(self, node: N.Values) -> Plan:
         columns = list(zip(*node.rows)) if node.rows else [() for _ in node.names]

@@ -1,11 +1,11 @@
-"""JSON-LD 1.1 to quads: contexts are processed and nodes turned into quads in one walk. Remote contexts are refused."""
+"""JSON-LD 1.1 to quads: contexts are processed and nodes turned into quads in one walk. Remote contexts need a loader."""
 
 from __future__ import annotations
 
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
@@ -39,19 +39,45 @@ class Context:
     language: str | None = None
     terms: dict[str, TermDef | None] = field(default_factory=dict)
     previous: Context | None = None  # to which nodes without this context's types go back
+    loader: Callable[[str], object] | None = None  # of remote contexts; None refuses them
+    source: str | None = None  # the remote context that is being read
+    chain: list[str] = field(default_factory=list)  # and those that led to it
+
+    def fetched(self, iri: str) -> tuple[object, str]:
+        """The context of a remote document, and where it is."""
+        if self.loader is None:
+            raise JsonLdError(f"remote context {iri} is refused")
+        at = resolve(self.source or self.base, iri)
+        doc = self.loader(at)
+        if not isinstance(doc, dict) or "@context" not in doc:
+            raise JsonLdError(f"{at} has no context")
+        return doc["@context"], at
+
+    def remote(self, iri: str) -> Context:
+        """With a remote context; its own references are relative to it, and it may go on to others up to a bound."""
+        given, at = self.fetched(iri)
+        chain = [*self.chain, at]
+        if at in self.chain or len(chain) > 16:
+            raise JsonLdError(f"remote contexts go round: {' '.join(chain)}")
+        out = replace(self, source=at, chain=chain).extend(given)
+        return replace(out, source=self.source, chain=self.chain)
 
     def extend(self, given, propagate: bool = True) -> Context:
         out = self
         for c in given if isinstance(given, list) else [given]:
             if c is None:
-                out = Context(base=self.base)
+                out = Context(base=self.base, loader=self.loader)
                 continue
             if isinstance(c, str):
-                raise JsonLdError(f"remote context {c} is refused")
+                out = out.remote(c)
+                continue
             if not isinstance(c, dict):
                 raise JsonLdError("a context is an object")
             if "@import" in c:
-                raise JsonLdError("remote context imports are refused")
+                given_by, at = self.fetched(c["@import"])
+                if not isinstance(given_by, dict) or "@import" in given_by:
+                    raise JsonLdError(f"{at} is no context to import")
+                c = {**given_by, **{k: v for k, v in c.items() if k != "@import"}}
             if c.get("@propagate", propagate) is False and out.previous is None:
                 out = replace(out, previous=self)
             if "@base" in c:
@@ -372,7 +398,7 @@ class Walker:
         return Literal(value, datatype=dt)
 
 
-def parse_jsonld(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
+def parse_jsonld(text: str, base: str = "", scope: str = "", loader: Callable[[str], object] | None = None) -> Iterator[tuple]:
     """Quads of a JSON-LD document, or of the JSON-LD scripts of an HTML page."""
     if text.lstrip().startswith("<"):
         page = Scripts()
@@ -382,5 +408,5 @@ def parse_jsonld(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
         docs = [json.loads(text)]
     walker = Walker(base, scope, unused("j", "_:", text))
     for doc in docs:
-        walker.document(doc, Context(base=base or None))
+        walker.document(doc, Context(base=base or None, loader=loader))
     yield from walker.out

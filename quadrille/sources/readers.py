@@ -19,6 +19,7 @@ EXTENSIONS = {
     "ttl": "turtle", "turtle": "turtle", "trig": "trig", "n3": "n3", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "rdfs": "rdfxml", "trix": "trix", "jsonld": "jsonld", "json-ld": "jsonld", "json": "jsonld",
 }
 ALIASES = {
+    "application/json": "jsonld", "application/xhtml+xml": "jsonld", "text/html": "jsonld",
     "nt11": "nt", "application/n-triples": "nt", "application/n-quads": "nquads", "text/turtle": "turtle", "ttl": "turtle", "longturtle": "turtle", "text/n3": "n3", "application/trig": "trig",
     "xml": "rdfxml", "pretty-xml": "rdfxml", "application/rdf+xml": "rdfxml", "application/trix": "trix", "json-ld": "jsonld", "application/ld+json": "jsonld", "application/x-ndjson": "hext",
 }
@@ -30,7 +31,7 @@ DOCUMENTS: dict[str, Callable[..., Iterator[tuple]]] = {
     "n3": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "n3", labels).parse(),
     "rdfxml": lambda text, base, scope, labels=None: parse_rdfxml(text, base, scope),
     "trix": lambda text, base, scope, labels=None: parse_trix(text, base, scope),
-    "jsonld": lambda text, base, scope, labels=None: parse_jsonld(text, base, scope),
+    "jsonld": lambda text, base, scope, labels=None, loader=None: parse_jsonld(text, base, scope, loader),
 }
 LINES: dict[str, Callable[[DataFrame, Column], DataFrame]] = {}
 
@@ -40,11 +41,15 @@ def guess_format(path: str, default: str = "turtle") -> str:
 
 
 def read(spark: SparkSession, path: str, form: str | None = None, base: str | None = None, strict: bool = True, shared: bool = False) -> DataFrame:
-    """Quads (s, p, o, g) of the files at a path; blank node labels are kept apart by file.
+    """Quads (s, p, o, g) of the files at a path, or of documents at http IRIs; blank node labels are kept apart by file.
 
     ``shared`` takes a label to mean one node in all files, as in the parts of a folder that ``write``
     made. ``strict`` raises on a line that is not of the format; without it such lines are left out.
     """
+    from .web import is_web, read_web
+
+    if is_web(path):
+        return read_web(spark, path, form, base, strict)
     form = ALIASES.get(form, form) or guess_format(path)
     if form in LINES:
         name = F.lit("") if shared and form != "patch" else F.input_file_name()

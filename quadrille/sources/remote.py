@@ -1,4 +1,4 @@
-"""SPARQL endpoints over HTTP: queries, updates, pattern scans, and SERVICE. Off unless an endpoint is named."""
+"""SPARQL endpoints over HTTP: queries, updates, pattern scans, and SERVICE as a bind join."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.values import Val
 from ..plans.nodes import Service
 from ..plans.plan import Plan, fresh
-from ..terms import TERM, Term, Var, term_schema
+from ..session import materialize
+from ..terms import BNODE, IRI_KIND, TERM, Term, Var, term_schema
 from .results import parse_json, parse_result
 
 #: Longest query that is sent by GET; longer ones are posted.
@@ -95,11 +96,68 @@ class Endpoint:
         self.edits = []
 
 
-def service(spark: SparkSession, node: Service) -> Plan:
-    """An evaluator for ``compiler.SERVICE``: sends the pattern of a SERVICE clause to its endpoint."""
-    if isinstance(node.term, Var):
-        raise ValueError("SERVICE needs the IRI of an endpoint")
-    names, rows = Endpoint(node.term.lex).query(f"SELECT * WHERE {node.text}")
-    cols = {n: fresh(n) for n in names}
-    df = spark.createDataFrame([tuple(None if n not in r else tuple(r[n]) for n in names) for r in rows], ", ".join(f"`{c}` {TERM}" for c in cols.values()))
-    return Plan(df, {n: Val("term", F.col(c)) for n, c in cols.items()}, frozenset(n for n in names if all(n in r for r in rows)))
+#: Bindings that are sent in one request.
+BATCH = 100
+
+
+def service(spark: SparkSession, node: Service, left: Plan | None = None, timeout: float = 60) -> Plan:
+    """The solutions of a SERVICE clause that can meet those of ``left``, as a bind join.
+
+    The distinct bindings that ``left`` has for the clause's variables are dealt over executors, which send
+    them ``BATCH`` at a time as VALUES before the pattern, to the endpoint that is named or bound. Without
+    such variables the pattern is sent once. Bindings with a blank node meet nothing elsewhere, and unbound
+    variables are sent as UNDEF. With SILENT, a request that fails gives its bindings back as they were.
+    What came back is kept in the shared checkpoint folder, so that no request is sent twice.
+    """
+    from ..plans.syntax import visible
+    from ..plans.text import Writer
+
+    names = sorted(visible(node.p))
+    given = [n for n in names if left is not None and n in left.vars]
+    at = node.term.name if isinstance(node.term, Var) else None
+    if at is not None and (left is None or at not in left.vars):
+        raise ValueError("SERVICE needs the IRI of an endpoint, or a variable that is bound before it")
+    sent = given if at is None or at in given else [*given, at]
+    if sent:
+        p = left.as_terms(sent)
+        rows = p.df.select(*[p.vars[n].col.alias(f"v{k}") for k, n in enumerate(sent)]).distinct()
+    else:
+        rows = spark.range(1).select(F.lit(None).cast(TERM).alias("v0"))
+    body, out = Writer().group(node.p), list(dict.fromkeys([*sent, *names]))
+    endpoint = None if at is not None else node.term.lex
+
+    def ask(url: str, bindings: list[dict]) -> list[dict]:
+        columns = [n for n in given]
+        values = " ".join("(" + " ".join(b[n].n3() if b.get(n) is not None else "UNDEF" for n in columns) + ")" for b in bindings)
+        text = f"SELECT * WHERE {{ VALUES ({' '.join(f'?{n}' for n in columns)}) {{ {values} }} {body} }}" if columns else f"SELECT * WHERE {{ {body} }}"
+        try:
+            _, found = Endpoint(url, timeout=timeout).query(text)
+        except Exception:
+            if not node.silent:
+                raise
+            return bindings
+        return [{**r, at: Term(IRI_KIND, url)} if at is not None else r for r in found]
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            by_url: dict[str, list[dict]] = {}
+            for row in batch.itertuples(index=False):
+                b = {n: None if v is None else Term(*(v[c] for c in Term._fields)) for n, v in zip(sent, row)}
+                url = endpoint if at is None else b[at].lex if b[at] is not None and b[at].k == IRI_KIND else None
+                if url is not None and not any(t is not None and t.k == BNODE for t in b.values()):
+                    by_url.setdefault(url, []).append(b)
+            for url, bindings in by_url.items():
+                for k in range(0, len(bindings), BATCH):
+                    found = ask(url, bindings[k : k + BATCH])
+                    yield pd.DataFrame([[None if r.get(n) is None else r[n]._asdict() for n in out] for r in found], columns=[f"v{k}" for k in range(len(out))])
+
+    schema = ", ".join(f"v{k} {TERM}" for k in range(len(out))) or f"v0 {TERM}"
+    found = materialize(rows.mapInPandas(run, schema))
+    cols = {n: fresh(n) for n in out}
+    if not out:
+        return Plan(found.select(F.lit(1).alias(fresh("one"))))
+    # Bound on the left for certain, and sent, is bound in what comes back.
+    sure = frozenset(n for n in sent if n in left.certain) if sent else frozenset()
+    return Plan(found.select(*[F.col(f"v{k}").alias(cols[n]) for k, n in enumerate(out)]), {n: Val("term", F.col(cols[n])) for n in out}, sure)
