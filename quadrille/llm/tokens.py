@@ -381,17 +381,23 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row."""
+    """doc_id, n_bytes, n_tokens, over_limit of each row, and fit_chars: the code points of its longest prefix within the limit.
+
+    A text within the limit fits whole; of the others every prefix's count is made, and the cut read from them.
+    """
 
     def run(batches):
         counter = WordCounter(path)
         for b in batches:
-            n = [counter.count(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            texts = b.column(1).to_pylist()
+            n = [counter.count(t) for t in texts]
+            fit = [len(t) if k <= limit else counter.longest_prefix(t, limit) for t, k in zip(texts, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "fit_chars"])
 
     rows = _columns(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, fit_chars long")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
 def prefix_counts(docs: DataFrame, path: str, budgets: list[int] | None = None) -> DataFrame:
