@@ -547,16 +547,41 @@ def _encode(x, a):
     return Val("str", text)
 
 
+def _unspaced(text: Column) -> Column:
+    """A pattern without white space, but for that in character classes, as flag x has it."""
+    return F.regexp_replace(text, r"(\[(?:[^\]\\]|\\.)*\])|[ \t\r\n]+", "$1")
+
+
+def _quoted(text: Column) -> Column:
+    """A pattern that matches the text itself, as flag q has it."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def _pattern(x, p, flags) -> Column:
-    """A pattern with its flags as an inline group."""
+    """A pattern with its flags as an inline group; flags other than i, s, m, x and q are an error."""
     text = V.plain_text(x(p))
     if flags is None:
         return text
     if isinstance(flags, Term):
-        keep = "".join(c for c in "ism" if c in flags.lex)
+        given = set(flags.lex)
+        if given - set("ismxq"):
+            return F.lit(None).cast("string")
+        text = _quoted(text) if "q" in given else _unspaced(text) if "x" in given else text
+        keep = "".join(c for c in "ism" if c in given)
         return F.concat(F.lit(f"(?{keep})"), text) if keep else text
-    keep = F.regexp_replace(V.plain_text(x(flags)), "[^ism]", "")
-    return F.concat(F.when(keep == "", "").otherwise(F.concat(F.lit("(?"), keep, F.lit(")"))), text)
+    given = V.plain_text(x(flags))
+    text = F.when(given.contains("q"), _quoted(text)).when(given.contains("x"), _unspaced(text)).otherwise(text)
+    keep = F.regexp_replace(given, "[^ism]", "")
+    return F.when(given.rlike("^[ismxq]*$"), F.concat(F.when(keep == "", "").otherwise(F.concat(F.lit("(?"), keep, F.lit(")"))), text))
+
+
+def _replacement(x, r, flags) -> Column:
+    """What matches are replaced by: the text itself under flag q."""
+    text = V.plain_text(x(r))
+    if flags is None or (isinstance(flags, Term) and "q" not in flags.lex):
+        return text
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return plain if isinstance(flags, Term) else F.when(V.plain_text(x(flags)).contains("q"), plain).otherwise(text)
 
 
 @built("REGEX")
@@ -567,7 +592,7 @@ def _regex(x, a, p, flags=None):
 @built("REPLACE")
 def _replace(x, a, p, r, flags=None):
     v = x(a)
-    return V.string_like(v, F.regexp_replace(V.plain_text(v), _pattern(x, p, flags), V.plain_text(x(r))))
+    return V.string_like(v, F.regexp_replace(V.plain_text(v), _pattern(x, p, flags), _replacement(x, r, flags)))
 
 
 def _hash(f):

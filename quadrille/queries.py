@@ -856,6 +856,27 @@ def _orders_after(spark, sf_dir):
     return ds.query("SELECT ?c (COUNT(?b) AS ?n) (MAX(?p) AS ?largest) { ?a v:next_ref+ ?b . ?a v:o_custkey_ref ?c . ?b v:o_totalprice ?p } GROUP BY ?c").native()
 
 
+case(
+    "regex_flags_x_q", "part",
+    """SELECT ?k (REGEX(?t, "^ P R O M O [ ]", "x") AS ?x) (REGEX(?t, "promo b.*", "q") AS ?q) (REGEX(?t, "promo ", "qi") AS ?qi) (REPLACE(?t, " ", "$0", "q") AS ?r)
+      WHERE { ?p v:p_partkey ?k ; v:p_type ?t }""",
+    "SELECT p_partkey AS k, starts_with(p_type, 'PROMO ') AS x, contains(p_type, 'promo b.*') AS q, contains(lower(p_type), 'promo ') AS qi, replace(p_type, ' ', '$0') AS r FROM part",
+)
+
+
+@query("store_changes", f"SELECT step, s, o FROM (SELECT 'after' AS step, '{EX}orders/' || o_orderkey AS s, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS o FROM orders UNION ALL SELECT 'before', '{EX}orders/' || o_orderkey, o_orderstatus FROM orders) WHERE o IN ('done', 'P')")
+def _store_changes(spark, sf_dir):
+    """Orders kept on disk and then changed: only the changes are written, and patterns by object read their order."""
+    from .sources.store import open_store
+
+    store = open_store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    quads = explicit(spark, sf_dir, "orders").quads.where(F.col("p.lex") == V + "o_orderstatus")
+    before, gone = store.commit(quads), quads.where(F.col("o.lex") == "F")
+    after = store.commit_changes(gone.withColumn("o", make(3, F.lit("done"))), gone)
+    found = [Dataset(spark, store.open(n), PREFIXES).query(f'SELECT ?s ?o {{ VALUES ?o {{ "done" "P" }} ?s v:o_orderstatus ?o }}').native().withColumn("step", F.lit(step)) for n, step in ((before, "before"), (after, "after"))]
+    return found[0].unionByName(found[1])
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _sparql(c) for n, c in CASES.items()} | FUNCTIONS
 

@@ -58,6 +58,12 @@ CASES = {
     "SELECT ?x { BIND(1/0 AS ?x) }": [""],
     "SELECT ?l { :a :name ?n BIND(LANG(?n) AS ?l) }": ["l=", "l=en"],
     'SELECT ?r { BIND(REPLACE("abcab", "(a)b", "$1-") AS ?r) }': ["r=a-ca-"],
+    'SELECT ?r { BIND(REPLACE("a.b[a.b", "a.b[", "$1\\\\", "q") AS ?r) }': ["r=$1\\\\a.b"],
+    'SELECT ?r { BIND(REGEX("hello world", "hello[ ]w  o r\\n l D$", "xi") AS ?r) }': ["r=true^^xsd:boolean"],
+    'SELECT ?r { BIND(REGEX("axb", "a.b", "q") AS ?r) }': ["r=false^^xsd:boolean"],
+    'SELECT ?r { BIND(REGEX("A.B", "a.b", "qi") AS ?r) }': ["r=true^^xsd:boolean"],
+    'SELECT ?r { BIND(REGEX("ab", "ab", "z") AS ?r) }': [""],
+    'SELECT ?r { VALUES ?f { "x" "q" "" "z" } BIND(REGEX("a b", "a b", ?f) AS ?r) }': ["", "r=false^^xsd:boolean", "r=true^^xsd:boolean", "r=true^^xsd:boolean"],
     'SELECT ?r { BIND(STRLANG(SUBSTR("hello", 2, 3), "EN") AS ?r) }': ["r=ell@en"],
     'SELECT ?r { BIND(CONCAT("a"@en, "b"@en) AS ?r) }': ["r=ab@en"],
     "SELECT ?h ?m ?s ?z { :d :when ?w BIND(HOURS(?w) AS ?h) BIND(MINUTES(?w) AS ?m) BIND(SECONDS(?w) AS ?s) BIND(TIMEZONE(?w) AS ?z) }": [f"h=14{INT} m=45{INT} s=13.815^^xsd:decimal z=-PT5H^^xsd:dayTimeDuration"],
