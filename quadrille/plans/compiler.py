@@ -37,10 +37,10 @@ def has_exists(e) -> bool:
 
 
 def connected(patterns: list) -> list[list]:
-    """Patterns parted into groups without a common variable, so that paths can join them before they would multiply."""
+    """Patterns parted into groups without a common variable or subject, so that paths can join them before they would multiply."""
     groups: list[tuple[set, list]] = []
     for p in patterns:
-        names = {t.name for t in p if isinstance(t, Var)}
+        names = {t.name for t in p if isinstance(t, Var)} | {p[0]}
         near = [g for g in groups if g[0] & names]
         groups = [g for g in groups if not any(g is x for x in near)] + [(names.union(*(g[0] for g in near)), [*(x for g in near for x in g[1]), p])]
     return [g[1] for g in groups] or [[]]
