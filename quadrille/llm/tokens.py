@@ -366,8 +366,22 @@ class WordCounter:
         return [(u, self.normal(u)) for u in map("".join, units)]
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
-        """Code points of the longest prefix whose count is within the budget."""
-        return cut(self.every_prefix(text), budget)
+        """Code points of the longest prefix whose count is within the budget.
+
+        In a plain text the counts before pre-tokens only grow, so the cut is in the first whose end is over the budget, at a
+        place that its own table of prefixes gives; what follows need not be read.
+        """
+        text = text or ""
+        if self.plain(text) is None or self.special.search(text):
+            return cut(self.every_prefix(text), budget)
+        base = 0
+        for m in re.finditer(WORD_PATTERN, text.lower()):
+            n = self.totals.get(m[0]) or self.total(m[0])
+            if base + n > budget:
+                fits = [i for i, k in enumerate(self.table(m[0]), 1) if base + k <= budget]
+                return m.start() + (fits[-1] if fits else 0)
+            base += n
+        return len(text)
 
 
 def cut(counts: np.ndarray, budget: int) -> int:

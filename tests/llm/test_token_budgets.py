@@ -13,6 +13,7 @@ def test_the_longest_prefix_within_the_limit(spark):
     rng = random.Random(8)
     words = ["hello", "Thtionly", "naïve", "don't", "x=1;", "\n\n", "日本語", "supercalifragilistic", "42"]
     texts = [None, "", "one", *(" ".join(rng.choice(words) for _ in range(n)) for n in (5, 9, 10, 14, 40, 90))]
+    texts += [" ".join(rng.choice(["supercalifragilistic", "don't", "we'll", "x=1;", "  ", "naïve", "42"]) for _ in range(n)) for n in (6, 12, 30, 60)]  # plain ones
     library = Tokenizer.from_file(PATH)
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     frame = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, fit_chars int")
