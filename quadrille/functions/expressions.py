@@ -14,7 +14,7 @@ from ..plans import nodes as N
 from ..terms import LITERAL, RDF, XSD, Term, Var, lit, make
 from . import values as V
 from .registry import FUNCTIONS
-from .values import DEC, Val
+from .values import BIG, DEC, Val
 
 BUILT: dict[str, Callable] = {}
 
@@ -123,6 +123,9 @@ def _bound(x, v):
 def compare(op: str, a: Val, b: Val) -> Column:
     apply = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[op]
     if a.kind in V.NUMBERS and b.kind in V.NUMBERS:
+        if {a.kind, b.kind} == {"big", "dec"}:  # beyond a decimal's digits, doubles tell
+            p, q = (v.col.try_cast(DEC) for v in (a, b))
+            return F.coalesce(apply(p, q), apply(V.double_of(a), V.double_of(b)))
         return apply(V.double_of(a), V.double_of(b)) if "dbl" in (a.kind, b.kind) else apply(a.col, b.col)
     if a.kind == b.kind and a.kind in ("str", "bool", "dtm"):
         return apply(a.col, b.col)
@@ -134,7 +137,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
     numeric = None
     if m is not None and n is not None:
         m, n = V.widen(m), V.widen(n)
-        numeric = F.when((m.rank < 2) & (n.rank < 2) & m.dec.isNotNull() & n.dec.isNotNull(), apply(m.dec, n.dec)).otherwise(apply(m.col, n.col))
+        numeric = F.when((m.rank == 0) & (n.rank == 0) & m.whole.isNotNull() & n.whole.isNotNull(), apply(m.whole, n.whole)).when((m.rank < 2) & (n.rank < 2) & m.dec.isNotNull() & n.dec.isNotNull(), apply(m.dec, n.dec)).otherwise(apply(m.col, n.col))
         both = m.rank.isNotNull() & n.rank.isNotNull()
     if op == "=" and a.kind == b.kind == "iri":
         return V.equal_terms(a, b)
@@ -221,6 +224,21 @@ def over(a: Column, b: Column) -> Column:
     return F.try_divide(a.try_cast("decimal(28,9)"), b.try_cast("decimal(28,9)")).try_cast(DEC)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """A quotient of integers; of those beyond 20 digits with 6 digits after the point."""
+    divided = lambda t: F.try_divide(a.try_cast(t), b.try_cast(t)).try_cast(DEC)
+    return F.coalesce(divided("decimal(20,0)"), divided(BIG))
+
+
+def _integers(op: str, plain, a: Val, b: Val) -> Val:
+    """Longs as far as their bounds tell that the result is one, else decimals of 38 digits."""
+    if a.kind == b.kind == "int":
+        bits = a.bits + b.bits if op == "*" else max(a.bits, b.bits) + 1
+        if bits < 63:
+            return Val("int", plain(a.col, b.col), bits=bits)
+    return Val("big", plain(a.col.cast(BIG), b.col.cast(BIG)).try_cast(BIG))
+
+
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     if {a.kind, b.kind} & {"term", "dtm"}:
         return Val("term", V.let([V.term_of(a), V.term_of(b)], lambda p, q: _of_terms(op, Val("term", p), Val("term", q))), deep=True)
@@ -232,9 +250,9 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         if "dbl" in (a.kind, b.kind):
             p, q = V.double_of(a), V.double_of(b)
             return Val("dbl", F.when(q != 0, p / q) if op == "/" else {"+": p + q, "-": p - q, "*": p * q}[op])
-        if a.kind == b.kind == "int":
-            return Val("dec", F.try_divide(a.col.cast("decimal(20,0)"), b.col.cast("decimal(20,0)")).try_cast(DEC)) if op == "/" else Val("int", plain(a.col, b.col))
-        p, q = a.col.cast(DEC), b.col.cast(DEC)
+        if {a.kind, b.kind} <= {"int", "big"}:
+            return Val("dec", ratio(a.col, b.col)) if op == "/" else _integers(op, plain, a, b)
+        p, q = a.col.try_cast(DEC), b.col.try_cast(DEC)
         return Val("dec", {"*": times, "/": over}.get(op, lambda p, q: plain(p, q).try_cast(DEC))(p, q))
     return _numbers(op, V.widen(a), V.widen(b))
 
@@ -244,13 +262,15 @@ def _numbers(op: str, a: Val, b: Val) -> Val:
     rank = F.greatest(a.rank, b.rank, F.lit(1 if op == "/" else 0))
     rank = F.when(a.rank.isNotNull() & b.rank.isNotNull(), rank)
     if op == "/":
-        rank = F.when((rank > 1) | (b.dec != 0), rank)
-        dbl, dec = F.try_divide(a.col, b.col), over(a.dec, b.dec)
+        rank = F.when((rank > 1) | (b.dec != 0) | (b.whole != 0), rank)
+        dbl, dec = F.try_divide(a.col, b.col), F.coalesce(ratio(a.whole, b.whole), over(a.dec, b.dec))
     elif op == "*":
         dbl, dec = a.col * b.col, times(a.dec, b.dec)
     else:
         dbl, dec = (a.col + b.col if op == "+" else a.col - b.col), plain(a.dec, b.dec).try_cast(DEC)
-    return Val("num", F.when(rank.isNotNull(), dbl), rank=rank, dec=F.when(rank < 2, dec))
+    whole = F.lit(None).cast(BIG) if op == "/" else F.when(rank == 0, plain(a.whole, b.whole).try_cast(BIG))
+    dec = F.when(rank == 1, dec).when(rank == 0, whole.try_cast(DEC))
+    return Val("num", F.when(rank.isNotNull(), dbl), rank=rank, whole=whole, dec=dec)
 
 
 DURATION = r"^(-)?P(?:([0-9]+)Y)?(?:([0-9]+)M)?(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?$"
@@ -309,16 +329,20 @@ for _op in "+-*/":
     BUILT[_op] = lambda x, a, b, op=_op: arithmetic(op, x(a), x(b))
 
 
-def _map_number(v: Val, f: Callable[[Column, bool], Column]) -> Val:
-    """A function of a number that keeps its type; ``f`` gets the column and whether it is a double."""
+def _map_number(v: Val, f: Callable[[Column, bool], Column], rounds: bool = False) -> Val:
+    """A function of a number that keeps its type; ``f`` gets the column and whether it is a double, and leaves integers alone if it ``rounds``."""
     if v.deep:
-        return Val("term", V.let([v.col], lambda c: V.term_of(_map_number(Val("term", c), f))), deep=True)
+        return Val("term", V.let([v.col], lambda c: V.term_of(_map_number(Val("term", c), f, rounds))), deep=True)
     n = V.number(v)
     if n is None:
         return V.null()
     if n.kind == "num":
-        return Val("num", f(n.col, True), rank=n.rank, dec=f(n.dec, False).try_cast(DEC))
-    return Val(n.kind, f(n.col, n.kind == "dbl").cast({"int": "long", "dec": DEC, "dbl": "double"}[n.kind]))
+        return Val("num", f(n.col, True), rank=n.rank, whole=n.whole if rounds else f(n.whole, False).try_cast(BIG), dec=f(n.dec, False).try_cast(DEC))
+    if n.kind in ("int", "big"):
+        if rounds:
+            return n
+        return Val("int", f(n.col, False), bits=n.bits) if n.kind == "int" and n.bits < 63 else Val("big", f(n.col.cast(BIG), False).cast(BIG))
+    return Val(n.kind, f(n.col, n.kind == "dbl").cast(V.NATIVE[n.kind]))
 
 
 @built("u-")
@@ -338,17 +362,17 @@ def _abs(x, a):
 
 @built("CEIL")
 def _ceil(x, a):
-    return _map_number(x(a), lambda c, _: F.ceil(c))
+    return _map_number(x(a), lambda c, _: F.ceil(c), True)
 
 
 @built("FLOOR")
 def _floor(x, a):
-    return _map_number(x(a), lambda c, _: F.floor(c))
+    return _map_number(x(a), lambda c, _: F.floor(c), True)
 
 
 @built("ROUND")
 def _round(x, a):
-    return _map_number(x(a), lambda c, dbl: F.floor(c + F.lit(0.5) if dbl else c.cast(DEC) + F.lit("0.5").cast("decimal(2,1)")))
+    return _map_number(x(a), lambda c, dbl: F.floor(c + F.lit(0.5) if dbl else c.cast(DEC) + F.lit("0.5").cast("decimal(2,1)")), True)
 
 
 @built("RAND")
@@ -468,7 +492,7 @@ def _compatible(a: Val, b: Val) -> Column:
 
 @built("STRLEN")
 def _strlen(x, a):
-    return Val("int", F.length(V.plain_text(x(a))).cast("long"))
+    return Val("int", F.length(V.plain_text(x(a))).cast("long"), bits=31)
 
 
 @built("UCASE")
@@ -621,7 +645,7 @@ def _part(group: int, native, time: bool):
     def g(x, a):
         v = x(a)
         if v.kind == "dtm":
-            return Val("dec" if group == 6 else "int", native(v.col).cast(DEC if group == 6 else "long"))
+            return Val("dec", native(v.col).cast(DEC)) if group == 6 else Val("int", native(v.col).cast("long"), bits=31)
         if v.kind != "term":
             return V.null()
         types = [XSD + "dateTime"] if time else [XSD + "dateTime", XSD + "date"]
@@ -666,9 +690,15 @@ def _cast_string(v: Val) -> Val:
     return Val("str", F.when(v.col["k"] != 1, v.col["lex"]) if v.kind == "term" else V.text_of(v))
 
 
+def _truncated(c: Column) -> Column:
+    """A decimal or double without what is after its point; doubles beyond a long have nothing there."""
+    return F.coalesce(c.try_cast("long").cast(BIG), F.when(c < 0, F.ceil(c.try_cast(DEC))).otherwise(F.floor(c.try_cast(DEC))).cast(BIG), c.try_cast(BIG))
+
+
 def _cast_number(kind: str):
-    pattern = {"int": V.INTEGER_TEXT, "dec": V.DECIMAL_TEXT, "dbl": V.DOUBLE_TEXT}[kind]
-    to = {"int": "long", "dec": DEC, "dbl": "double"}[kind]
+    pattern = {"big": V.INTEGER_TEXT, "dec": V.DECIMAL_TEXT, "dbl": V.DOUBLE_TEXT}[kind]
+    to = V.NATIVE[kind]
+    narrow = _truncated if kind == "big" else lambda c: c.try_cast(to)
 
     def from_text(text: Column) -> Column:
         return F.when(text.rlike(pattern), F.regexp_replace(F.trim(text), "INF", "Infinity").try_cast(to))
@@ -678,15 +708,17 @@ def _cast_number(kind: str):
             return Val(kind, v.col.cast("int").cast(to))
         if v.kind == "str":
             return Val(kind, from_text(v.col))
+        if v.kind in ("int", "big"):
+            return v if kind == "big" else Val(kind, v.col.try_cast(to))
         if v.kind in V.NUMBERS:
-            return Val(kind, v.col.try_cast(to))
+            return Val(kind, narrow(v.col))
         if v.kind == "num":
-            return Val(kind, F.coalesce(v.dec.try_cast(to), v.col.try_cast(to)))
+            return Val(kind, F.coalesce(v.whole.try_cast(to), narrow(v.dec), narrow(v.col)))
         if v.kind != "term":
             return V.null()
         n, dt = V.number(v), v.col["dt"]
         boolean = F.when(v.col["lex"].isin("true", "1"), 1).when(v.col["lex"].isin("false", "0"), 0).cast(to)
-        number = F.coalesce(n.dec.try_cast(to), n.col.try_cast(to))
+        number = F.coalesce(n.whole.try_cast(to), narrow(n.dec), narrow(n.col))
         return Val(kind, F.when((v.col["k"] == LITERAL) & dt.isNull() & v.col["lang"].isNull(), from_text(v.col["lex"])).when(dt == XSD + "boolean", boolean).when(n.rank.isNotNull(), number))
 
     return g
@@ -717,7 +749,7 @@ def _cast_datetime(name: str, pattern: str):
 
 CASTS = {
     XSD + "string": _cast_string,
-    XSD + "integer": _cast_number("int"),
+    XSD + "integer": _cast_number("big"),
     XSD + "decimal": _cast_number("dec"),
     XSD + "double": _cast_number("dbl"),
     XSD + "float": lambda v: Val("term", make(3, V.text_of(_cast_number("dbl")(v)), XSD + "float")),

@@ -2,9 +2,9 @@
 
 A value of kind ``term`` is a term struct of any kind. The other kinds are native columns whose terms
 have one datatype, so arithmetic, comparison, joins and sorts on them stay native: ``int`` (long),
-``dec`` (decimal(38,18)), ``dbl`` (double), ``str``, ``bool``, ``dtm`` (timestamp without zone) and ``iri``
+``big`` (decimal(38,0), an integer that may not fit a long), ``dec`` (decimal(38,18)), ``dbl`` (double), ``str``, ``bool``, ``dtm`` (timestamp without zone) and ``iri``
 (``prefix`` and a key column). ``num`` is a number whose type is known by row only: its rank (0 integer,
-1 decimal, 2 float, 3 double) and a decimal and a double lane. NULL is unbound or, in expressions, an error.
+1 decimal, 2 float, 3 double) and an integer, a decimal and a double lane. NULL is unbound or, in expressions, an error.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..terms import INTEGERS, LITERAL, XSD, Term, lit, make
 
-DEC = "decimal(38,18)"
-DATATYPES = {"int": XSD + "integer", "dec": XSD + "decimal", "dbl": XSD + "double", "bool": XSD + "boolean", "dtm": XSD + "dateTime", "str": XSD + "string"}
-NUMBERS = ("int", "dec", "dbl")
+DEC, BIG = "decimal(38,18)", "decimal(38,0)"
+NATIVE = {"int": "long", "big": BIG, "dec": DEC, "dbl": "double"}
+DATATYPES = {"int": XSD + "integer", "big": XSD + "integer", "dec": XSD + "decimal", "dbl": XSD + "double", "bool": XSD + "boolean", "dtm": XSD + "dateTime", "str": XSD + "string"}
+NUMBERS = ("int", "big", "dec", "dbl")
 INTEGER_TEXT, DECIMAL_TEXT = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$"
 DOUBLE_TEXT = r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)\s*$"
 
@@ -29,13 +30,15 @@ class Val:
     kind: str
     col: Column
     prefix: str = ""
+    bits: int = 63  # of int: no value is beyond 2 to this power
     rank: Column | None = None  # of num
+    whole: Column | None = None  # of num, where its rank is 0
     dec: Column | None = None  # of num; col is its double lane
     deep: bool = False  # a computed term, to be named before it is read many times
     missing: bool = False  # never bound
 
     def named(self, name: str) -> Val:
-        return Val(self.kind, F.col(f"`{name}`"), self.prefix)
+        return Val(self.kind, F.col(f"`{name}`"), self.prefix, self.bits)
 
     def same_form(self, other: Val) -> bool:
         return self.kind == other.kind and self.kind != "num" and self.prefix == other.prefix
@@ -57,8 +60,8 @@ def constant(t: Term) -> Val:
         v = t.value()
         if t.dt is None:
             return Val("str", F.lit(t.lex))
-        if t.dt == XSD + "integer" and isinstance(v, int) and abs(v) < 2**63 and str(v) == t.lex:
-            return Val("int", F.lit(v).cast("long"))
+        if t.dt == XSD + "integer" and isinstance(v, int) and abs(v) < 10**38 and str(v) == t.lex:
+            return Val("int", F.lit(v).cast("long"), bits=v.bit_length()) if abs(v) < 2**63 else Val("big", F.lit(t.lex).cast(BIG))
         if t.dt == XSD + "double" and isinstance(v, float):
             return Val("dbl", F.lit(v))
         if t.dt == XSD + "decimal" and isinstance(v, Decimal) and abs(v) < 10**18:
@@ -96,7 +99,7 @@ def text_of(v: Val) -> Column:
         case "dtm":
             return datetime_text(v.col)
         case "num":
-            return F.when(v.rank == 0, v.dec.cast("decimal(38,0)").cast("string")).when(v.rank == 1, decimal_text(v.dec)).when(v.rank > 1, double_text(v.col))
+            return F.when(v.rank == 0, v.whole.cast("string")).when(v.rank == 1, decimal_text(v.dec)).when(v.rank > 1, double_text(v.col))
     return v.col.cast("string")
 
 
@@ -123,6 +126,8 @@ def unify(vals: list[Val]) -> list[Val]:
     known = [v for v in vals if not v.missing]
     if known and all(v.same_form(known[0]) for v in known):
         return [Val(known[0].kind, F.lit(None), known[0].prefix) if v.missing else v for v in vals]
+    if known and all(v.kind in ("int", "big") for v in known):
+        return [Val("big", v.col.cast(BIG)) for v in vals]
     return [as_term(v) for v in vals]
 
 
@@ -140,15 +145,18 @@ def number(v: Val) -> Val | None:
         .when((dt == XSD + "double") & lex.rlike(DOUBLE_TEXT), 3)
     )
     text = F.regexp_replace(F.trim(lex), "INF", "Infinity")
-    return Val("num", F.when(rank.isNotNull(), text.try_cast("double")), rank=rank, dec=F.when(rank < 2, F.trim(lex).try_cast(DEC)))
+    whole, dec = F.when(rank == 0, F.trim(lex).try_cast(BIG)), F.when(rank < 2, F.trim(lex).try_cast(DEC))
+    return Val("num", F.when(rank.isNotNull(), text.try_cast("double")), rank=rank, whole=whole, dec=dec)
 
 
 def widen(v: Val) -> Val:
     """A number as kind num."""
     if v.kind == "num":
         return v
-    rank = F.lit({"int": 0, "dec": 1, "dbl": 3}[v.kind])
-    return Val("num", v.col.cast("double"), rank=F.when(v.col.isNotNull(), rank), dec=F.lit(None).cast(DEC) if v.kind == "dbl" else v.col.cast(DEC))
+    rank = F.lit({"int": 0, "big": 0, "dec": 1, "dbl": 3}[v.kind])
+    none = F.lit(None)
+    whole = v.col.cast(BIG) if v.kind in ("int", "big") else none.cast(BIG)
+    return Val("num", v.col.cast("double"), rank=F.when(v.col.isNotNull(), rank), whole=whole, dec=none.cast(DEC) if v.kind == "dbl" else v.col.try_cast(DEC))
 
 
 def double_of(v: Val) -> Column:
@@ -162,7 +170,7 @@ def truth(v: Val) -> Column:
             return v.col
         case "str":
             return F.length(v.col) > 0
-        case "int" | "dec":
+        case "int" | "big" | "dec":
             return v.col != 0
         case "dbl":
             return (v.col != 0) & ~F.isnan(v.col)
@@ -226,7 +234,7 @@ def sort_key(v: Val) -> Column:
         return let([v.col], lambda c: sort_key(Val("term", c)))
     n, (micros, _, _) = number(v), instant(v)
     dt = F.when(n.rank.isNotNull(), "").otherwise(F.coalesce(v.col["dt"], F.lit(XSD + "string")))
-    key = F.struct(v.col["k"].alias("k"), dt.alias("dt"), F.coalesce(v.col["lang"], F.lit("")).alias("lang"), n.col.alias("n"), n.dec.alias("dec"), micros.alias("t"), v.col["lex"].alias("lex"))
+    key = F.struct(v.col["k"].alias("k"), dt.alias("dt"), F.coalesce(v.col["lang"], F.lit("")).alias("lang"), n.col.alias("n"), n.dec.alias("dec"), n.whole.alias("whole"), micros.alias("t"), v.col["lex"].alias("lex"))
     return F.when(v.col.isNotNull(), key)
 
 

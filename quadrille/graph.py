@@ -45,13 +45,17 @@ class Result:
         """Solutions as term columns, named by variable."""
         return self.plan.df.select(*[V.term_of(self.plan.vars[n]).alias(n) for n in self.names])
 
-    def native(self, decimals: str = "double") -> DataFrame:
-        """Solutions as native columns: numbers, strings, booleans, timestamps; IRIs and other terms as text."""
+    def native(self, decimals: str = "double", integers: str = V.BIG) -> DataFrame:
+        """Solutions as native columns: numbers, strings, booleans, timestamps; IRIs and other terms as text.
+
+        ``integers`` is the type of those that may not fit a long; a value beyond it is an error.
+        """
         def one(n: str) -> Column:
             v = self.plan.vars[n]
             if v.kind in ("term", "iri", "num"):
                 return V.text_of(v).alias(n)
-            return (v.col.cast(decimals) if v.kind == "dec" else v.col).alias(n)
+            to = {"dec": decimals, "big": integers}.get(v.kind)
+            return (v.col.cast(to) if to else v.col).alias(n)
 
         return self.plan.df.select(*map(one, self.names))
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.expressions import Expressions, over
-from ..functions.values import DEC, Val
+from ..functions.expressions import Expressions, over, ratio
+from ..functions.values import BIG, DEC, Val
 from ..operators import paths
 from ..sources import remote
 from ..sources.quads import unit
@@ -138,7 +138,7 @@ class Compiler:
         for n, terms in zip(node.names, columns):
             kinds = {V.constant(t).kind for t in terms if t is not None}
             kind = kinds.pop() if len(kinds) == 1 else "term"
-            native = {"int": "bigint", "str": "string", "dbl": "double"}.get(kind)
+            native = {"int": "bigint", "str": "string", "dbl": "double"}.get(kind)  # of integers, those within a long
             schema.append(f"`{names[n]}` {native or TERM}")
             data.append([None if t is None else t.value() if native else tuple(t) for t in terms])
             vals[n] = Val(kind if native else "term", F.col(names[n]))
@@ -282,7 +282,7 @@ class Compiler:
                 out = add(pick)
                 return cols, lambda: Val(w.kind, out, w.prefix)
             out = add((F.min if a.name == "MIN" else F.max)(v.col))
-            return cols, lambda: Val(v.kind, out)
+            return cols, lambda: Val(v.kind, out, bits=v.bits)
         if a.name == "SAMPLE":
             w = V.as_term(v) if v.kind == "num" else v
             out = add(F.any_value(w.col, True))
@@ -297,31 +297,39 @@ class Compiler:
         count = F.count_distinct if a.distinct else F.count
         if n is None:
             bound = add(F.count(v.col))
-            return lambda: Val("int", F.when(bound == 0, F.lit(0).cast("long")))
+            return lambda: Val("int", F.when(bound == 0, F.lit(0).cast("long")), bits=0)
         if n.kind == "dbl":
             out = add((F.sum_distinct if a.distinct else F.sum)(n.col) if a.name == "SUM" else F.try_divide(F.sum_distinct(n.col), F.count_distinct(n.col)) if a.distinct else F.avg(n.col))
             return lambda: Val("dbl", F.coalesce(out, F.lit(0.0)))
-        if n.kind in ("int", "dec"):
-            if n.kind == "int" and a.name == "SUM":
-                out = add(total(n.col))
-                return lambda: Val("int", F.coalesce(out, F.lit(0).cast("long")))
-            sums = add(total(n.col.cast(DEC)).try_cast(DEC))
+        if n.kind in ("int", "big", "dec"):
+            wide = {"int": "decimal(28,0)", "big": BIG, "dec": DEC}[n.kind]  # 10**10 longs and more add up within 38 digits
+            sums, rows = add(total(n.col.cast(wide))), add(count(n.col))
+            kind, to = ("dec", DEC) if n.kind == "dec" else ("big", BIG)
             if a.name == "SUM":
-                return lambda: Val("dec", F.coalesce(sums, F.lit(0).cast(DEC)))
-            rows = add(count(n.col))
-            return lambda: Val("dec", F.coalesce(over(sums, rows.cast("decimal(20,0)")), F.lit(0).cast(DEC)))
+                return lambda: Val(kind, F.when(rows == 0, F.lit(0).cast(to)).otherwise(sums.try_cast(to)))
+            mean = over(sums, rows.cast("decimal(20,0)"))
+            if kind == "big":
+                mean = F.coalesce(mean, ratio(sums, rows))
+            return lambda: Val("dec", F.when(rows == 0, F.lit(0).cast(DEC)).otherwise(mean))
         bound = V.term_of(v)
         wrong = add(F.count(F.when(bound.isNotNull() & n.rank.isNull(), 1)))
         rank = add(F.coalesce(F.max(n.rank), F.lit(0)))
-        dbl, dec = add(F.coalesce((F.sum_distinct if a.distinct else F.sum)(n.col), F.lit(0.0))), add(F.coalesce(total(n.dec).try_cast(DEC), F.lit(0).cast(DEC)))
         rows = add(count(n.col))
+        # a number beyond its lane's digits leaves the lane's total unknown
+        lost_whole, lost = add(F.count(F.when((n.rank == 0) & n.whole.isNull(), 1))), add(F.count(F.when((n.rank < 2) & n.dec.isNull(), 1)))
+        dbl = add(F.coalesce((F.sum_distinct if a.distinct else F.sum)(n.col), F.lit(0.0)))
+        whole_sum, dec_sum = add(total(n.whole)), add(total(n.dec))
+        zero = lambda t: F.when(rows == 0, F.lit(0).cast(t))
 
         def finish() -> Val:
             ok = F.when(wrong == 0, rank)
+            whole = zero(BIG).when((rank == 0) & (lost_whole == 0), whole_sum.try_cast(BIG))
+            dec = zero(DEC).when((rank == 0), whole.try_cast(DEC)).when(lost == 0, dec_sum.try_cast(DEC))
             if a.name == "SUM":
-                return Val("num", dbl, rank=ok, dec=dec)
+                return Val("num", dbl, rank=ok, whole=whole, dec=dec)
             some = F.when(rows == 0, F.lit(0)).otherwise(F.greatest(rank, F.lit(1)))
-            return Val("num", F.coalesce(F.try_divide(dbl, rows), F.lit(0.0)), rank=F.when(wrong == 0, some), dec=F.coalesce(over(dec, rows.cast("decimal(20,0)")), F.lit(0).cast(DEC)))
+            mean = F.coalesce(over(dec, rows.cast("decimal(20,0)")), F.when(rank == 0, ratio(whole, rows)))
+            return Val("num", F.coalesce(F.try_divide(dbl, rows), F.lit(0.0)), rank=F.when(wrong == 0, some), whole=zero(BIG), dec=zero(DEC).otherwise(mean))
 
         return finish
 

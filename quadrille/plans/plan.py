@@ -92,7 +92,7 @@ def merged(a: Plan, b: Plan, names) -> dict[str, Val]:
     for n in names:
         if n not in a.certain:
             v = a.vars[n]
-            out[n] = Val(v.kind, F.coalesce(v.col, b.vars[n].col), v.prefix)
+            out[n] = Val(v.kind, F.coalesce(v.col, b.vars[n].col), v.prefix, max(v.bits, b.vars[n].bits))
     return out
 
 
@@ -225,7 +225,7 @@ def exists(a: Plan, b: Plan, on=None, disjoint: bool = True) -> tuple[Plan, Colu
 
 
 def _found(a: Plan, b: Plan, meets, on, names) -> Column:
-    outer = Plan(a.df, {n: Val(v.kind, v.col.outer(), v.prefix) for n, v in a.vars.items()}, a.certain)
+    outer = Plan(a.df, {n: Val(v.kind, v.col.outer(), v.prefix, v.bits) for n, v in a.vars.items()}, a.certain)
     condition = meets(outer)
     if on is not None:
         extra = on(merged(outer, b, names))

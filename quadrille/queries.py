@@ -103,6 +103,16 @@ case(
     "SELECT ?k (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) (-?b * 2 + 1 AS ?x) (?k - 3 AS ?m) (?k * ?k AS ?sq) WHERE { ?s v:c_custkey ?k ; v:c_acctbal ?b }",
     "SELECT c_custkey AS k, abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, floor(c_acctbal + 0.5) AS r, -c_acctbal * 2 + 1 AS x, c_custkey - 3 AS m, c_custkey * c_custkey AS sq FROM customer",
 )
+case(
+    "fn_integers_wide", "orders",
+    'SELECT ?k (STR(?k * ?k * ?k * 1000000000000000) AS ?x) (STR(9223372036854775807 + ?k) AS ?y) (STR(-?k - 9223372036854775808) AS ?z) (?k * ?k * ?k * 1000000000000000 > 18446744073709551616 AS ?above) (STR(xsd:integer(CONCAT("100000000000000000000", STR(?k)))) AS ?t) WHERE { ?o v:o_orderkey ?k }',
+    "SELECT o_orderkey AS k, CAST(o_orderkey::HUGEINT * o_orderkey * o_orderkey * 1000000000000000 AS VARCHAR) AS x, CAST(9223372036854775807::HUGEINT + o_orderkey AS VARCHAR) AS y, CAST(-(o_orderkey::HUGEINT) - 9223372036854775808 AS VARCHAR) AS z, o_orderkey::HUGEINT * o_orderkey * o_orderkey * 1000000000000000 > 18446744073709551616 AS above, '100000000000000000000' || o_orderkey AS t FROM orders",
+)
+case(
+    "agg_sum_wide", "orders lineitem",
+    "SELECT ?p (STR(SUM(?k * 4611686018427387904)) AS ?s) (STR(MAX(?k + 9223372036854775807)) AS ?hi) (STR(SUM(DISTINCT ?k * 4611686018427387904)) AS ?d) WHERE { ?o v:o_orderpriority ?p ; v:o_orderkey ?k . ?l v:l_orderkey_ref ?o } GROUP BY ?p",
+    "SELECT o_orderpriority AS p, CAST(sum(o_orderkey::HUGEINT * 4611686018427387904) AS VARCHAR) AS s, CAST(max(o_orderkey + 9223372036854775807::HUGEINT) AS VARCHAR) AS hi, CAST(sum(DISTINCT o_orderkey::HUGEINT * 4611686018427387904) AS VARCHAR) AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+)
 case(
     "fn_divide", "part",
     "SELECT ?k (?p / ?s AS ?d) (?s / 4 AS ?q) WHERE { ?x v:p_partkey ?k ; v:p_retailprice ?p ; v:p_size ?s FILTER(?s != 0) }",
@@ -404,7 +414,7 @@ case(
 
 
 def _sparql(c: Case) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: dataset(spark, sf_dir, c.tables.split()).query(c.sparql).native()
+    return lambda spark, sf_dir: dataset(spark, sf_dir, c.tables.split()).query(c.sparql).native(integers="bigint")
 
 
 # Graphs as results: subject, predicate, object in N-Triples form

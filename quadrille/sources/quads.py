@@ -128,9 +128,10 @@ class Property:
     column: str
     kind: str
     prefix: str = ""
+    bits: int = 63  # of int: no value is beyond 2 to this power
 
     def val(self) -> Val:
-        return Val(self.kind, F.col(f"`{self.column}`"), self.prefix)
+        return Val(self.kind, F.col(f"`{self.column}`"), self.prefix, self.bits)
 
 
 @dataclass
@@ -417,7 +418,7 @@ def map_table(name: str, df: DataFrame, key: str | None, links: dict[str, str] |
             df = df.withColumn(c, F.col(c).cast("long"))
         if kind == "timestamp":
             df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
-        properties.append(Property(IRI(f"{base}v#{c}"), c, native))
+        properties.append(Property(IRI(f"{base}v#{c}"), c, native, bits={"tinyint": 7, "smallint": 15, "int": 31}.get(kind, 63)))
         if links and c in links:
             properties.append(Property(IRI(f"{base}v#{c}_ref"), c, "iri", f"{base}{links[c]}/"))
     at = F.col(key) if key else F.md5(F.to_json(F.struct(*columns)))
