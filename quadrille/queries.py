@@ -19,7 +19,7 @@ from .sources.lift import Column, lift
 from .sources.quads import MappedTables, map_table
 from .streaming.changes import replay
 from .tables import PREFIXES, dataset
-from .terms import IRI, Literal, make, n3, term_schema
+from .terms import IRI, XSD, Literal, lit, make, n3, term_schema
 
 EX = "http://ex/"
 INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
@@ -614,20 +614,43 @@ for _form in ("nt", "turtle"):
     SQL[f"{_form}_roundtrip"] = f"SELECT '' AS g, * FROM ({_N}) UNION ALL SELECT '', * FROM ({_R})"
 
 
-def _text_trip(form: str):
+def _triples_trip(form: str):
     def run(spark, sf_dir):
-        text = writers.to_text(Graph(explicit(spark, sf_dir, "nation", "region").quads).quads, form, PREFIXES)
-        return triples_text(readers.read_text(spark, text, form))
+        path = f"{checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+        writers.write(Graph(explicit(spark, sf_dir, "nation", "region").quads).quads, path, form, PREFIXES)
+        return triples_text(readers.read(spark, path, form))
 
     return run
 
 
 for _form in ("xml", "pretty-xml", "json-ld", "trix", "n3", "longturtle"):
     _key = _form.replace("-", "_") + "_roundtrip"
-    FUNCTIONS[_key] = _text_trip(_form)
+    FUNCTIONS[_key] = _triples_trip(_form)
     SQL[_key] = f"SELECT * FROM ({_N}) UNION ALL SELECT * FROM ({_R})"
 
 
+def _nested_trip(form: str):
+    def run(spark, sf_dir):
+        """Orders as blank nodes of their customers, nested in a folder of documents of 5,000 triples, read and asked."""
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        who, node = make(2, F.concat(F.lit(EX + "customer/"), F.col("o_custkey").cast("string"))), make(1, F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
+        links = orders.select(who.alias("s"), lit(IRI(V + "placed")).alias("p"), node.alias("o"))
+        keys = orders.select(node.alias("s"), lit(IRI(V + "key")).alias("p"), make(3, F.col("o_orderkey").cast("string"), XSD + "integer").alias("o"))
+        states = orders.select(node.alias("s"), lit(IRI(V + "status")).alias("p"), make(3, F.col("o_orderstatus")).alias("o"))
+        quads = links.union(keys).union(states).withColumn("g", lit(None))
+        path = f"{checkpoint_dir(spark)}/nested-{uuid.uuid4().hex}"
+        writers.write(quads, path, form, PREFIXES, records=5000)
+        found = Dataset(spark, readers.read(spark, path, form, shared=True), PREFIXES).query("SELECT ?c (STR(?n) AS ?k) (STR(?t) AS ?status) { ?c v:placed ?o . ?o v:key ?n ; v:status ?t }")
+        return found.native()
+
+    return run
+
+
+for _form in ("pretty-xml", "n3"):
+    FUNCTIONS[f"nested_orders_{_form.replace('-', '_')}"] = _nested_trip(_form)
+    SQL[f"nested_orders_{_form.replace('-', '_')}"] = f"SELECT {ref('customer', 'o_custkey')} AS c, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS status FROM orders"
+
+
 @query("patch_replay", f"SELECT * FROM ({_N}) WHERE {_K} >= 5 AND p <> '<{V}n_name>'")
 def _replay(spark, sf_dir):
     """A change log replayed as a stream: everything added, two kinds of quads removed in a later file."""

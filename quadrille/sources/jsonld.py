@@ -190,8 +190,9 @@ class Scripts(HTMLParser):
 
 
 class Walker:
-    def __init__(self, base: str, scope: str, mark: str = "j"):
+    def __init__(self, base: str, scope: str, mark: str = "j", labels: str | None = None):
         self.base, self.scope, self.mark = base, scope, mark
+        self.labels = scope if labels is None else labels
         self.count = itertools.count()
         self.out: list[tuple] = []
 
@@ -203,7 +204,7 @@ class Walker:
         if iri is None:
             return None
         if iri.startswith("_:"):
-            return BNode(self.scope + iri[2:])
+            return BNode(self.labels + iri[2:])
         return IRI(iri) if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>\"{}|^`\\]*$", iri) else None
 
     def emit(self, s, p, o, g) -> None:
@@ -398,7 +399,7 @@ class Walker:
         return Literal(value, datatype=dt)
 
 
-def parse_jsonld(text: str, base: str = "", scope: str = "", loader: Callable[[str], object] | None = None) -> Iterator[tuple]:
+def parse_jsonld(text: str, base: str = "", scope: str = "", loader: Callable[[str], object] | None = None, labels: str | None = None) -> Iterator[tuple]:
     """Quads of a JSON-LD document, or of the JSON-LD scripts of an HTML page."""
     if text.lstrip().startswith("<"):
         page = Scripts()
@@ -406,7 +407,7 @@ def parse_jsonld(text: str, base: str = "", scope: str = "", loader: Callable[[s
         docs = [json.loads(t) for t in page.found]
     else:
         docs = [json.loads(text)]
-    walker = Walker(base, scope, unused("j", "_:", text))
+    walker = Walker(base, scope, unused("j", "_:", text), labels)
     for doc in docs:
         walker.document(doc, Context(base=base or None, loader=loader))
     yield from walker.out

@@ -54,9 +54,10 @@ class Frame:
 
 
 class RdfXml(ContentHandler):
-    def __init__(self, base: str, scope: str, mark: str = "g"):
+    def __init__(self, base: str, scope: str, mark: str = "g", labels: str | None = None):
         super().__init__()
         self.base, self.scope, self.mark = base, scope, mark
+        self.labels = scope if labels is None else labels
         self.out: list[tuple] = []
         self.stack: list[Frame] = []
         self.count = itertools.count()
@@ -127,7 +128,7 @@ class RdfXml(ContentHandler):
         elif given[0] == "ID":
             frame.node = self.identity(base, self._name(values.pop(RDF + "ID")))
         else:
-            frame.node = BNode(self.scope + self._name(values.pop(RDF + "nodeID")))
+            frame.node = BNode(self.labels + self._name(values.pop(RDF + "nodeID")))
         if iri != RDF + "Description":
             self.emit(frame.node, IRI(RDF + "type"), IRI(iri))
         self._attributes(frame.node, values, base, lang)
@@ -193,7 +194,7 @@ class RdfXml(ContentHandler):
             if resource is not None:
                 frame.object = self.resolve(base, resource)
             elif node_id is not None:
-                frame.object = BNode(self.scope + self._name(node_id))
+                frame.object = BNode(self.labels + self._name(node_id))
             elif values:
                 frame.object = self.fresh()
             if values:
@@ -266,16 +267,17 @@ class RdfXml(ContentHandler):
             self.emit(s, IRI(RDF + "type"), IRI(RDF + "Statement"))
 
 
-def parse_rdfxml(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
-    handler = RdfXml(base, scope, unused("g", 'nodeID="', text.replace("'", '"')))
+def parse_rdfxml(text: str, base: str = "", scope: str = "", labels: str | None = None) -> Iterator[tuple]:
+    handler = RdfXml(base, scope, unused("g", 'nodeID="', text.replace("'", '"')), labels)
     _run(text, handler)
     yield from handler.out
 
 
 class Trix(ContentHandler):
-    def __init__(self, base: str, scope: str):
+    def __init__(self, base: str, scope: str, labels: str | None = None):
         super().__init__()
         self.base, self.scope = base, scope
+        self.labels = scope if labels is None else labels
         self.out: list[tuple] = []
         self.graph: Term | None = None
         self.terms: list[Term] | None = None
@@ -303,7 +305,7 @@ class Trix(ContentHandler):
         if local == "uri":
             term = IRI(text.strip(), self.base or None)
         elif local == "id":
-            term = BNode(self.scope + text.strip())
+            term = BNode(self.labels + text.strip())
         elif local == "plainLiteral":
             term = Literal(text, self.attrs.get("lang"))
         elif local == "typedLiteral":
@@ -320,7 +322,7 @@ class Trix(ContentHandler):
                 self.graph = term
 
 
-def parse_trix(text: str, base: str = "", scope: str = "") -> Iterator[tuple]:
-    handler = Trix(base, scope)
+def parse_trix(text: str, base: str = "", scope: str = "", labels: str | None = None) -> Iterator[tuple]:
+    handler = Trix(base, scope, labels)
     _run(text, handler)
     yield from handler.out

@@ -29,9 +29,9 @@ DOCUMENTS: dict[str, Callable[..., Iterator[tuple]]] = {
     "turtle": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "turtle", labels).parse(),
     "trig": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "trig", labels).parse(),
     "n3": lambda text, base, scope, labels=None: TurtleParser(text, base, scope, "n3", labels).parse(),
-    "rdfxml": lambda text, base, scope, labels=None: parse_rdfxml(text, base, scope),
-    "trix": lambda text, base, scope, labels=None: parse_trix(text, base, scope),
-    "jsonld": lambda text, base, scope, labels=None, loader=None: parse_jsonld(text, base, scope, loader),
+    "rdfxml": lambda text, base, scope, labels=None: parse_rdfxml(text, base, scope, labels),
+    "trix": lambda text, base, scope, labels=None: parse_trix(text, base, scope, labels),
+    "jsonld": lambda text, base, scope, labels=None, loader=None: parse_jsonld(text, base, scope, loader, labels),
 }
 LINES: dict[str, Callable[[DataFrame, Column], DataFrame]] = {}
 

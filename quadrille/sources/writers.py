@@ -1,7 +1,8 @@
 """Quads to documents. ``write`` makes a folder of part files in parallel; ``to_text`` one document on the driver.
 
-Line formats are made by the JVM. Parts of the other formats hold whole subjects, each part a document, and name
-every blank node, as other parts may do; ``read`` them with ``shared``.
+Line formats are made by the JVM. Folders of the other formats hold a bounded document to a file, whose blank nodes
+are named, as other files may name them too; ``read`` them with ``shared``. Nested RDF/XML and N3 put all triples of
+linked blank nodes into one document, where they nest.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..terms import BNODE, IRI_KIND, LITERAL, RDF, XSD, Term, n3, shorten
+from ..terms import BNODE, IRI_KIND, LITERAL, RDF, TERM, XSD, Term, n3, shorten
 from .rdfxml import TRIX
 
 NIL = Term(IRI_KIND, RDF + "nil")
@@ -64,30 +65,79 @@ def _ops(quads: DataFrame, code: str) -> DataFrame:
     return quads.select(F.concat(F.lit(code + " "), _nq(quads)).alias("value"))
 
 
+DOCUMENT = 100_000  # triples
+
+
 def write(quads: DataFrame, path: str, form: str = "nquads", prefixes: dict[str, str] | None = None, records: int = 0) -> None:
-    """A folder of files; ``records`` bounds the lines of a file of a line format."""
+    """A folder of files; ``records`` bounds the lines or triples of a file (no bound for lines, ``DOCUMENT`` for others, if not given).
+
+    Documents are cut from rows sorted by subject, so that a subject with very many triples lies in many. Linked
+    blank nodes with more triples than the bound are named, not nested. A formula of N3 is never cut; triples of graphs
+    named by IRIs, which N3 has not, are written without them.
+    """
     form = ALIASES.get(form, form)
     if form == "patch":
         patch_lines(quads).write.text(path)
     elif form in LINES:
         out = lines(quads, form).write
         (out.option("maxRecordsPerFile", records) if records else out).text(path)
-    elif form in PARTS:
-        keys = ["g", "s"] if form in ("trig", "trix", "jsonld") else ["s"]
-        document = PARTS[form]
+    elif form in PARTS or form in NESTED:
+        bound, names = records or DOCUMENT, prefixes or {}
+        flat = PARTS.get(form) or partial(TEXTS[form], inline=False)
+        nested = TEXTS[form]
 
         def run(batches):
             import pandas as pd
 
-            rows = [tuple(None if t is None else Term(t["k"], t["lex"], t["dt"], t["lang"]) for t in (q.s, q.p, q.o, q.g)) for b in batches for q in b.itertuples()]
-            yield pd.DataFrame({"value": [document(rows, prefixes or {})]})
-
-        spread = quads.select("s", "p", "o", "g").repartition(*keys).sortWithinPartitions("g", "s", "p", "o")
-        spread.mapInPandas(run, "value string").write.text(path)
+            rows, at = [], None
+
+            def made():
+                return pd.DataFrame({"value": [(flat if at is None else nested)(rows, names)]})
+
+            written = False
+            for b in batches:
+                for q in b.itertuples():
+                    group = None if q.root is None else tuple(q.root[f] for f in Term._fields)
+                    full = len(rows) >= bound if group is None else group != at and len(rows) + q.size > bound
+                    if rows and (full or (group is None) != (at is None)):
+                        yield made()
+                        rows, written = [], True
+                    at = group
+                    rows.append(tuple(None if t is None else Term(t["k"], t["lex"], t["dt"], t["lang"]) for t in (q.s, q.p, q.o, q.g)))
+            if rows or not written:
+                yield made()
+
+        rows = _grouped(quads, form, bound) if form in NESTED else quads.select("s", "p", "o", "g", F.lit(None).cast(TERM).alias("root"), F.lit(0).cast("long").alias("size"))
+        keys = ["g", "s", "p", "o"] if form in ("trig", "trix", "jsonld") else ["s", "p", "o", "g"]
+        single = F.col("root").isNull()
+        spread = rows.repartitionByRange("root", *[F.when(single, F.col(c)) for c in keys]).sortWithinPartitions("root", *keys)
+        spread.mapInPandas(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
     else:
         raise ValueError(f"{form} is written as one document; use to_text")
 
 
+def _grouped(quads: DataFrame, form: str, bound: int) -> DataFrame:
+    """Quads with the group of linked blank nodes that they are to be nested in, if any, and its size.
+
+    Blank nodes of one triple are linked, and in N3 a formula with all in it.
+    """
+    from ..operators.graphs import components
+
+    quads = quads.select("s", "p", "o", "g")
+    formulae = form == "n3"
+    if formulae:
+        quads = quads.withColumn("g", F.when(F.col("g")["k"] == BNODE, F.col("g")))
+    blank = F.filter(F.array("g", "s", "o") if formulae else F.array("s", "o"), lambda t: t["k"] == BNODE)
+    quads = quads.withColumn("blank", blank).withColumn("first", F.get("blank", F.lit(0)))
+    tied = quads.where(F.col("first").isNotNull())
+    groups = components(tied.select(F.col("first").alias("s"), F.explode("blank").alias("o")))
+    sized = tied.groupBy("first").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.col("g").isNotNull()).alias("formula"))
+    sized = groups.join(sized, groups["n"] == sized["first"]).groupBy("root").agg(F.sum("n_rows").alias("size"), F.max("formula").alias("formula"))
+    keep = (F.col("size") <= bound) | F.col("formula") if formulae else F.col("size") <= bound
+    placed = groups.join(sized.where(keep), "root").select(F.col("n").alias("first"), "root", "size")
+    return quads.join(placed, "first", "left").select("s", "p", "o", "g", "root", F.coalesce("size", F.lit(0)).alias("size"))
+
+
 def to_text(quads: DataFrame, form: str = "turtle", prefixes: dict[str, str] | None = None, **options) -> str:
     """One document, in a stable order."""
     form = ALIASES.get(form, form)
@@ -204,7 +254,7 @@ def trig(rows, prefixes, inline: bool = True) -> str:
     return out
 
 
-def n3_document(rows, prefixes) -> str:
+def n3_document(rows, prefixes, inline: bool = True) -> str:
     """Turtle, with graphs named by blank nodes as formulae."""
     used = _used(rows, prefixes)
     inner: dict[Term, list] = {}
@@ -217,7 +267,7 @@ def n3_document(rows, prefixes) -> str:
 
     lines = [f"{slot(s)} {'=>' if p.lex.endswith('/log#implies') else p.n3(used)} {slot(o)} .\n" for s, p, o, g in rows if g is None and (s in inner or o in inner)]
     plain = [q for q in rows if q[3] is None and q[0] not in inner and q[2] not in inner]
-    return _prefix_lines(used) + _turtle_body(plain, used) + "".join(lines)
+    return _prefix_lines(used) + _turtle_body(plain, used, inline=inline) + "".join(lines)
 
 
 def trix(rows, prefixes) -> str:
@@ -285,8 +335,8 @@ def rdfxml(rows, prefixes) -> str:
     return _xml_document(body, names)
 
 
-def rdfxml_nested(rows, prefixes, depth: int = 3) -> str:
-    names, tree = _xml_names(rows, prefixes), _Tree(rows)
+def rdfxml_nested(rows, prefixes, depth: int = 3, inline: bool = True) -> str:
+    names, tree = _xml_names(rows, prefixes), _Tree(rows, inline)
     held: set[Term] = set()
 
     def node(s: Term, level: int) -> str:
@@ -370,5 +420,6 @@ def dot(rows, prefixes) -> str:
 
 
 TEXTS = {"turtle": turtle, "longturtle": long_turtle, "trig": trig, "n3": n3_document, "trix": trix, "rdfxml": rdfxml, "rdfxml-nested": rdfxml_nested, "jsonld": jsonld, "dot": dot}
-#: Documents whose parts can stand in a folder: with every blank node named.
+#: Formats whose folders nest blank nodes, and those that name every one.
+NESTED = ("n3", "rdfxml-nested")
 PARTS = {f: partial(TEXTS[f], inline=False) for f in ("turtle", "longturtle", "trig", "jsonld")} | {f: TEXTS[f] for f in ("trix", "rdfxml")}

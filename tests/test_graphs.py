@@ -55,6 +55,37 @@ def test_folders_keep_blank_nodes(spark, quads, tmp_path, form):
     assert isomorphic(quads, readers.read(spark, str(tmp_path / form), form, shared=True))
 
 
+@pytest.mark.parametrize("form", ["pretty-xml", "n3", "turtle", "json-ld"])
+def test_folders_of_bounded_documents(spark, tmp_path, form):
+    """Records nest whole where they fit a document; a record and a subject that don't are spread over several."""
+    node = lambda i, j: BNode(f"r{i}x{j}")
+    data = []
+    for i in range(12):
+        data += [(IRI(E + f"a{i}"), IRI(E + "has"), node(i, 0)), (node(i, 0), IRI(E + "n"), L(str(i)))]
+        data += [(node(i, 0), IRI(E + "part"), node(i, j)) for j in range(1, 3)] + [(node(i, j), IRI(E + "n"), L(f"{i}-{j}")) for j in range(1, 3)]
+    data += [(BNode("hub"), IRI(E + "part"), BNode(f"big{i}")) for i in range(40)] + [(BNode(f"big{i}"), IRI(E + "n"), L(f"big {i}")) for i in range(40)]
+    data += [(IRI(E + "hot"), IRI(E + "n"), L(f"hot {i}")) for i in range(50)]
+    quads = Dataset.of(spark, data).quads
+    writers.write(quads, str(tmp_path / form), form, {"": E}, records=20)
+    back = readers.read(spark, str(tmp_path / form), form, shared=True)
+    assert back.count() == len(data)
+    if form in ("pretty-xml", "n3"):  # what nests has no label
+        assert isomorphic(quads, back)
+    else:
+        assert back.exceptAll(quads).isEmpty()
+    texts = [p.read_text() for p in (tmp_path / form).glob("part-*")]
+    sizes = [len(list(readers.DOCUMENTS[readers.ALIASES.get(form, form)](t, "http://b/", ""))) for t in texts]
+    assert sum(sizes) == len(data) and max(sizes) <= 20 and len(sizes) >= len(data) / 20
+    named = {i for i in range(12) for t in texts if f"r{i}x" in t}
+    assert not named if form in ("pretty-xml", "n3") else len(named) == 12
+
+
+def test_folder_of_nothing(spark, tmp_path):
+    for form in ("n3", "pretty-xml", "json-ld"):
+        writers.write(Dataset.of(spark, []).quads, str(tmp_path / form), form)
+        assert readers.read(spark, str(tmp_path / form), form).isEmpty()
+
+
 def test_strict_and_lax_lines(spark):
     text = "<a:> <b:> <c:> .\nnonsense\n# comment\n\n<a:> <b:> \"x\"@EN . # end\r\n"
     with pytest.raises(Exception, match="not a statement"):
