@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.expressions import Expressions, over, ratio
 from ..functions.values import BIG, DEC, Val
 from ..operators import paths
+from ..session import materialize
 from ..sources import remote
 from ..sources.quads import unit
 from ..terms import TERM, Term, Var
@@ -46,6 +47,17 @@ def connected(patterns: list) -> list[list]:
     return [g[1] for g in groups] or [[]]
 
 
+def joined_texts(rows: DataFrame, keys: list[str], name: str, a: N.Aggregate) -> DataFrame:
+    """GROUP_CONCAT in sorted order: equal texts are counted, ranges of a group's texts joined by separate tasks, then the pieces."""
+    counted = rows.groupBy(*keys, "text").agg((F.lit(1) if a.distinct else F.count(F.lit(1))).cast("int").alias("times"))
+    ranged = counted.repartitionByRange(*keys, "text").withColumn("part", F.spark_partition_id())
+    texts = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("text", "times"))))
+    piece = F.array_join(F.transform(texts, lambda t: F.repeat(F.concat(F.lit(a.separator), t["text"]), t["times"])), "")
+    pieces = ranged.groupBy(*keys, "part").agg(F.min("text").alias("first"), piece.alias("piece"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "piece"))), lambda p: p["piece"]), "")
+    return pieces.groupBy(*keys).agg(whole.alias(name)).withColumn(name, F.expr(f"substring(`{name}`, {len(a.separator) + 1})"))
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, source, base: str | None = None, now: _dt.datetime | None = None):
         self.spark, self.source, self.base = spark, source, base
@@ -242,12 +254,29 @@ class Compiler:
         vals = {n: x(e) for n, e in keys}
         vals = {n: V.as_term(v) if v.kind == "num" else v for n, v in vals.items()}
         columns = {n: fresh(n) for n in vals}
-        parts, finish = [], {}
+        parts, finish, texts = [], {}, []
         for n, a in node.aggregates:
+            if a.name == "GROUP_CONCAT":
+                texts.append((fresh(n), V.text_of(x(a.expr)), a))
+                finish[n] = lambda c=F.col(texts[-1][0]): Val("str", c)
+                continue
             got, finish[n] = self.aggregate(a, x, plan, seen)
             parts += got
-        grouped = plan.df.groupBy(*[v.col.alias(columns[n]) for n, v in vals.items()])
-        df = grouped.agg(*parts) if parts else grouped.agg(F.count(F.lit(1)).alias(fresh("n")))
+        names = [v.col.alias(columns[n]) for n, v in vals.items()]
+        rows = materialize(plan.df) if texts and len(node.aggregates) > 1 else plan.df  # read for each text
+        df = None
+        if parts or not texts:
+            df = rows.groupBy(*names).agg(*parts or [F.count(F.lit(1)).alias(fresh("n"))])
+        for name, text, a in texts:
+            more = joined_texts(rows.select(*names, text.alias("text")), list(columns.values()), name, a)
+            if df is None:
+                df = more
+            elif columns:
+                keys_of = {c: fresh(c) for c in columns.values()}
+                more = more.select(name, *[F.col(c).alias(k) for c, k in keys_of.items()])
+                df = df.join(more, P.all_of([F.col(c).eqNullSafe(F.col(k)) for c, k in keys_of.items()])).drop(*keys_of.values())
+            else:
+                df = df.join(more)  # one row each
         certain = {n for n, e in keys if isinstance(e, Var) and e.name in plan.certain}
         out = Plan(df, {n: v.named(columns[n]) for n, v in vals.items()}, frozenset(certain))
         for n, a in node.aggregates:
@@ -287,9 +316,7 @@ class Compiler:
             w = V.as_term(v) if v.kind == "num" else v
             out = add(F.any_value(w.col, True))
             return cols, lambda: Val(w.kind, out, w.prefix)
-        text = V.text_of(v)
-        out = add(F.array_join(F.sort_array(F.collect_set(text) if a.distinct else F.collect_list(text)), a.separator))
-        return cols, lambda: Val("str", out)
+        raise NotImplementedError(a.name)
 
     @staticmethod
     def _total(a: N.Aggregate, n: Val | None, v: Val, add) -> Callable[[], Val]:
