@@ -30,3 +30,12 @@ def test_rows_repeated_by_keys_are_not_broadcast(spark):
     for i in repeated:
         above = physical.splitlines()[i - 1 : i]
         assert not any("BroadcastExchange" in line for line in above) and "SortMergeJoin" in physical
+
+
+def test_arithmetic_of_dates_reads_operands_once(spark):
+    text = 'PREFIX : <http://x/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> SELECT (STR(?d + ?b) AS ?x) (STR(?b + ?d) AS ?y) (STR(?d - "P1D"^^xsd:dayTimeDuration) AS ?z) (STR(?d - "2011-01-31T00:00:00Z"^^xsd:dateTime) AS ?age) (STR(?b - "PT2H"^^xsd:dayTimeDuration) AS ?mixed) (STR(?n + ?n) AS ?sum) { :t :at ?d ; :by ?b ; :n ?n }'
+    found = data(spark).query(text).native()
+    assert tuple(found.first()) == ("2011-03-01T00:30:00-05:00", "2011-03-01T00:30:00-05:00", "2011-01-30T23:30:00-05:00", "P1DT4H30M", None, "8")
+    one = data(spark).query('PREFIX : <http://x/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> SELECT (STR(?d - "P1D"^^xsd:dayTimeDuration) AS ?z) { :t :at ?d }').native()
+    optimized = planned(one).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("as timestamp)") <= 4 and optimized.count("date_format(") <= 4
