@@ -39,3 +39,13 @@ def test_arithmetic_of_dates_reads_operands_once(spark):
     one = data(spark).query('PREFIX : <http://x/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> SELECT (STR(?d - "P1D"^^xsd:dayTimeDuration) AS ?z) { :t :at ?d }').native()
     optimized = planned(one).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert optimized.count("as timestamp)") <= 4 and optimized.count("date_format(") <= 4
+
+
+def test_other_patterns_of_a_star_are_read_in_its_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"c{k}", k % 3, float(k), "A") for k in range(9)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1, 5.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "n")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = queries.all_queries()["star_by_graph"](spark, str(tmp_path))
+    assert "Join" not in planned(found).split("== Optimized Logical Plan ==")[1]
+    assert sorted(map(tuple, found.collect())) == [("http://ex/g/account", 36, 9), ("http://ex/g/customer", 45, 9)]
