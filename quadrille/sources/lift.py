@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -40,20 +39,21 @@ def iri_text(text: SparkColumn, prefix: str) -> SparkColumn:
     return F.concat(F.lit(prefix), F.replace(F.url_encode(F.replace(F.trim(text), F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20")))
 
 
-def _object(c: Column, text: SparkColumn) -> SparkColumn:
+def _object(c: Column, text: SparkColumn) -> tuple[SparkColumn, tuple]:
+    """The text of an object, and its kind, datatype and language."""
     if c.kind == "uri":
-        return make(2, iri_text(text, c.prefix))
+        return iri_text(text, c.prefix), (2, None, None)
     if c.kind == "int":
-        return make(3, text.try_cast("long").cast("string"), XSD + "integer")
+        return text.try_cast("long").cast("string"), (3, XSD + "integer", None)
     if c.kind == "float":
-        return make(3, text.try_cast("double").cast("string"), XSD + "double")
+        return text.try_cast("double").cast("string"), (3, XSD + "double", None)
     if c.kind == "bool":
         yes, no = F.lower(text).isin("1", "true", "t", "yes", "y"), F.lower(text).isin("0", "false", "f", "no", "n")
-        return make(3, F.when(yes, "true").when(no, "false"), XSD + "boolean")
+        return F.when(yes, "true").when(no, "false"), (3, XSD + "boolean", None)
     if c.kind == "date":
         when = F.try_to_timestamp(text, F.lit(c.format)) if c.format else F.try_to_timestamp(text)
-        return make(3, F.date_format(when, "yyyy-MM-dd"), XSD + "date")
-    return make(3, text, None, F.lit(c.lang).cast("string"))
+        return F.date_format(when, "yyyy-MM-dd"), (3, XSD + "date", None)
+    return text, (3, None, c.lang)
 
 
 def lift(df: DataFrame, identity: list[str] | None, base: str, columns: dict[str, Column] | None = None, cls: str | None = None, label: str | None = None, vocabulary: str | None = None) -> DataFrame:
@@ -67,7 +67,17 @@ def lift(df: DataFrame, identity: list[str] | None, base: str, columns: dict[str
         name = iri_text(F.concat_ws("_", *[F.col(f"`{c}`").cast("string") for c in identity]), base)
     else:
         name = F.concat(F.lit(base), F.md5(F.to_json(F.struct(*df.columns))))
-    subject = make(2, name)
+    forms: dict[tuple, int] = {}  # what triples have besides the texts of subject and object: predicate, kind, datatype, language
+
+    def triple(predicate: str, subject: SparkColumn, text: SparkColumn, form: tuple) -> SparkColumn:
+        return F.struct(F.lit(forms.setdefault((predicate, *form), len(forms))).alias("form"), subject.alias("s"), text.cast("string").alias("o"))
+
+    def values_of(c: Column):
+        return lambda v: triple(c.predicate, name, *_object(c, v))
+
+    def types_of(c: Column):
+        return lambda v: triple(RDF + "type", _object(c, v)[0], F.lit(c.cls), (2, None, None))
+
     arrays = []
     for n, c in columns.items():
         if c.kind == "ignore":
@@ -77,23 +87,23 @@ def lift(df: DataFrame, identity: list[str] | None, base: str, columns: dict[str
             text = F.replace(text, F.lit(old), F.lit(new))
         values = F.split(text, _quoted(c.split), -1) if c.split else F.array(text)
         values = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
-        arrays.append(F.transform(values, _values(subject, c)))
+        arrays.append(F.transform(values, values_of(c)))
         if c.kind == "uri" and c.cls:
-            arrays.append(F.transform(values, _types(c)))
+            arrays.append(F.transform(values, types_of(c)))
     if cls:
-        arrays.append(F.array(F.struct(subject.alias("s"), lit(IRI(RDF + "type")).alias("p"), lit(IRI(cls)).alias("o"))))
+        arrays.append(F.array(triple(RDF + "type", name, F.lit(cls), (2, None, None))))
     if label:
-        arrays.append(F.array(F.struct(subject.alias("s"), lit(IRI(RDFS + "label")).alias("p"), make(3, F.col(f"`{label}`").cast("string")).alias("o"))))
-    each = [df.select(F.explode(a).alias("t")).select("t.*") for a in ([F.concat(*arrays)] if len(arrays) > 1 else arrays)]
-    return reduce(DataFrame.unionAll, each).where("o IS NOT NULL").distinct().select("s", "p", "o", lit(None).alias("g"))
-
-
-def _values(subject: SparkColumn, c: Column):
-    return lambda v: F.struct(subject.alias("s"), lit(IRI(c.predicate)).alias("p"), _object(c, v).alias("o"))
-
-
-def _types(c: Column):
-    return lambda v: F.struct(_object(c, v).alias("s"), lit(IRI(RDF + "type")).alias("p"), lit(IRI(c.cls)).alias("o"))
+        arrays.append(F.array(triple(RDFS + "label", name, F.col(f"`{label}`"), (3, None, None))))
+    if not arrays:
+        raise ValueError("no column makes a triple")
+    each = df.select(F.explode(F.concat(*arrays)).alias("t")).select("t.*").where("o IS NOT NULL")
+    # Equal triples are brought together before any are dropped, as texts only, so that a task's table of them is
+    # as large as its part of the shuffle and not as what a split of the input grows to.
+    each = each.repartition("form", "s", "o").distinct()
+    known = F.array(*[F.struct(lit(IRI(p)).alias("p"), F.lit(k).alias("k"), F.lit(dt).cast("string").alias("dt"), F.lit(lang).cast("string").alias("lang")) for p, k, dt, lang in forms])
+    of = F.get(known, F.col("form"))
+    o = F.struct(of["k"].cast("tinyint").alias("k"), F.col("o").alias("lex"), of["dt"].alias("dt"), of["lang"].alias("lang"))
+    return each.select(make(2, F.col("s")).alias("s"), of["p"].alias("p"), o.alias("o"), lit(None).alias("g"))
 
 
 def _quoted(separator: str) -> str:

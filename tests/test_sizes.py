@@ -49,3 +49,21 @@ def test_other_patterns_of_a_star_are_read_in_its_scan(spark, tmp_path):
     found = queries.all_queries()["star_by_graph"](spark, str(tmp_path))
     assert "Join" not in planned(found).split("== Optimized Logical Plan ==")[1]
     assert sorted(map(tuple, found.collect())) == [("http://ex/g/account", 36, 9), ("http://ex/g/customer", 45, 9)]
+
+
+def test_lifted_triples_are_dealt_before_repeats_are_dropped(spark):
+    from quadrille.sources.lift import Column, lift
+
+    rows = spark.createDataFrame([(1, "a|b", "x y", "7"), (1, "b", "x y", "7"), (2, "", None, "no")], "id long, tags string, place string, n string")
+    place = Column("http://x/in", "uri", prefix="http://x/at/", cls="http://x/Place")
+    columns = {"tags": Column("http://x/tag", split="|", lang="en"), "place": place, "n": Column("http://x/n", "int")}
+    found = lift(rows, ["id"], "http://x/", columns, cls="http://x/Row")
+    physical = planned(found).split("== Physical Plan ==")[1]
+    assert "HashAggregate" not in physical[physical.rindex("Exchange hashpartitioning") :]
+    got = sorted((r.s.lex, r.p.lex.split("/")[-1], *r.o) for r in found.collect())
+    integer, place = "http://www.w3.org/2001/XMLSchema#integer", "http://x/at/x_y"
+    assert got == sorted(
+        [("http://x/1", "tag", 3, t, None, "en") for t in "ab"]
+        + [("http://x/1", "in", 2, place, None, None), (place, "22-rdf-syntax-ns#type", 2, "http://x/Place", None, None), ("http://x/1", "n", 3, "7", integer, None)]
+        + [(f"http://x/{k}", "22-rdf-syntax-ns#type", 2, "http://x/Row", None, None) for k in (1, 2)]
+    )
