@@ -67,3 +67,11 @@ def test_lifted_triples_are_dealt_before_repeats_are_dropped(spark):
         + [("http://x/1", "in", 2, place, None, None), (place, "22-rdf-syntax-ns#type", 2, "http://x/Place", None, None), ("http://x/1", "n", 3, "7", integer, None)]
         + [(f"http://x/{k}", "22-rdf-syntax-ns#type", 2, "http://x/Row", None, None) for k in (1, 2)]
     )
+
+
+def test_values_shared_by_many_rows_are_dealt(spark, tmp_path):
+    spark.createDataFrame([(k, k % 2) for k in range(40)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 2, -1.0 if k < 4 else 1.0) for k in range(6)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries.all_queries()["bgp_value_join"](spark, str(tmp_path))
+    assert "salt_" in planned(found).split("== Optimized Logical Plan ==")[1] and "BroadcastHashJoin" not in planned(found)
+    assert sorted(map(tuple, found.collect())) == sorted((f"http://ex/customer/{c}", f"http://ex/supplier/{s}") for c in range(40) for s in range(4) if c % 2 == s % 2)
