@@ -75,3 +75,10 @@ def test_values_shared_by_many_rows_are_dealt(spark, tmp_path):
     found = queries.all_queries()["bgp_value_join"](spark, str(tmp_path))
     assert "salt_" in planned(found).split("== Optimized Logical Plan ==")[1] and "BroadcastHashJoin" not in planned(found)
     assert sorted(map(tuple, found.collect())) == sorted((f"http://ex/customer/{c}", f"http://ex/supplier/{s}") for c in range(40) for s in range(4) if c % 2 == s % 2)
+
+
+def test_nested_documents_are_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(k, k % 2, "F") for k in range(6)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries.all_queries()["nested_orders_n3"](spark, str(tmp_path))
+    assert "MapInPandas" not in planned(found)
+    assert sorted(map(tuple, found.collect())) == [(f"http://ex/customer/{k % 2}", str(k), "F") for k in sorted(range(6), key=lambda k: (k % 2, k))]
