@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quadrille import queries
 from quadrille.graph import Dataset
 from quadrille.sources import readers
+from quadrille.terms import term_schema
 
 DATA = """
 @prefix : <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
@@ -82,3 +83,36 @@ def test_nested_documents_are_parsed_once(spark, tmp_path):
     found = queries.all_queries()["nested_orders_n3"](spark, str(tmp_path))
     assert "MapInPandas" not in planned(found)
     assert sorted(map(tuple, found.collect())) == [(f"http://ex/customer/{k % 2}", str(k), "F") for k in sorted(range(6), key=lambda k: (k % 2, k))]
+
+
+def test_blank_nodes_that_link_to_none_are_refined_once(spark, monkeypatch):
+    from quadrille.operators import canonical as C
+
+    rounds, around = [], C._links_around
+    monkeypatch.setattr(C, "_links_around", lambda parts: rounds.append(1) or around(parts))
+    text = "@prefix : <http://x/> . " + " ".join(f"_:n{k} :p {k % 3} ; :q 'a' ." for k in range(30))
+    names = C.labels(readers.read_text(spark, text, "turtle")).collect()
+    assert len(rounds) == 1 and len({r.label for r in names}) == len({r.lex for r in names}) == 30
+    linked = "@prefix : <http://x/> . " + " ".join(f"_:n{k} :p 'a' ; :q _:m{k % 5} ." for k in range(30)) + " _:m0 :r _:m0 ."
+    a, b = (readers.read_text(spark, linked.replace("_:n", f"_:{x}").replace("_:m", f"_:z{x}"), "turtle") for x in "xy")
+    assert sorted(C.canonical(a).collect()) == sorted(C.canonical(b).collect()) and a.count() == 61
+    less = readers.read_text(spark, linked.replace("_:m0 :r _:m0", "_:m0 :r _:m1"), "turtle")
+    assert C.isomorphic(a, b) and not C.isomorphic(a, less)
+
+
+def test_values_beside_blank_nodes_gather_in_no_task(spark):
+    from quadrille.operators import canonical as C
+
+    iri, shared = (2, "http://x/p", None, None), (3, "a", None, None)
+    rows = [((1, f"n{k}", None, None), iri, shared, None) for k in range(400)] + [(iri, iri, (1, "n1", None, None), None)]
+    quads = spark.createDataFrame(rows, term_schema(*"spog"))
+    names = quads.where("s.k = 1").select("s.lex", F.lit("x").alias("label"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = C._beside(quads, names, ["s", "o"]).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 401 and max(sizes) < 200
