@@ -1,5 +1,7 @@
 """What keeps queries within their limits on large tables."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from quadrille import queries
@@ -116,3 +118,15 @@ def test_values_beside_blank_nodes_gather_in_no_task(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == 401 and max(sizes) < 200
+
+
+def test_closures_within_a_table_go_by_its_keys(spark, tmp_path, monkeypatch):
+    from quadrille.operators import paths
+
+    types, all_pairs = [], paths.all_pairs
+    monkeypatch.setattr(paths, "all_pairs", lambda edges: types.append(edges.dtypes) or all_pairs(edges))
+    rows = [(k, k % 2, float(k), datetime.datetime(2020, 1, 1 + k)) for k in range(9)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries.all_queries()["path_orders_after"](spark, str(tmp_path))
+    assert types == [[("a", "bigint"), ("b", "bigint")]]
+    assert sorted(map(tuple, found.collect())) == [("http://ex/customer/0", 10, 8.0), ("http://ex/customer/1", 6, 7.0)]
