@@ -5,6 +5,11 @@ both end at one byte and both go on with a token that starts with a space is an
 two sequences into windows of ids. A window's groups, its id pairs and their text are the same wherever
 its ids occur, so they are found once and kept by the tuple of ids (``Windows``).
 
+In plain texts such windows are known before anything is tokenised: where a word, a run of other characters
+or the white space before one starts, no token of A goes on, by its pre-tokens, and none of B, as no entry of
+its vocabulary holds such a border. There windows are kept by their text, and only new ones are tokenised.
+Texts of other characters, or with a border that an entry holds, go the way above.
+
 How many documents hold a pair is counted over the whole corpus. Documents are dealt into blocks of at
 most ``BLOCK_PAIRS`` entries of a document and a pair (or one document), which name their pairs by place
 in a list of the block's own. Only these lists are shuffled by pair: a pair is one row for each block that
@@ -19,8 +24,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import struct
+import re
 from array import array
 from types import SimpleNamespace
 
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
-from .tokens import IdPacker, _byte_letters, load, vocabulary
+from .tokens import LETTERS, PLAIN, IdPacker, _byte_letters, load, vocabulary
 
 BLOCK_PAIRS = 1 << 21
 #: Windows of more tokens are not kept.
@@ -42,6 +48,11 @@ STRETCH = 1 << 14
 #: What a generation of the windows' cache may hold, in bytes, about.
 CACHE_BYTES = 96 << 20
 
+#: Windows of plain texts: a word or a run of other characters, with the white space before; letters after an apostrophe belong to it.
+UNIT_PATTERN = rf"\s*(?:[{LETTERS}]+|[^\s{LETTERS}]+(?:(?<=')[{LETTERS}]+)?)|\s+"
+#: Two characters with a border of such windows between them.
+BORDER = rf"(?=(\S\s|[{LETTERS}][^\s{LETTERS}]|[^\s{LETTERS}][{LETTERS}]))"
+
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -96,6 +107,12 @@ def piece_tokens(model) -> SimpleNamespace:
     return _described([bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in ids])
 
 
+def held_borders(tokens: list[bytes]) -> set[str]:
+    """The borders of plain texts' windows that entries of a vocabulary hold."""
+    plain = re.compile(PLAIN).fullmatch
+    return {m[1] for t in tokens for m in re.finditer(BORDER, t.decode(errors="replace")) if plain(m[1])}
+
+
 def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side are before each byte at which tokens of both end, given the tokens' sizes."""
     a, b = np.cumsum(a), np.cumsum(b)
@@ -126,8 +143,13 @@ class Windows:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-            kept.aligned = path_b, model, byte_tokens(kept.plain), piece_tokens(model), Recent()
-        _, self.model, self.a, self.b, self.known = kept.aligned
+            pieces = piece_tokens(model)
+            # B's tokens of a window without a space before it are those after a line's end, if that is in no other entry.
+            alone = kept.plain.normalizer is None and [pieces.bytes[i] for i in model.encode("\n")] == [b" ", b"\n"] and not any(b"\n" in t and t != b"\n" for t in pieces.bytes)
+            held = re.compile("|".join(map(re.escape, sorted(held_borders(pieces.bytes)))) or r"(?!)") if alone else re.compile("")
+            kept.aligned = path_b, model, byte_tokens(kept.plain), pieces, Recent(), held.search
+        _, self.model, self.a, self.b, self.known, self.held = kept.aligned
+        self.units = re.compile(UNIT_PATTERN).findall
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Both sequences of ids, if each gives back the space and the text."""
@@ -155,15 +177,31 @@ class Windows:
             out.append((a[x:i], b[y:j]))
         return out
 
-    def window(self, a: list[int], b: list[int]) -> tuple[int, int, str, bytes]:
-        """(groups, links, the groups' text, the linked pairs) of a short window."""
-        if len(a) == len(b) == 1:
-            return 1, 1, f"{a[0]}|{b[0]}", struct.pack("<II", b[0], a[0])
+    def unit_tokens(self, units: list[str]) -> list[tuple[list[int], list[int]]] | None:
+        """Both sequences of ids of each of some windows of plain texts, if each gives its window back."""
+        model, split, lettered = self.packer.model.tokenize, self.packer.split, self.packer.lettered
+        a = [[t.id for word in split(u) for t in model(lettered(word))] for u in units]
+        whole = "".join([f"\n{u}" for u in units]).encode()
+        b = self.model.encode(whole)[1:]  # without the space that B adds
+        if b"".join([self.b.bytes[i] for i in b]) != whole or b"\n" + b"\n".join([b"".join([self.a.bytes[i] for i in ids]) for ids in a]) != whole:
+            return None
+        at = np.cumsum([len(u.encode()) + 1 for u in units])
+        ends = np.cumsum(self.b.sizes[b])
+        upto = np.searchsorted(ends, at)
+        if (ends[upto] != at).any():
+            return None
+        cuts = [0, *(upto + 1).tolist()]
+        return [(x, b[i + 1 : j]) for x, i, j in zip(a, cuts, cuts[1:])]
+
+    def window(self, a: list[int], b: list[int]) -> tuple[int, bytes, bytes]:
+        """(A's tokens and, from bit 32 on, B's, the groups' text, the linked pairs) of a short window."""
+        n = len(a) | len(b) << 32
+        if len(a) == 1 or len(b) == 1:  # one group
+            return n, _text([(a, b)]), array("q", [x << 32 | y for x in a for y in b]).tobytes()
         groups = self.groups(a, b)
-        pairs = [x << 32 | y for own, other in groups for x in own for y in other]
-        return len(groups), len(pairs), _text(groups), array("q", pairs).tobytes()
+        return n, _text(groups), array("q", [x << 32 | y for own, other in groups for x in own for y in other]).tobytes()
 
-    def long_window(self, a: list[int], b: list[int]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+    def long_window(self, a: list[int], b: list[int]) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
         """The same of a long one, which may have far more links than pairs: distinct pairs of each group, and how often they are linked."""
         groups, links, pairs, times = self.groups(a, b), 0, [], []
         for own, other in groups:
@@ -173,48 +211,83 @@ class Windows:
             times.append((n[:, None] * m).ravel())
         return len(groups), links, _text(groups), np.concatenate(pairs), np.concatenate(times)
 
-    def aligned(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, n_links, groups_sha256, the distinct pairs in order, and how often each is linked."""
-        found = self.tokens(text) if text else None
+    def by_text(self, text: str):
+        """For each stretch of a plain text, its windows' keys, and the ids of the windows of some numbers."""
+        units = self.units(" " + text)
+        for since in range(0, len(units), STRETCH):
+            keys = units[since : since + STRETCH]
+            yield keys, lambda new, keys=keys: self.unit_tokens([keys[k] for k in new])
+
+    def by_ids(self, text: str):
+        """The same of any text, of which nothing is yielded if its tokens don't give it back."""
+        found = self.tokens(text)
         if found is None:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         a, b = found
         ends_a, ends_b = shared_ends(self.a.sizes[a], self.b.sizes[b])
         anchor = np.ones(len(ends_a), bool)  # the last is the end of the text
         anchor[:-1] = self.a.spaced[a[ends_a[:-1]]] & self.b.spaced[b[ends_b[:-1]]]
-        ends_a, ends_b = ends_a[anchor], ends_b[anchor]
-        digest, sums, pairs, times, known = hashlib.sha256(), [0, 0], [], [], self.known
-        i = j = 0
-        for since in range(0, len(ends_a), STRETCH):
-            upto_a, upto_b = ends_a[since : since + STRETCH], ends_b[since : since + STRETCH]
-            keys = window_keys(a, np.r_[i, upto_a], b, np.r_[j, upto_b])
+        cuts_a, cuts_b = np.r_[0, ends_a[anchor]], np.r_[0, ends_b[anchor]]
+        for since in range(0, len(cuts_a) - 1, STRETCH):
+            at_a, at_b = cuts_a[since : since + STRETCH + 1], cuts_b[since : since + STRETCH + 1]
+            yield window_keys(a, at_a, b, at_b), lambda new, at_a=at_a, at_b=at_b: [(a[at_a[k] : at_a[k + 1]].tolist(), b[at_b[k] : at_b[k + 1]].tolist()) for k in new]
+
+    def aligned(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, n_links, groups_sha256, the distinct pairs in order, and how often each is linked."""
+        row = None
+        if text and self.packer.plain(text) is not None and self.held(text) is None:
+            row = self.summed(self.by_text(text))
+        if text and row is None:
+            row = self.summed(self.by_ids(text))
+        return row or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def summed(self, stretches) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
+        """A text's row from its windows; nothing if there are none, or one's ids don't give it back."""
+        digest, tokens, n_groups, n_links, pairs, times, known = hashlib.sha256(), 0, 0, 0, [], [], self.known
+        for keys, ids in stretches:
             rows = list(map(known.young.get, keys))
-            for k in [k for k, row in enumerate(rows) if row is None]:
-                rows[k] = known.get(keys[k])
-                if rows[k] is None:
-                    own, other = a[upto_a[k - 1] if k else i : upto_a[k]].tolist(), b[upto_b[k - 1] if k else j : upto_b[k]].tolist()
+            if None in rows:
+                new = {}  # the places of each window that is not known
+                for k in [k for k, row in enumerate(rows) if row is None]:
+                    rows[k] = known.get(keys[k])
+                    if rows[k] is None:
+                        new.setdefault(keys[k], []).append(k)
+                found = ids([places[0] for places in new.values()]) if new else []
+                if found is None:
+                    return None
+                for (key, places), (own, other) in zip(new.items(), found):
                     if len(own) + len(other) <= LONG_WINDOW:
-                        rows[k] = known.keep(keys[k], self.window(own, other), 8 * len(own) * len(other) + 8 * (len(own) + len(other)) + 360)
+                        row = self.window(own, other)
+                        known.keep(key, row, len(row[1]) + len(row[2]) + 4 * len(key) + 360)
                     else:
-                        *row, found, times_found = self.long_window(own, other)
-                        rows[k] = (*row, b"")
-                        pairs.append(found)
-                        times.append(times_found)
-            i, j = upto_a[-1], upto_b[-1]
-            groups, links, texts, linked = zip(*rows)
-            digest.update((";" * bool(since) + ";".join(texts)).encode())
-            sums = [sums[0] + sum(groups), sums[1] + sum(links)]
-            distinct, n = np.unique(np.frombuffer(b"".join(linked), np.int64), return_counts=True)
+                        groups, links, words, linked, times_linked = self.long_window(own, other)
+                        row = len(own) | len(other) << 32, words, b""
+                        n_links += links * len(places)
+                        pairs.append(linked)
+                        times.append(times_linked * len(places))
+                    for k in places:
+                        rows[k] = row
+            n, texts, linked = zip(*rows)
+            tokens += sum(n)
+            texts, linked = b";".join(texts), b"".join(linked)
+            if n_groups:
+                digest.update(b";")
+            digest.update(texts)
+            n_groups += texts.count(b"|")
+            n_links += len(linked) // 8
+            distinct, n = np.unique(np.frombuffer(linked, np.int64), return_counts=True)
             pairs.append(distinct)
             times.append(n)
+        if not pairs:
+            return None
         if len(pairs) > 1:
             distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
             pairs, times = [distinct], [np.bincount(at, np.concatenate(times)).astype(np.int64)]
-        return len(a), len(b), *sums, digest.hexdigest(), pairs[0], times[0]
+        return tokens & 0xFFFFFFFF, tokens >> 32, n_groups, n_links, digest.hexdigest(), pairs[0], times[0]
 
 
-def _text(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{own[0] if len(own) == 1 else ','.join(map(str, own))}|{other[0] if len(other) == 1 else ','.join(map(str, other))}" for own, other in groups])
+def _text(groups: list[tuple[list[int], list[int]]]) -> bytes:
+    return ";".join([f"{own[0] if len(own) == 1 else ','.join(map(str, own))}|{other[0] if len(other) == 1 else ','.join(map(str, other))}" for own, other in groups]).encode()
 
 
 DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int, places binary, times binary"
@@ -240,6 +313,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int =
     names = ["block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "places", "times", "pairs", "docs"]
 
     def run(batches):
+        gc.disable()  # it would go through all kept windows again and again, and nothing here makes cycles
+        try:
+            yield from found(batches)
+        finally:
+            gc.enable()
+
+    def found(batches):
         windows = Windows(path_a, path_b)
         ids, rows, held, block = [], [], 0, TaskContext.get().partitionId() << 32
 

@@ -444,12 +444,14 @@ class IdPacker:
         self.plain = re.compile(PLAIN).fullmatch
         self.letters = dict(enumerate(_byte_letters()))
 
-    def _word(self, word: str) -> bytes:
+    def lettered(self, word: str) -> str:
+        """A pre-token as letters for its bytes."""
         if word.isascii() and word.isprintable():  # of these only the space has another letter
-            letters = word.replace(" ", self.letters[0x20])
-        else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-        tokens = self.model.tokenize(letters)
+            return word.replace(" ", self.letters[0x20])
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(self.lettered(word))
         ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return self.known.keep(word, ids, len(word) + len(ids))
 

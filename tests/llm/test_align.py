@@ -114,3 +114,31 @@ def test_recent_windows_stay():
 def test_packing_round_trip(narrow, numbers):
     numbers = np.array(numbers, np.int64)
     assert align._unpacked(align._packed(numbers, narrow), len(numbers), narrow).tolist() == numbers.tolist()
+
+
+def test_known_windows_of_plain_texts_are_not_tokenised_again(monkeypatch):
+    windows, met = align.Windows(A, B), []
+    windows.known.young.clear(), windows.known.old.clear()
+    tokens = windows.unit_tokens
+    monkeypatch.setattr(windows, "unit_tokens", lambda units: met.extend(units) or tokens(units))
+    monkeypatch.setattr(windows, "tokens", lambda text: pytest.fail("tokenised whole"))
+    windows.aligned("one two (one) two\nthree")
+    assert met == [" one", " two", " (", "one", ")", "\nthree"]
+    windows.aligned("two one two\nthree one)")
+    assert met[6:] == []
+
+
+def test_windows_by_text_give_what_windows_by_ids_give(monkeypatch):
+    windows, rng = align.Windows(A, B), random.Random(3)
+    parts = ["'s", "'re", "''t", "don't", "word", "  ", "\n", "\n\n", " \n", "\t", "x1", "1x", ";\r", "\r\n", "<s>", "<0x0A>", "éa", "\xa0", "====", "();", "Ab", "1.5", "²", " "]
+    for stretch in (align.STRETCH, 3):
+        monkeypatch.setattr(align, "STRETCH", stretch)
+        for _ in range(300):
+            text, quick = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12))), None
+            want = windows.summed(windows.by_ids(text))
+            if windows.held(text) is None:
+                quick = windows.summed(windows.by_text(text))
+                assert quick is not None
+            for got in (windows.aligned(text), quick or want):
+                assert got[:5] == want[:5] and all((x == y).all() for x, y in zip(got[5:], want[5:])), text
+    assert windows.held("a;\rb") and not windows.held("a;\nb 'tis (b)")
