@@ -236,3 +236,24 @@ def test_durations():
     assert parse_duration("-P1Y2M3DT4H5M6.5S") == (-14, -(3 * 86400 + 4 * 3600 + 5 * 60) * 10**6 - 6_500_000)
     assert format_duration(14, 1_500_000) == "P1Y2MT1.5S" and format_duration(0, 0) == "PT0S"
     assert XSD
+
+
+def test_components_read_links_once_and_need_few_rounds(spark, monkeypatch):
+    from quadrille.operators import graphs
+
+    rng = random.Random(12)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(30)] + [(k, k) for k in (3, 400)] + [(500, 501), (501, 502)]
+    least = {k: k for link in links for k in link}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    term = lambda k: IRI(f"http://e/{k:04}")
+    frame = spark.createDataFrame([(term(a), term(0), term(b), None) for a, b in links * 2], "s {0}, p {0}, o {0}, g {0}".format("struct<k:tinyint,lex:string,dt:string,lang:string>"))
+    got = [(r.n.lex, r.root.lex) for r in graphs.components(frame).collect()]
+    assert sorted(got) == sorted((term(k).lex, term(v).lex) for k, v in least.items())
+    calls, cut = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df: calls.append(1) or cut(df))
+    star = spark.createDataFrame([(term(k), term(0), term(k // 10), None) for k in range(100, 200)], frame.schema)
+    assert len({r.root for r in graphs.components(star).collect()}) == 10
+    assert len(calls) == 4
+    assert graphs.components(star.limit(0)).collect() == []
