@@ -1,9 +1,9 @@
 """Quads kept on disk: snapshots of parquet files in three orders, and the changes since.
 
 A snapshot is written by predicate, and again by object and by subject. Files are partitioned by a hash of
-the term that leads the order and sorted by it and the next one (subject, predicate or object after it), so
+the term that leads the order and sorted by it and the next two (``ORDERS``), so
 a pattern reads one partition of the order whose leading term it gives, and in it the row groups that can
-hold it; a frequent term is spread over several files by ranges of the next. A pattern with a subject reads
+hold it; a frequent term is spread over several files by ranges of the next two. A pattern with a subject reads
 by subject, else one with an object by object, else one with a predicate by predicate. A snapshot is
 complete or not there at all, so readers keep theirs while a new one is written, and an older one can be
 opened again. Changes are small files of their own until they have grown (see ``State``).
@@ -19,8 +19,8 @@ from ..terms import Term
 from .quads import QuadFrame
 
 PARTS = 64
-#: The term that leads each order, and those that follow it.
-ORDERS = {"p": "ps", "o": "op", "s": "sp"}
+#: The term that leads each order, and those that follow it; all three, so that no pair of frequent terms is in one task.
+ORDERS = {"p": "pso", "o": "ops", "s": "spo"}
 
 
 def part_of(text) -> Column:
@@ -55,17 +55,21 @@ class QuadStore(State):
     def _order(self, n: int, order: str) -> str:
         return self._snapshot(n) if order == "p" else f"{self.path}/{order}-{n}"
 
-    def write(self, batch: int, quads: DataFrame) -> None:
-        for order, (first, second) in ORDERS.items():
-            rows = quads.select(*QUAD, part_of(F.col(first)["lex"]).alias("part"))
-            rows = rows.repartitionByRange("part", first, second).sortWithinPartitions("part", first, second)
+    def write(self, batch: int, quads: DataFrame, repeats: bool = False) -> None:
+        """A full snapshot; ``repeats`` says that a quad may come more than once."""
+        for order, terms in ORDERS.items():
+            rows = quads.select(*QUAD, part_of(F.col(terms[0])["lex"]).alias("part"))
+            rows = rows.repartitionByRange("part", *terms)
+            if repeats and order == "p":  # equal quads are in one range, so dropping repeats needs no shuffle of its own
+                rows = rows.distinct()
+            rows = rows.sortWithinPartitions("part", *terms)
             rows.write.mode("overwrite").partitionBy("part").parquet(self._order(batch, order))
             quads = self.spark.read.parquet(self._snapshot(batch))  # the other orders are made from the first
 
     def commit(self, quads: DataFrame) -> int:
         """Write the next snapshot; its number."""
         n = self.last() + 1
-        self.write(n, quads.distinct())
+        self.write(n, quads, repeats=True)
         return n
 
     def commit_changes(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> int:

@@ -15,13 +15,15 @@ QUAD = [*"spog"]
 
 
 def latest(changes: DataFrame, order: str, op: str = "op") -> DataFrame:
-    """(s, p, o, g, op): the last operation on each quad."""
-    return changes.groupBy(*QUAD).agg(F.max_by(op, order).alias("op"))
+    """(s, p, o, g, op): the last operation, A or D, on each quad."""
+    # As a flag and not as text, it is aggregated by hash where the order is a number; texts would have all rows sorted.
+    return changes.groupBy(*QUAD).agg(F.when(F.max_by(F.col(op) == "A", order), "A").otherwise("D").alias("op"))
 
 
 def merged(quads: DataFrame, changes: DataFrame) -> DataFrame:
     """Quads after the last operations on some of them; columns of ``quads`` that the changes have too stay."""
-    same = F.lit(True)
+    # The digests decide almost every comparison of a sort by one number; the terms are compared where they are equal.
+    same = F.xxhash64(*[F.col(f"q.{c}") for c in quads.columns]) == F.xxhash64(*[F.col(f"r.{c}") for c in quads.columns])
     for c in quads.columns:
         same &= F.col(f"q.{c}").eqNullSafe(F.col(f"r.{c}"))
     kept = quads.alias("q").join(changes.alias("r"), same, "left_anti")
@@ -80,6 +82,8 @@ class State:
         """The last operation on each quad in some batches."""
         if not batches:
             return None
+        if len(batches) == 1:  # a batch has one row for each quad
+            return self.spark.read.parquet(self._delta(batches[0])).select(*QUAD, "op")
         parts = [self.spark.read.parquet(self._delta(k)).select(*QUAD, "op", F.lit(k).alias("batch")) for k in batches]
         return latest(reduce(DataFrame.unionAll, parts), "batch")
 

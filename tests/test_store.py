@@ -96,3 +96,57 @@ def test_patterns_read_the_order_that_leads_with_their_term(spark, tmp_path, ord
     again = Dataset(spark, store.open()).query(PATTERNS[order])
     assert len(list(again.rows())) == len(want[order]) - 1 + (order != "p")
     assert all(f"/{folder}/part=" in f or "/delta-1/" in f for f in again.df.inputFiles())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_frequent_pair_of_terms_is_dealt_over_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store, quads = QuadStore(spark, str(tmp_path)), [(IRI(f"{E}s{i}"), IRI(E + "p"), Literal("x"), None) for i in range(400)]
+        store.commit(frame(spark, quads).unionAll(frame(spark, quads[:50])))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for folder in ("snapshot-0", "o-0"):
+        files = [f for _, _, names in os.walk(tmp_path / folder) for f in names if f.endswith(".parquet")]
+        assert len(files) > 1
+    assert found(store.open().quads) == shown(quads)
+
+
+def test_last_operations_are_aggregated_by_hash_and_of_one_batch_not_at_all(spark, tmp_path):
+    store = QuadStore(spark, str(tmp_path))
+    store.commit(frame(spark, [quad(i, i) for i in range(20)]))
+    store.commit_changes(frame(spark, [quad(30, 30)]), frame(spark, [quad(1, 1), quad(30, 30)]))
+    assert "Aggregate" not in plan_of(store.changes([1]))
+    store.commit_changes(frame(spark, [quad(1, 1)]), frame(spark, [quad(30, 30), quad(2, 2)]))
+    plan = plan_of(store.changes([1, 2]))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert found(store.open().quads) == shown([quad(i, i) for i in range(20) if i != 2])
+
+
+def test_values_are_broadcast_and_leave_out_rows_in_the_scan(spark, tmp_path):
+    quads = [(IRI(f"{E}s{i}"), IRI(E + "p"), t, g and IRI(E + g)) for i in range(30) for t in (Literal("abc"[i % 3]), Literal("a", lang="en")) for g in (None, "g")]
+    frame(spark, quads).write.parquet(str(tmp_path / "quads"))
+    ds = Dataset(spark, spark.read.parquet(str(tmp_path / "quads")))
+    result = ds.query(f'SELECT ?s ?o {{ VALUES ?o {{ "a" "b" "a" }} ?s <{E}p> ?o }}')
+    plan = plan_of(result.df)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    scan = plan[plan.rindex("HashAggregate(") :]
+    assert re.search(r"Filter .*o#\d+\.lex = a\)", scan)
+    rows = sorted((r["s"].lex, r["o"].lex) for r in result.rows())
+    assert rows == sorted((f"{E}s{i}", "abc"[i % 3]) for i in range(30) for _ in range(2 - i % 3 if i % 3 < 2 else 0))
+
+
+def test_quads_of_some_predicates_read_their_columns_only(spark, tmp_path):
+    from quadrille.queries import explicit
+
+    spark.range(5).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id % 2 AS n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    name, link = "http://ex/v#n_name", "http://ex/v#n_regionkey_ref"
+    some = explicit(spark, str(tmp_path), "nation", only=(name,)).quads
+    assert "n_regionkey" not in plan_of(some)
+    every = explicit(spark, str(tmp_path), "nation").quads
+    assert found(some) == found(every.where(f"p.lex = '{name}'")) != []
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    assert found(explicit(spark, str(tmp_path), "nation", only=(link, kind)).quads) == found(every.where(f"p.lex IN ('{link}', '{kind}')"))
