@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille import queries
 from quadrille.graph import Dataset
-from quadrille.sources import readers
+from quadrille.sources import readers, writers
 from quadrille.terms import term_schema
 
 DATA = """
@@ -130,3 +130,27 @@ def test_closures_within_a_table_go_by_its_keys(spark, tmp_path, monkeypatch):
     found = queries.all_queries()["path_orders_after"](spark, str(tmp_path))
     assert types == [[("a", "bigint"), ("b", "bigint")]]
     assert sorted(map(tuple, found.collect())) == [("http://ex/customer/0", 10, 8.0), ("http://ex/customer/1", 6, 7.0)]
+
+
+def test_blank_nodes_that_link_to_none_go_through_no_components(spark, tmp_path, monkeypatch):
+    from quadrille.operators import graphs
+
+    calls, components = [], graphs.components
+    monkeypatch.setattr(graphs, "components", lambda quads: calls.append(1) or components(quads))
+    iri, term = (2, "http://x/p", None, None), lambda k, x: (k, x, None, None)
+    alone = [(term(2, f"http://x/{i}"), iri, term(1, f"n{i}"), None) for i in range(9)] + [(term(1, f"n{i}"), iri, term(3, str(j)), None) for i in range(9) for j in range(9 if i else 30)]
+    tied = [(term(1, f"n{i}"), iri, term(1, f"n{i + 1}"), None) for i in range(1, 3)]
+    formula = [(term(1, "m"), iri, term(3, str(j)), term(1, "f")) for j in range(30)] + [(term(1, "f"), iri, term(1, "n5"), None)]
+    for name, form, rows, want in (("a", "pretty-xml", alone, 0), ("b", "n3", alone, 0), ("c", "pretty-xml", alone + tied, 1), ("d", "n3", alone + formula, 1)):
+        calls.clear()
+        writers.write(spark.createDataFrame(rows, term_schema(*"spog")), f"{tmp_path}/{name}", form, {"": "http://x/"}, records=20)
+        assert len(calls) == want
+        texts = [p.read_text() for p in (tmp_path / name).glob("part-*")]
+        parsed = [list(readers.DOCUMENTS[readers.ALIASES.get(form, form)](t, "http://b/", "")) for t in texts]
+        if name == "d":  # a formula is never cut, what is linked to it stays with it
+            assert sum("{" in t for t in texts) == 1 and sorted(map(len, parsed))[-1] > 31
+        else:
+            back = readers.read(spark, f"{tmp_path}/{name}", form, shared=True)
+            assert sum(map(len, parsed)) == back.count() == len(rows) and max(map(len, parsed)) <= 20
+        assert sum("_:n0" in t or 'nodeID="n0"' in t for t in texts) > 1  # beyond the bound: named, and dealt
+        assert not any("_:n8" in t or 'nodeID="n8"' in t for t in texts)
