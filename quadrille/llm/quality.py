@@ -5,9 +5,8 @@ mapped to ``FEATURES`` cosines that approximate a Gaussian kernel. Each partitio
 sums its part of the normal equations; the sums, one small matrix for each of ``PARTS`` partitions, give
 the ridge weights. Rows left out of that sum calibrate the raw score isotonically to a probability.
 
-Labels are learnt only from rows with crc32(doc_id as text) mod 5 not 0, at most about ``SAMPLE`` of
-them, chosen by a hash of the id; of these, remainder 1 calibrates and the others fit. Labels, lang,
-source and doc_id are no inputs. Every whole text is scored.
+Labels are learnt from all labelled rows with crc32(doc_id as text) mod 5 not 0; of these, remainder 1
+calibrates and the others fit. Labels, lang, source and doc_id are no inputs. Every whole text is scored.
 
 Defined results: a null or empty text is scored like any other, from zero counts; without learning rows
 each score is 0.5; equal rows each return a row, null ids too (not held out); an empty table gives an
@@ -21,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import labelled
+from .common import materialize
+from .rules import labelled, lists, matrix
 from .stats import SHARES, measure
 
-SAMPLE = 50_000
 FEATURES = 160
 PARTS = 16
 RIDGE = 1.0
@@ -81,24 +80,24 @@ class Model:
         return np.clip(np.interp(raw, *self.knots) if self.knots else raw, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    learn = labels.where(fold(F.col("doc_id")) != 0)
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and statistics of each document."""
 
     def read(batches):
         for b in batches:
-            x = inputs(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "label", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(inputs(b.column(1).to_pylist()))], names=["doc_id", "x"])
+
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
-    rows = labelled(docs, learn, "quality", sample).select("text", "label", fold(F.col("doc_id")).cast("int").alias("part"))
-    rows = rows.mapInArrow(read, "x array<double>, label int, part int").persist()
-    try:
-        return _fit(rows)
-    finally:
-        rows.unpersist()
+
+def fit(measures: DataFrame, labels: DataFrame) -> Model | None:
+    learn = labels.where(fold(F.col("doc_id")) != 0)
+    rows = labelled(measures, learn, "quality").select("x", "label", fold(F.col("doc_id")).cast("int").alias("part"))
+    return _fit(materialize(rows))
 
 
 def _fit(rows: DataFrame) -> Model | None:
-    x = lambda b: np.array(b.column(0).to_pylist(), np.float64).reshape(-1, INPUTS)
+    x = lambda b: matrix(b.column(0), INPUTS)
 
     def summed(f, width: int) -> np.ndarray:
         """The sum over all partitions of a vector made of each batch's rows."""
@@ -142,18 +141,18 @@ def _fit(rows: DataFrame) -> Model | None:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    model = fit(docs, labels, sample)
+    measures = materialize(measured(docs))
+    model = fit(measures, labels)
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            s = model.score(inputs(texts)) if model else np.full(len(texts), 0.5)
+            s = model.score(matrix(b.column(1), INPUTS)) if model else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 0).alias("held_out"))
+    rows = measures.select("doc_id", "x", (fold(F.col("doc_id")) == 0).alias("held_out"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 

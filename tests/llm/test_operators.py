@@ -666,6 +666,32 @@ def test_quality_classifier(spark):
     assert quality.score(frame.limit(0), marks).count() == 0
 
 
+def test_rules_and_classifier_learn_from_every_labelled_row(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [prose(rng, 22) if i % 9 else prose(rng, 22).replace(" ", " | ") for i in range(400)]
+    n = 64_000
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), F.get(F.array(*map(F.lit, texts)), F.col("id") % 400).alias("text"))
+    marks = frame.select("doc_id", F.when(F.col("doc_id") % 400 % 9 == 0, 0).otherwise(1).alias("quality")).where("doc_id % 3 > 0")
+    seen, of, cut = {}, rules.Forest.of, rules.threshold
+    monkeypatch.setattr(rules.Forest, "of", lambda trees, held: seen.update(held=held.reshape(rules.TREES, -1).sum(1)) or of(trees, held))
+    monkeypatch.setattr(rules, "threshold", lambda step, good, bad: seen.update(good=good.sum(), bad=bad.sum()) or cut(step, good, bad))
+    learnt = rules.fit(rules.measured(frame), marks)
+    monkeypatch.undo()
+    ids = [i for i in range(n) if i % 3]
+    good = sum(i % 400 % 9 > 0 for i in ids)
+    assert set(seen["held"]) == {good} and (seen["good"], seen["bad"]) == (good, len(ids) - good)
+    # Learnt in parts or from all rows at once, the rules are the same.
+    counts, shares = rules.measure(texts)
+    of_text = np.array([i % 400 for i in ids])
+    whole = rules.Rules(counts[of_text], shares[of_text], (of_text % 9 > 0).astype(int))
+    assert whole.threshold == learnt.threshold and all((vars(whole.forest)[k] == v).all() for k, v in vars(learnt.forest).items() if isinstance(v, np.ndarray))
+    rows = []
+    monkeypatch.setattr(quality, "_fit", lambda found: rows.append(found.count()))
+    twice = marks.union(marks.select((F.col("doc_id") + n).alias("doc_id"), "quality"))
+    quality.score(frame.union(frame.select(F.col("doc_id") + n, "text")), twice).count()
+    assert rows[0] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in [*ids, *(i + n for i in ids)]) > 50_000
+
+
 def test_isotonic_rises_and_keeps_the_mean():
     rng = np.random.default_rng(0)
     s = rng.random(200)
